@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import mixing
+from tickerloom.llm import licenses, mixing, simhash
 
 QUERIES = {
+    "op4_license_scan": licenses.op4,
+    "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
 }
 
