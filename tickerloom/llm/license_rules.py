@@ -1,7 +1,8 @@
 """Ordered signature rules for licence statements.
 
 A rule matches the words of a text joined by single spaces, lower case, so "CC-BY-SA 4.0" is
-"cc by sa 4 0". ``keyword`` must occur in that string before the pattern is tried. Priorities:
+"cc by sa 4 0". ``keyword`` must start one of those words before the pattern is tried, and is
+part of every match. Priorities:
 5 a licence with its version or full grant, 4 a licence by name, 3 a family, 2 a legal notice,
 1 a vague mention.
 """
@@ -42,14 +43,15 @@ NAMED = [
     # MIT, X11, ISC
     ("mit", 5, "free of charge to any person", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
     ("mit", 5, "permission notice shall", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("mit", 4, "mit", rf"(?:released |licen[cs]ed |available |distributed )?(?:under |with )?(?:the )?mit {LICEN}"),
-    ("mit", 4, "mit", rf"{LICEN} mit"),
+    ("mit", 4, "mit licen", rf"(?:released |licen[cs]ed |available |distributed )?(?:under |with )?(?:the )?mit {LICEN}"),
+    ("mit", 4, "license mit", r"license mit"),
+    ("mit", 4, "licence mit", r"licence mit"),
     ("mit", 4, "opensource org licenses mit", r"opensource org licenses mit(?: license)?(?: php)?"),
     ("expat", 4, "expat", rf"(?:the )?expat {LICEN}"),
     ("x11", 4, "x11", rf"(?:the )?x11 {LICEN}"),
-    ("mit-0", 5, "mit", rf"mit no attribution(?: {LICEN})?"),
+    ("mit-0", 5, "mit no attribution", rf"mit no attribution(?: {LICEN})?"),
     ("isc", 5, "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("isc", 4, "isc", rf"(?:the )?isc {LICEN}"),
+    ("isc", 4, "isc licen", rf"(?:the )?isc {LICEN}"),
     # BSD
     ("bsd", 4, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", 5, "neither the name", r"neither the name of (?:the )?(?:[^ ]+ ){1,6}nor the names of its contributors"),
@@ -106,7 +108,8 @@ NAMED = [
     ("cecill-c", 5, "cecill", r"(?:licence )?cecill c"),
     ("wtfpl", 4, "wtfpl", r"wtfpl"),
     ("wtfpl", 4, "what the fuck you want", rf"do what the fuck you want to public {LICEN}"),
-    ("beerware", 4, "beer", rf"beer ?ware(?: {LICEN})?"),
+    ("beerware", 4, "beerware", rf"beerware(?: {LICEN})?"),
+    ("beerware", 4, "beer ware", rf"beer ware(?: {LICEN})?"),
     ("unlicense", 4, "unlicense", r"(?:the )?unlicense"),
     ("unlicense", 5, "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("odbl", 4, "open database", rf"open (?:data commons open )?database {LICEN}"),
@@ -136,10 +139,13 @@ NAMED = [
     ("proprietary", 4, "proprietary", r"proprietary and confidential|confidential and proprietary"),
     ("proprietary", 3, "proprietary", rf"proprietary (?:software|information|{LICEN})"),
     ("no-reproduction", 3, "may be reproduced", r"no part of this (?:publication|book|document|work) may be reproduced"),
-    ("no-redistribution", 3, "redistribut", r"(?:may|must) not be (?:copied|redistributed|reproduced)(?: or redistributed)?"),
+    ("no-redistribution", 3, "not be", r"(?:may|must) not be (?:copied|redistributed|reproduced)(?: or redistributed)?"),
     ("public-domain", 3, "public domain", r"(?:released into |in |placed in )?(?:the )?public domain"),
-    ("no-warranty", 1, "warrant", r"(?:without warranty of any kind|without any warranty|as is basis)"),
-    ("non-commercial", 2, "commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?"),
+    ("no-warranty", 1, "without warranty", r"without warranty of any kind"),
+    ("no-warranty", 1, "without any warranty", r"without any warranty"),
+    ("no-warranty", 1, "as is basis", r"as is basis"),
+    ("non-commercial", 2, "non commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?"),
+    ("non-commercial", 2, "noncommercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?"),
     ("licensed", 1, "licensed under", r"licensed under(?: the)?(?: terms of)?"),
     ("licensed", 1, "license agreement", r"(?:end user )?license agreement"),
     ("spdx", 3, "spdx license", r"spdx license identifier"),
@@ -214,7 +220,11 @@ def rules() -> list[Rule]:
                 out.append(Rule(f"{family}-{v}-only", 5, keyword, rf"{words} {VER}{_spelled(v)} only"))
     for family, versions in SHORT.items():
         for v in versions:
-            out.append(Rule(f"{family}-{v}", 5, family, rf"{family} ?{VER}{_spelled(v)}"))
+            forms = [(f"{family} ", rf"{family} {VER}")]
             if family in LATER:
-                out.append(Rule(f"{family}-{v}-or-later", 5, family, rf"{family} ?{VER}{_spelled(v)} or later"))
+                forms += [(f"{family}v", f"{family}v"), (f"{family}{v[0]}", family)]
+            for keyword, start in forms:
+                out.append(Rule(f"{family}-{v}", 5, keyword, f"{start}{_spelled(v)}"))
+                if family in LATER:
+                    out.append(Rule(f"{family}-{v}-or-later", 5, keyword, f"{start}{_spelled(v)} or later"))
     return out

@@ -1,7 +1,7 @@
 """License scans in DataFrame functions only: ordered regex rules behind a keyword prefilter.
 
-A text becomes its lower-case words joined by single spaces. Rows without any trigger stem
-skip all rules; the others try only rules whose keyword they hold. A match is marked in the
+A text becomes its lower-case words joined by single spaces. Rows without any keyword
+skip all rules; the others try only rules whose keyword starts one of their words. A match is marked in the
 string before the words are split, so that marks give its first and last word. Detections are
 then swept in order of their first word, and one that lies inside a detection of equal or
 higher priority is suppressed. It is one projection: nothing is shuffled.
@@ -9,6 +9,8 @@ higher priority is suppressed. It is one projection: nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,6 @@ from tickerloom.llm.license_rules import Rule, rules
 
 #: What stands between words, once lower-cased; upper case is dealt with afterwards.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every rule's matches hold at least one of these.
-STEMS = (
-    "licen", "reserved", "reserv", "cc by", "cc0", "commons", "copyright", "public domain", "permission", "redistribut",
-    "proprietary", "gpl", "gfdl", "mpl", "epl", "cddl", "osl", "afl", "ofl", "eupl", "cecill", "wtfpl", "beer", "bsd",
-    "apache", "warrant", "as is", "commercial", "reproduced", "polyform", "rail", "rechte", "contributors",
-    "advertising materials", "mit no attribution", "exception",
-)
 LEVELS = 6
 OUTPUTS = ("n_words", "detections", "base_detections", "score")
 
@@ -32,13 +27,28 @@ def _words_joined(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " "))
 
 
+def _keywords(table: list[Rule]) -> list[str]:
+    return sorted({r.keyword for r in table})
+
+
+def _gates(table: list[Rule]) -> list[str]:
+    """Strings of which a text with any match holds at least one: "licen" where a pattern can't do without, else the keyword."""
+    out = set()
+    for r in table:
+        fixed, before = r.pattern, None
+        while fixed != before:
+            fixed, before = re.sub(r"\((?:\?:)?[^()]*\)\?", "", fixed), fixed
+        out.add("licen" if "licen" in fixed and "|" not in fixed else f" {r.keyword}")
+    return sorted(out)
+
+
 def _marked(words: Column, test) -> Column:
     return F.array_compact(F.transform(words, lambda w, i: F.when(test(w), i)))
 
 
 def _detections(words: Column, table: list[Rule]) -> Column:
     """All matches as structs, by first word, longest and highest priority first."""
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in table})])
+    keywords = F.array(*[F.lit(k) for k in _keywords(table)])
     literal = F.array(
         *[
             F.struct(
@@ -51,7 +61,7 @@ def _detections(words: Column, table: list[Rule]) -> Column:
             for r in table
         ]
     )
-    held = F.filter(keywords, lambda k: F.contains(words, k))
+    held = F.filter(keywords, lambda k: F.contains(F.concat(F.lit(" "), words, F.lit(" ")), F.concat(F.lit(" "), k)))
     tried = F.transform(F.array(held), lambda ks: F.filter(literal, lambda r: F.array_contains(ks, r["keyword"])))[0]
     matched = F.filter(tried, lambda r: F.regexp_like(words, r["pattern"]))
     marked = F.transform(
@@ -114,11 +124,10 @@ def scan_licenses(df: DataFrame, text: str = "text", table: list[Rule] | None =
     table = rules() if table is None else table
     rows = without(df, *OUTPUTS).select(F.struct("*").alias("__row"), _words_joined(F.col(text)).alias("__joined"))
     none = F.array().cast("array<struct<start:int,minus_end:int,minus_priority:int,label:string,base:boolean>>")
-    small = F.lower("__joined")
-    gated = rows.withColumn("__small", small)
+    gated = rows.withColumn("__small", F.concat(F.lit(" "), F.lower("__joined"), F.lit(" ")))
     gate = F.lit(False)
-    for stem in STEMS:
-        gate = gate | F.contains("__small", F.lit(stem))
+    for part in _gates(table):
+        gate = gate | F.contains("__small", F.lit(part))
     found = gated.withColumn("__words", F.when(gate, ascii_lower(F.col("__joined")))).withColumn(
         "__found", F.when(F.col("__words").isNotNull(), _detections(F.col("__words"), table)).otherwise(none)
     )
