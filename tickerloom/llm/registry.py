@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import licenses, mixing, simhash
+from tickerloom.llm import licenses, mixing, simhash, token_store
 
 QUERIES = {
+    "op1_token_store": token_store.op1,
     "op4_license_scan": licenses.op4,
     "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
