@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import licenses, mixing, simhash, token_store
+from tickerloom.llm import bpe, licenses, mixing, simhash, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1,
     "op4_license_scan": licenses.op4,
+    "op8_byte_bpe": bpe.op8,
     "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
 }
