@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import bpe, licenses, mixing, simhash, token_store
+from tickerloom.llm import bpe, licenses, mixing, simhash, token_store, weighted_sampling
 
 QUERIES = {
     "op1_token_store": token_store.op1,
+    "op2_weighted_fingerprints": weighted_sampling.op2,
     "op4_license_scan": licenses.op4,
     "op8_byte_bpe": bpe.op8,
     "op9_simhash_groups": simhash.op9,
