@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from tickerloom.llm.pretokens import chunk_keys, chunk_text, ragged, windows
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
+#: Ids that are read from a code at a time.
+READ_IDS = 1 << 18
 #: Chunks that a worker remembers; then it starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000
 #: Code points that are encoded at a time.
 STEP_CHARS = 1 << 20
 SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, n_ids array<long>, code binary"
@@ -39,6 +42,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Numbers(dict):
+    """Numbers keys in order of appearance and remembers the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = found = len(self)
+        self.new.append(key)
+        return found
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library; each different chunk once while it is remembered."""
 
@@ -52,17 +67,19 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict = {}
+        self.number = _Numbers()
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
 
-    def _learn(self, keys: list) -> None:
+    def _learn(self) -> None:
+        keys, self.number.new = self.number.new, []
+        known = len(self.number) - len(keys)
         for at in range(0, len(keys), 4096):
             some = keys[at : at + 4096]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([chunk_text(k) for k in some], add_special_tokens=False)]
-            first, sizes = len(self.number), np.fromiter(map(len, found), np.int64, len(found))
+            first, sizes = known + at, np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -72,7 +89,6 @@ class ChunkEncoder:
             self.starts[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
             self.lengths[first : first + len(some)] = sizes
             self.used += len(ids)
-            self.number.update(zip(some, range(first, first + len(some)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -80,15 +96,21 @@ class ChunkEncoder:
             self._forget()
         keys = [chunk_keys(t) for t in texts]
         every = list(chain.from_iterable(keys))
-        if missing := list(dict.fromkeys(filterfalse(self.number.__contains__, every))):
-            self._learn(missing)
         index = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        if self.number.new:
+            self._learn()
         lengths = self.lengths[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
         return ragged(self.flat, self.starts[index], lengths), np.diff(ends[borders])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
+    """A worker process keeps its encoder from task to task."""
+    return ChunkEncoder(path)
+
+
 def _encoded(texts: list[str], encoder: ChunkEncoder) -> Iterator[np.ndarray]:
     """The ids of each text, several texts at a time."""
     at = 0
@@ -131,7 +153,7 @@ def write_store(
     dealt = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         names, found, total = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -185,10 +207,13 @@ def read_documents(spark, path: str) -> DataFrame:
                 counts = counts.values.to_numpy()
                 ends = np.cumsum(counts)
                 reader = dac.Reader(code.as_py())
-                sums = [
-                    zlib.crc32(reader.slice(int(e - n), int(e)).astype("<u4").tobytes())
-                    for e, n in zip(ends, counts, strict=True)
-                ]
+                sums, held, ids = [], 0, np.empty(0, "<u4")
+                for e, n in zip(ends.tolist(), counts.tolist(), strict=True):
+                    if e > held:  # the next documents of about a megabyte of ids together
+                        start = e - n
+                        held = max(e, int(ends[min(np.searchsorted(ends, start + READ_IDS), len(ends) - 1)]))
+                        ids = reader.slice(start, held).astype("<u4")
+                    sums.append(zlib.crc32(ids[e - n - start : e - start].data))
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
