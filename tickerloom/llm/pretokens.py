@@ -17,6 +17,18 @@ _LOOSE = re.compile(r" (?:\s|\Z)")
 WINDOW = 1 << 22
 
 
+class Numbers(dict):
+    """Numbers keys in order of appearance and remembers the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = found = len(self)
+        self.new.append(key)
+        return found
+
+
 def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     """The text in pieces that start at chunk borders."""
     at = 0

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm import dac
 from tickerloom.llm.common import parts, read, shared_path
-from tickerloom.llm.pretokens import chunk_keys, chunk_text, ragged, windows
+from tickerloom.llm.pretokens import Numbers, chunk_keys, chunk_text, ragged, windows
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
@@ -42,18 +42,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Numbers(dict):
-    """Numbers keys in order of appearance and remembers the new ones."""
-
-    def __init__(self) -> None:
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        self[key] = found = len(self)
-        self.new.append(key)
-        return found
-
-
 class ChunkEncoder:
     """Encodes texts with the tokenizers library; each different chunk once while it is remembered."""
 
@@ -67,7 +55,7 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number = _Numbers()
+        self.number = Numbers()
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 16, np.int64)
