@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import bpe, licenses, mixing, multi_index, quality, simhash, token_store, weighted_sampling
+from tickerloom.llm import bpe, language, licenses, mixing, multi_index, quality, rollup, simhash, token_store, weighted_sampling
 
 QUERIES = {
     "op1_token_store": token_store.op1,
     "op2_weighted_fingerprints": weighted_sampling.op2,
+    "op3_page_language": language.op3,
     "op4_license_scan": licenses.op4,
     "op5_multi_index_search": multi_index.op5,
     "op6_quality_scores": quality.op6,
+    "op7_token_rollup": rollup.op7,
     "op8_byte_bpe": bpe.op8,
     "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
 }
 
 ORACLE_SQL = {
+    "op7_token_rollup": rollup.OP7_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }
