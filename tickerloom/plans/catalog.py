@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tickerloom.operators import feeds
+from tickerloom.sources.domain import News
+
+MODULES = (feeds,)
+
+
+def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(News(spark, sf_dir))
+
+
+QUERIES = {name: _over_folder(query) for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
