@@ -206,7 +206,7 @@ def with_next(docs: DataFrame, text: str, id_col: str, buckets: int) -> DataFram
             halo = rows.filter(is_head).withColumn("bucket", _bucket(F.col("id"), bounds)).withColumn("bucket", to)
             whole = whole.unionByName(halo.withColumn("halo", F.lit(True)).select(*whole.columns))
     order = ["bucket", "halo", F.col("id").desc_nulls_last(), "tie"]
-    return whole.repartition(buckets, "bucket").sortWithinPartitions(*order).select("bucket", "halo", "id", "text")
+    return whole.repartitionById(buckets, F.col("bucket")).sortWithinPartitions(*order).select("bucket", "halo", "id", "text")
 
 
 def edited_fingerprints(
