@@ -26,8 +26,10 @@ EPOCHS = 6
 RATE = 0.4
 SEED = 11
 #: The fit takes about so many labelled rows, none longer than so many code points.
-FIT_ROWS = 8_000
+FIT_ROWS = 3_000
 FIT_CHARS = 20_000
+#: Texts whose features are made at a time.
+FIT_STEP = 50
 THRESHOLD = 0.7
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
@@ -93,16 +95,14 @@ def pair_features(first: np.ndarray) -> np.ndarray:
 
 
 def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and their shares."""
-    table = WordTable()
-    split = [t.split() for t in texts]
-    numbers = [table.numbers(words) for words in split]
+    """Distinct buckets of each text and their shares, as 32-bit numbers."""
+    table, out = WordTable(), []
+    numbers = [table.numbers(t.split()) for t in texts]
     flat, lengths = table.learn()
     starts = np.cumsum(lengths) - lengths
-    out = []
     for own in numbers:
         if not len(own):
-            out.append((np.empty(0, np.int64), np.empty(0, np.float32)))
+            out.append((np.empty(0, np.int32), np.empty(0, np.float32)))
             continue
         words, counts = np.unique(own, return_counts=True)
         n = lengths[words]
@@ -110,7 +110,7 @@ def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         every = np.concatenate([ragged(flat, starts[words], n), pairs])
         ids, back = np.unique(every, return_inverse=True)
         sums = np.bincount(back, np.concatenate([np.repeat(counts / n, n), np.ones(len(pairs))]))
-        out.append((ids, (sums / sums.sum()).astype(np.float32)))
+        out.append((ids.astype(np.int32), (sums / sums.sum()).astype(np.float32)))
     return out
 
 
@@ -125,7 +125,7 @@ class Model:
 
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
         """Stochastic gradient descent on the log loss; the rate falls linearly to 0."""
-        rows = document_features(texts)
+        rows = [row for at in range(0, len(texts), FIT_STEP) for row in document_features(texts[at : at + FIT_STEP])]
         rng, step, steps = np.random.default_rng(seed), 0, max(1, epochs * len(rows))
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
