@@ -245,14 +245,10 @@ def position_percentiles(news: News) -> DataFrame:
     return news.holds.select("client_id", "instrument_id", "weight", share.alias("percentile"))
 
 
-def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int = 240, only_types: list[str] | None = None, esg_only: bool = False, every: int = 5) -> DataFrame:
-    """The best documents of each client over all channels, without repeated titles.
-
-    Clients are those that are not defunct. ``every`` is part of the query: one client in five, as
-    a morning run serves clients in five shifts.
-    """
+def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int = 240, only_types: list[str] | None = None, esg_only: bool = False) -> DataFrame:
+    """The best documents of each client that isn't defunct, over all channels, without repeated titles."""
     bias = sc.Bias(opportunity)
-    clients = news.clients.filter(F.coalesce("status", F.lit("active")) != "defunct").filter(F.col("client_id") % every == 0)
+    clients = news.clients.filter(F.coalesce("status", F.lit("active")) != "defunct")
     if only_types:
         clients = clients.filter(F.col("client_type").isin(only_types))
     if esg_only:
@@ -301,7 +297,7 @@ def merge_candidates(found: DataFrame) -> DataFrame:
 
 
 def _active(news: News) -> DataFrame:
-    return news.clients.filter(F.coalesce("status", F.lit("active")) != "defunct").filter(F.col("client_id") % 5 == 0)
+    return news.clients.filter(F.coalesce("status", F.lit("active")) != "defunct")
 
 
 def reason_breakdown(news: News) -> DataFrame:
@@ -315,7 +311,7 @@ def _candidate_ctes(x: float, chosen: str) -> list[tuple[str, str]]:
     base = "CASE channel " + " ".join(f"WHEN '{k}' THEN {y!r}" for k, y in b.items()) + " END::DOUBLE"
     vector = ""
     ctes = [
-        ("cl", f"SELECT * FROM clients WHERE coalesce(status, 'active') <> 'defunct' AND client_id % 5 = 0 AND {chosen}"),
+        ("cl", f"SELECT * FROM clients WHERE coalesce(status, 'active') <> 'defunct' AND {chosen}"),
         ("hd", "SELECT * FROM docs WHERE impact_tier IN ('PLATINUM', 'GOLD', 'SILVER')"),
         ("al", "SELECT permitted.client_id, permitted.group_id, impact_threshold, mandate_themes, mandate_vec_id FROM permitted JOIN cl USING (client_id)"),
         ("issuers", "SELECT DISTINCT client_id, company_id FROM holds JOIN instr USING (instrument_id)"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators.feeds import lateral_instruments, rank_in, text_list
 from tickerloom.sources.domain import News
 from tickerloom.sources.domain_sql import sql
+from tickerloom.sources.lineage import cut_lineage
 
 
 def edges(n: News) -> DataFrame:
@@ -24,25 +25,25 @@ def edges(n: News) -> DataFrame:
 
 
 def explore(n: News, hops: int) -> DataFrame:
-    """(start, node, depth): nodes within some hops of every hundredth company, at their least depth."""
+    """(start, node, depth): nodes within some hops of each company, at their least depth."""
     links = edges(n).select("a", "b").distinct()
-    start = n.companies.filter(F.col("company_id") % 100 == 7).select(F.concat(F.lit("C"), F.col("company_id").cast("string")).alias("start"))
+    start = n.companies.select(F.concat(F.lit("C"), F.col("company_id").cast("string")).alias("start"))
     seen = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     front = seen
     for depth in range(1, hops + 1):
         step = front.join(links, front.node == links.a).select("start", F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = cut_lineage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
 
 def lateral_expansion(n: News) -> DataFrame:
-    rows = lateral_instruments(n).filter(F.col("client_id") % 10 == 3)
+    rows = lateral_instruments(n)
     return rows.groupBy("client_id", "channel").agg(F.count("*").alias("n"), F.min("instrument_id").alias("least"), F.max("instrument_id").alias("most"))
 
 
 def peer_instruments(n: News) -> DataFrame:
-    """Five instruments of the same sector, by key, for every instrument of even key below its sector's."""
+    """Five instruments of the same sector, by key, other than itself."""
     own = n.instruments.select("instrument_id", "company_id").join(n.companies.select("company_id", "sector"), "company_id").select("instrument_id", "sector")
     ranked = own.withColumn("r", rank_in(["sector"], F.col("instrument_id"))).filter("r <= 6").select(F.col("instrument_id").alias("peer"), "sector")
     rows = own.join(ranked, "sector").filter("instrument_id <> peer")
@@ -130,12 +131,12 @@ def supply_connections(n: News) -> DataFrame:
 def shortest_path(n: News, depth: int = 6) -> DataFrame:
     """Least hops from company 0 over supplies and competition, both ways."""
     one = n.supplies.select("from_id", "to_id").union(n.competes.select("from_id", "to_id"))
-    links = one.union(one.select("to_id", "from_id")).distinct()
+    links = cut_lineage(one.union(one.select("to_id", "from_id")).distinct())
     seen = n.companies.filter("company_id = 0").select(F.col("company_id").alias("node"), F.lit(0).alias("hops"))
     front = seen
     for hops in range(1, depth + 1):
         step = front.join(links, front.node == links.from_id).select(F.col("to_id").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops))
+        front = cut_lineage(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
         seen = seen.unionByName(front)
     return seen
 
@@ -156,7 +157,7 @@ _EDGES = [("e1", _E1), ("edg", "SELECT rel, a, b FROM e1 UNION ALL SELECT rel, b
 
 
 def _explore_sql(hops: int) -> str:
-    more = [("s0", "SELECT 'C' || company_id AS start, 'C' || company_id AS node, 0 AS depth FROM comps WHERE company_id % 100 = 7")]
+    more = [("s0", "SELECT 'C' || company_id AS start, 'C' || company_id AS node, 0 AS depth FROM comps")]
     for d in range(1, hops + 1):
         more.append((f"s{d}", f"SELECT start, node, min(depth) AS depth FROM (SELECT * FROM s{d - 1} UNION ALL SELECT start, b, {d} FROM s{d - 1} JOIN lk ON node = a) GROUP BY 1, 2"))
     return sql(f"SELECT start, node, depth FROM s{hops} WHERE depth > 0", *_EDGES, *more)
@@ -170,7 +171,7 @@ SQL = {
     "explore_hops_1": _explore_sql(1),
     "explore_hops_2": _explore_sql(2),
     "lateral_expansion": sql("""SELECT client_id, channel, count(*) AS n, min(instrument_id) AS least, max(instrument_id) AS most FROM (SELECT DISTINCT client_id, channel, to_id FROM
-        (SELECT DISTINCT client_id, company_id FROM holds JOIN instr USING (instrument_id) WHERE client_id % 10 = 3) JOIN lat ON company_id = from_id) JOIN instr ON to_id = company_id GROUP BY 1, 2""",
+        (SELECT DISTINCT client_id, company_id FROM holds JOIN instr USING (instrument_id)) JOIN lat ON company_id = from_id) JOIN instr ON to_id = company_id GROUP BY 1, 2""",
         ("lat", """SELECT from_id, to_id, 'COMPETITOR' AS channel FROM competes UNION SELECT to_id, from_id, 'COMPETITOR' FROM competes UNION SELECT to_id, from_id, 'SUPPLY_CHAIN' FROM supplies
             UNION SELECT a.company_id, b.company_id, 'PEER' FROM comps a JOIN comps b ON a.sector = b.sector AND a.company_id <> b.company_id""")),
     "peer_instruments": sql("""SELECT instrument_id, rank, peer FROM (SELECT x.instrument_id, y.instrument_id AS peer, row_number() OVER (PARTITION BY x.instrument_id ORDER BY y.instrument_id) AS rank

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.operators import dedupe, feeds, graph, trends
+from tickerloom.operators import clients, dedupe, feeds, graph, trends
 from tickerloom.sources.domain import News
 
-MODULES = (feeds, trends, dedupe, graph)
+MODULES = (feeds, trends, dedupe, graph, clients)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
