@@ -94,10 +94,28 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_
     return TextModel(languages or ["und"], counts)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    odds = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+def _softmax(df: DataFrame, name: str, logs: str, n: int) -> DataFrame:
+    """``df`` with the shares that an array of n log weights stands for; steps are columns, so none is computed twice."""
+    odds = [F.exp(F.col(logs)[i] - F.col("__top")) for i in range(n)]
+    return (
+        df.withColumn("__top", F.array_max(logs))
+        .withColumn("__odds", F.array(*odds))
+        .withColumn("__all", sum((F.col("__odds")[i] for i in range(1, n)), F.col("__odds")[0]))
+        .withColumn(name, F.array(*[F.col("__odds")[i] / F.col("__all") for i in range(n)]))
+        .drop("__top", "__odds", "__all")
+    )
+
+
+def _leaned(df: DataFrame, name: str, sums: str, above: list[Column]) -> DataFrame:
+    """``df`` with shares of counts, less the row's own share, smoothed towards ``above``; rounding may leave less than nothing."""
+    n = len(above)
+    rest = [F.greatest(F.coalesce(F.col(sums)[i], F.lit(0.0)) - F.when(F.col(sums).isNull(), 0.0).otherwise(F.col("__own")[i]), F.lit(0.0)) for i in range(n)]
+    return (
+        df.withColumn("__rest", F.array(*rest))
+        .withColumn("__all", sum((F.col("__rest")[i] for i in range(1, n)), F.col("__rest")[0]))
+        .withColumn(name, F.array(*[(F.col("__rest")[i] + SMOOTHING * above[i]) / (F.col("__all") + SMOOTHING) for i in range(n)]))
+        .drop("__rest", "__all")
+    )
 
 
 def _sums(column: str, n: int) -> list[Column]:
@@ -128,7 +146,7 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     Null declarations, suffixes, domains and hosts say nothing. ``evidence`` is read several times.
     """
     n = len(languages)
-    rows = evidence.withColumn("__own", _softmax(F.col("__logs")))
+    rows = _softmax(evidence, "__own", "__logs", n)
     everything = rows.agg(*_sums("__own", n)).first()
     overall = [float(everything[i] or 0) for i in range(n)]
     total = sum(overall) or 1.0
@@ -154,29 +172,18 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         .join(conditional("declared"), "declared", "left")
         .join(conditional("suffix"), "suffix", "left")
     )
-    zero = F.array(*[F.lit(0.0)] * n)
-    own_domain, own_host = F.coalesce("__domain_sums", zero), F.coalesce("__host_sums", zero)
-    # the page's own share is taken out; rounding may leave less than nothing
-    less = lambda sums: F.transform(F.arrays_zip(sums.alias("a"), F.col("__own").alias("b")), lambda z: F.greatest(z["a"] - z["b"], F.lit(0.0)))
-    whole = F.array(*[F.lit(b) for b in base])
-    by_domain = _lean(less(own_domain), whole)
-    prior = _lean(less(own_host), by_domain)
-    parts = [F.col("__logs"), F.transform(prior, lambda p: F.log(p)), F.coalesce("__declared_logs", zero), F.coalesce("__suffix_logs", zero)]
-    logs = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(n)])
+    joined = _leaned(joined, "__by_domain", "__domain_sums", [F.lit(b) for b in base])
+    joined = _leaned(joined, "__prior", "__host_sums", [F.col("__by_domain")[i] for i in range(n)])
+    none = F.lit(0.0)
+    logs = [
+        F.col("__logs")[i] + F.log(F.col("__prior")[i]) + F.coalesce(F.col("__declared_logs")[i], none) + F.coalesce(F.col("__suffix_logs")[i], none)
+        for i in range(n)
+    ]
+    post = _softmax(joined.withColumn("__fused", F.array(*logs)), "posterior", "__fused", n).withColumn("confidence", F.array_max("posterior"))
     named = F.array(*[F.lit(x) for x in languages])
-    post = joined.withColumn("posterior", _softmax(logs))
-    best = F.array_max("posterior")
-    sure = (best >= CONFIDENT) & (F.col("__grams") > 0)
-    return (
-        post.withColumn("confidence", best)
-        .withColumn("language", F.when(sure, F.element_at(named, F.array_position("posterior", best).cast("int"))).otherwise("und"))
-    )
-
-
-def _lean(sums: Column, above: Column) -> Column:
-    """Shares of ``sums`` smoothed towards ``above``."""
-    total = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(F.arrays_zip(sums.alias("a"), above.alias("b")), lambda z: (z["a"] + SMOOTHING * z["b"]) / (total + SMOOTHING))
+    sure = (F.col("confidence") >= CONFIDENT) & (F.col("__grams") > 0)
+    best = F.element_at(named, F.array_position("posterior", F.col("confidence")).cast("int"))
+    return post.withColumn("language", F.when(sure, best).otherwise("und"))
 
 
 def page_text(html: Column) -> Column:
