@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.operators import clients, dedupe, feeds, graph, trends
 from tickerloom.sources.domain import News
+from tickerloom.streaming import alerts
 
-MODULES = (feeds, trends, dedupe, graph, clients)
+MODULES = (feeds, trends, dedupe, graph, clients, alerts)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

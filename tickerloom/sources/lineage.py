@@ -1,15 +1,24 @@
-"""Reliable checkpoints for iterative queries."""
+"""Reliable checkpoints for iterative queries and streams."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and keep it in the shared checkpoint folder; a temporary one only if none is configured."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only if none is configured."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tickerloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickerloom-"))
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and keep it in the shared checkpoint folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
