@@ -74,11 +74,17 @@ class TokenRollup:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """Load all documents under two tokenizer versions, revise one, delete what labels call bad, and replay a batch."""
-    docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    chars = F.ceil(F.length(text) / 4).cast("long")
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    # counts first, so that no join shuffles texts
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        "lang",
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
+        F.ceil(F.length(text) / 4).cast("long").alias("chars"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),
+    )
+    words, chars, lines = F.col("words"), F.col("chars"), F.col("lines")
     none = F.lit(None).cast("long")
 
     def changes(rows: DataFrame, change: str, version: str, tokens, old=none) -> DataFrame:
