@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,16 @@ def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     ids = ids.toDF("__gone")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def fit_in_task(sample: DataFrame, fit):
+    """``fit`` of a bounded sample, as a dict of columns, in one task; its pickled result comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        columns = table.to_pydict() if table is not None else {name: [] for name in names}
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(columns))]}, schema=pa.schema([("model", pa.binary())]))
+
+    names = sample.columns
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit({name: [] for name in names})  # no rows may mean no task

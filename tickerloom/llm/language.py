@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import cut_lineage, read
+from tickerloom.llm.common import cut_lineage, fit_in_task, read
 
 BUCKET_BITS = 16
 GRAMS = (1, 2, 3)
@@ -85,13 +85,17 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_
     known = docs.filter(F.col(lang).isNotNull() & (F.length(text) <= fit_chars)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     total = known.count()
     share = int(1_000_000 * min(1.0, fit_rows / max(total, 1)))
-    rows = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < share).toPandas()
-    languages = sorted(rows["lang"].unique().tolist())
-    counts = np.zeros((1 << BUCKET_BITS, max(len(languages), 1)))
-    for name, value in zip(rows["lang"], rows["text"], strict=True):
-        for found in text_buckets(value):
-            counts[:, languages.index(name)] += np.bincount(found, minlength=1 << BUCKET_BITS)
-    return TextModel(languages or ["und"], counts)
+    some = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < share)
+
+    def fit(columns: dict[str, list]) -> TextModel:
+        languages = sorted(set(columns["lang"]))
+        counts = np.zeros((1 << BUCKET_BITS, max(len(languages), 1)))
+        for name, value in zip(columns["lang"], columns["text"], strict=True):
+            for found in text_buckets(value):
+                counts[:, languages.index(name)] += np.bincount(found, minlength=1 << BUCKET_BITS)
+        return TextModel(languages or ["und"], counts)
+
+    return fit_in_task(some, fit)
 
 
 def _softmax(df: DataFrame, name: str, logs: str, n: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import read
+from tickerloom.llm.common import fit_in_task, read
 from tickerloom.llm.pretokens import Numbers, ragged
 
 BUCKET_BITS = 17
@@ -223,10 +223,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_
     some = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1_000_000)) < share)
     texts = docs.filter(F.length("text") <= fit_chars).select(F.col(id_col).alias("__id"), "text")
     # as many rows as the sample is bounded to
-    rows = texts.join(F.broadcast(some), "__id").toPandas().sort_values(["__id", "__quality", "text"])
-    if not len(rows):
-        return Model()
-    return Model().fit(rows["text"].tolist(), rows["__quality"].to_numpy())
+    rows = texts.join(F.broadcast(some), "__id")
+
+    def fit(columns: dict[str, list]) -> Model:
+        order = sorted(range(len(columns["__id"])), key=lambda i: (columns["__id"][i], columns["__quality"][i], columns["text"][i]))
+        return Model().fit([columns["text"][i] for i in order], np.array([columns["__quality"][i] for i in order], np.int64))
+
+    return fit_in_task(rows, fit)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
