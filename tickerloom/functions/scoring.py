@@ -26,7 +26,7 @@ def age_seconds(created: Column, now: Column) -> Column:
 def recency30(created: Column, now: Column) -> Column:
     """2.718 ** (-0.023 days), days rounded down and at least 0; .5 without a date."""
     days = F.greatest(F.lit(0), F.floor(age_seconds(created, now) / 86400))
-    return F.coalesce(F.pow(F.lit(2.718), days * F.lit(-0.023)), F.lit(0.5))
+    return F.when(created.isNull(), 0.5).otherwise(F.pow(F.lit(2.718), days * F.lit(-0.023)))
 
 
 def recency_breaking(created: Column, now: Column, half_life_minutes: float) -> Column:
@@ -34,7 +34,7 @@ def recency_breaking(created: Column, now: Column, half_life_minutes: float) ->
     if half_life_minutes <= 0:
         return F.lit(0.0)
     minutes = F.greatest(F.lit(0.0), age_seconds(created, now) / 60)
-    return F.coalesce(F.exp(minutes * F.lit(-math.log(2) / half_life_minutes)), F.lit(0.5))
+    return F.when(created.isNull(), 0.5).otherwise(F.exp(minutes * F.lit(-math.log(2) / half_life_minutes)))
 
 
 def impact_norm(impact: Column) -> Column:
