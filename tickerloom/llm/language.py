@@ -98,28 +98,24 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_
     return fit_in_task(some, fit)
 
 
-def _softmax(df: DataFrame, name: str, logs: str, n: int) -> DataFrame:
-    """``df`` with the shares that an array of n log weights stands for; steps are columns, so none is computed twice."""
-    odds = [F.exp(F.col(logs)[i] - F.col("__top")) for i in range(n)]
-    return (
-        df.withColumn("__top", F.array_max(logs))
-        .withColumn("__odds", F.array(*odds))
-        .withColumn("__all", sum((F.col("__odds")[i] for i in range(1, n)), F.col("__odds")[0]))
-        .withColumn(name, F.array(*[F.col("__odds")[i] / F.col("__all") for i in range(n)]))
-        .drop("__top", "__odds", "__all")
-    )
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    """Shares that rows of log weights stand for."""
+    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
-def _leaned(df: DataFrame, name: str, sums: str, above: list[Column]) -> DataFrame:
-    """``df`` with shares of counts, less the row's own share, smoothed towards ``above``; rounding may leave less than nothing."""
-    n = len(above)
-    rest = [F.greatest(F.coalesce(F.col(sums)[i], F.lit(0.0)) - F.when(F.col(sums).isNull(), 0.0).otherwise(F.col("__own")[i]), F.lit(0.0)) for i in range(n)]
-    return (
-        df.withColumn("__rest", F.array(*rest))
-        .withColumn("__all", sum((F.col("__rest")[i] for i in range(1, n)), F.col("__rest")[0]))
-        .withColumn(name, F.array(*[(F.col("__rest")[i] + SMOOTHING * above[i]) / (F.col("__all") + SMOOTHING) for i in range(n)]))
-        .drop("__rest", "__all")
-    )
+def _leaned(sums: np.ndarray, own: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Shares of counts, less the row's own share, smoothed towards ``above``; rounding may leave less than nothing."""
+    rest = np.maximum(sums - own, 0)
+    return (rest + SMOOTHING * above) / (rest.sum(axis=1, keepdims=True) + SMOOTHING)
+
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    """A column of arrays of n numbers as a matrix; null arrays are rows of not-a-number."""
+    out = np.full((len(column), n), np.nan)
+    held = column.is_valid().to_numpy(zero_copy_only=False)
+    out[held] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
 
 def _sums(column: str, n: int) -> list[Column]:
@@ -131,17 +127,21 @@ def _array(n: int, prefix: str = "s") -> Column:
 
 
 def text_likelihoods(df: DataFrame, model: TextModel, text: str) -> DataFrame:
-    """``df`` with __logs (by language) and __grams."""
+    """``df`` with __logs and __own (log likelihoods and shares by language) and __grams."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.likelihoods(t or "") for t in batch.column(at).to_pylist()]
-            logs = pa.array([f[0] for f in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, logs, pa.array([f[1] for f in found], pa.int64())], names=[*batch.schema.names, "__logs", "__grams"])
+            if not found:
+                continue
+            logs = np.array([f[0] for f in found])
+            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (logs, _softmax(logs))]
+            grams = pa.array([f[1] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, grams], names=[*batch.schema.names, "__logs", "__own", "__grams"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, "__logs array<double>", "__grams long"]))
+    return df.mapInArrow(run, ", ".join([*fields, "__logs array<double>", "__own array<double>", "__grams long"]))
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -150,7 +150,7 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     Null declarations, suffixes, domains and hosts say nothing. ``evidence`` is read several times.
     """
     n = len(languages)
-    rows = _softmax(evidence, "__own", "__logs", n)
+    rows = evidence
     everything = rows.agg(*_sums("__own", n)).first()
     overall = [float(everything[i] or 0) for i in range(n)]
     total = sum(overall) or 1.0
@@ -176,18 +176,27 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         .join(conditional("declared"), "declared", "left")
         .join(conditional("suffix"), "suffix", "left")
     )
-    joined = _leaned(joined, "__by_domain", "__domain_sums", [F.lit(b) for b in base])
-    joined = _leaned(joined, "__prior", "__host_sums", [F.col("__by_domain")[i] for i in range(n)])
-    none = F.lit(0.0)
-    logs = [
-        F.col("__logs")[i] + F.log(F.col("__prior")[i]) + F.coalesce(F.col("__declared_logs")[i], none) + F.coalesce(F.col("__suffix_logs")[i], none)
-        for i in range(n)
-    ]
-    post = _softmax(joined.withColumn("__fused", F.array(*logs)), "posterior", "__fused", n).withColumn("confidence", F.array_max("posterior"))
-    named = F.array(*[F.lit(x) for x in languages])
-    sure = (F.col("confidence") >= CONFIDENT) & (F.col("__grams") > 0)
-    best = F.element_at(named, F.array_position("posterior", F.col("confidence")).cast("int"))
-    return post.withColumn("language", F.when(sure, best).otherwise("und"))
+    parts = ["__logs", "__own", "__host_sums", "__domain_sums", "__declared_logs", "__suffix_logs"]
+    keys = [c for c in evidence.columns if c not in parts]
+    whole = np.array(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            logs, own, host, domain, declared, suffix = (_rows(batch.column(c), n) for c in parts)
+            by_domain = _leaned(np.where(np.isnan(domain), own, domain), own, whole)
+            prior = _leaned(np.where(np.isnan(host), own, host), own, by_domain)
+            post = _softmax(logs + np.log(prior) + np.nan_to_num(declared) + np.nan_to_num(suffix))
+            best = post.max(axis=1)
+            sure = (best >= CONFIDENT) & (batch.column("__grams").to_numpy() > 0)
+            named = np.where(sure, np.array(languages, object)[post.argmax(axis=1)], "und")
+            made = [pa.array(named.tolist(), pa.string()), pa.array(best), pa.array(list(post), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *made], names=[*keys, "language", "confidence", "posterior"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in evidence.schema.fields}
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "language string", "confidence double", "posterior array<double>"])
+    return joined.select(*keys, *parts).mapInArrow(run, out)
 
 
 def page_text(html: Column) -> Column:
