@@ -346,7 +346,12 @@ def test_mix(spark):
         sums.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
     assert all(abs(taken - target) <= 1 for taken, target in sums.values())
     assert mixing.mix_sources(sized.limit(0)).count() == 0
-    assert mixing.repeat_taken(mixing.mix_sources(sized)).count() > 0
+    times = {r['doc_id']: 0 for r in found}
+    for r in mixing.mix_documents(odd(spark)).collect():
+        assert r['text'].strip() and r['row'] in ('r', None)
+        times[r['doc_id']] += 1
+    assert max(times.values()) <= 4 and sum(times.values()) > 0
+    assert mixing.mix_documents(odd(spark, [])).count() == 0
 
 
 # the pipeline

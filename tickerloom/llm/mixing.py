@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import WORD, read, without
+from tickerloom.llm.common import BROADCAST_IDS, WORD, cut_lineage, read, without
 
 #: 3 hex digits: ranges of the key in each source.
 RANGES = 4096
@@ -120,14 +120,28 @@ def mix_sources(
     )
 
 
-def repeat_taken(mixed: DataFrame, size: str = "size") -> DataFrame:
-    """The training rows of a mix: each row as often as it is taken, whole.
+def times_taken(size: Column, taken: Column) -> Column:
+    """How often a row is taken whole: the one on a source's cut counts once more if at least half of it is inside the budget."""
+    return F.when(size > 0, F.floor(taken / size + F.lit(0.5))).otherwise(0).cast("int")
 
-    The row on a source's cut counts once more if at least half of it is inside the budget.
+
+def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The training rows of a mix: each row of ``docs`` as often as it is taken, whole.
+
+    The mix works on ids and sizes; texts meet only the number of copies, by id and a hash of the
+    text, and are shuffled only if that table has more than ``BROADCAST_IDS`` rows. Equal rows share
+    their copies evenly, rounded down. Rows without words aren't taken.
     """
-    times = F.when(F.col(size) > 0, F.floor(F.col("taken") / F.col(size) + F.lit(0.5))).otherwise(0).cast("int")
-    copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("__copy", F.explode(copies)).drop("__copy")
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    narrow = docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    mixed = mix_sources(narrow, key=("__id", "__mark"))
+    copies = cut_lineage(
+        mixed.groupBy("__id", "__mark").agg(F.floor(F.avg(times_taken(F.col("size"), F.col("taken")))).cast("int").alias("__times")).filter("__times > 0")
+    )
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    on = F.equal_null(F.col(id_col), F.col("__id")) & (mark == F.col("__mark"))
+    joined = docs.join(F.broadcast(copies) if few else copies, on)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
