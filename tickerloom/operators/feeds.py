@@ -108,12 +108,17 @@ def avatar_channels(news: News, limit: int = 20, hours: int = 720) -> tuple[Data
         news.affects.select("doc_id", "instrument_id").join(positions, "instrument_id")
         .groupBy("client_id", "doc_id").agg(F.max("weight").alias("weight"), F.max("held").alias("held"))
     )
-    readable = docs.join(news.permitted, "group_id").join(clients, "client_id").filter(F.col("impact_score") >= F.col("impact_threshold"))
-    own = _newest(readable.join(touched, ["client_id", "doc_id"]), limit * 3).filter(F.col("created_at") >= after)
+    wanted = F.col("impact_score") >= F.col("impact_threshold")
+    reach = touched.join(docs, "doc_id").join(clients, "client_id").filter(wanted).join(news.permitted, ["client_id", "group_id"], "left_semi")
+    own = _newest(reach, limit * 3).filter(F.col("created_at") >= after)
     size = F.when(F.col("held"), F.greatest("weight", F.lit(1.0))).otherwise(F.greatest("weight", F.lit(0.5)))
     base = sc.impact_norm(F.col("impact_score")) * sc.recency30(F.col("created_at"), news.now)
     maintenance = own.select("client_id", "doc_id", (base * size).alias("score"), F.lit("MAINTENANCE").alias("channel"))
-    themed = readable.withColumn("fit", F.size(F.array_intersect("themes", "mandate_themes"))).filter("fit > 0")
+    by_theme = clients.join(news.permitted, "client_id").withColumn("theme", F.explode("mandate_themes"))
+    hits = docs.withColumn("theme", F.explode("themes")).join(by_theme, ["group_id", "theme"]).filter(wanted)
+    themed = hits.groupBy("client_id", "doc_id").agg(
+        F.count("*").alias("fit"), F.first("mandate_themes").alias("mandate_themes"), F.first("created_at").alias("created_at"), F.first("impact_score").alias("impact_score")
+    )
     free = themed.join(touched.select("client_id", "doc_id"), ["client_id", "doc_id"], "left_anti")
     new = _newest(free, limit * 3).filter(F.col("created_at") >= after)
     opportunity = new.select(
