@@ -14,8 +14,9 @@ shuffled; a checksum of the words proves that both passes saw the same block.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import parts, read
+from tickerloom.llm.common import give_back, map_batches, parts, read
 from tickerloom.llm.pretokens import chunk_keys, chunk_text, ragged, windows
 
 #: Code points of a block; a longer document is a block of its own.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 23
 #: Chunks that a worker remembers in a block.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 #: Output bytes in a batch.
 BATCH_BYTES = 1 << 23
 
@@ -124,6 +125,7 @@ def encode_documents(
     pattern: str | None = None,
     block_chars: int = BLOCK_CHARS,
     buckets: int | None = None,
+    finish: tuple[Callable[[pa.Table], pa.Table], str] | None = None,
 ) -> DataFrame:
     """(id, n_tokens, ids) for every row: ids are little-endian unsigned 32-bit integers in a binary.
 
@@ -133,6 +135,8 @@ def encode_documents(
       empty table gives no rows.
     * ``docs`` is read twice and must give the same rows in the same partitions, as files do;
       if it can't, cut its lineage first. Otherwise the job fails rather than mix up words.
+    * ``finish`` is a function of the tables (id, n_tokens, ids) that tasks make, and the fields besides
+      id of what it returns; then those come instead, and ids needn't leave the worker that has them.
     """
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
     buckets = buckets or parts(docs.sparkSession, 4)
@@ -236,24 +240,52 @@ def encode_documents(
             borders = np.concatenate([[0], np.cumsum(_unpack(counts).astype(np.int64))])
             ends = np.concatenate([[0], np.cumsum(n)])[borders]
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i8")), pa.py_buffer(ids)])
-            out.append(pa.Table.from_arrays([names.values, pa.array(np.diff(ends)), data.cast(pa.binary())], names=["id", "n_tokens", "ids"]))
-        return pa.concat_tables(out) if out else empty.empty_table()
+            table = pa.Table.from_arrays([names.values, pa.array(np.diff(ends)), data.cast(pa.binary())], names=["id", "n_tokens", "ids"])
+            out.append(finish[0](table) if finish else table)
+        if not out:
+            return finish[0](empty.empty_table()) if finish else empty.empty_table()
+        whole = pa.concat_tables(out)
+        give_back()
+        return whole
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
     empty = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     simple = kind.simpleString()
-    packs = (
-        rows.mapInArrow(words, "bucket int, block string, check long, numbers binary, sizes binary, words binary")
-        .repartition(buckets, "bucket")
-        .mapInArrow(encode, "block string, check long, numbers binary, counts binary, ids binary")
+    dealt = map_batches(rows, words, "bucket int, block string, check long, numbers binary, sizes binary, words binary")
+    packs = map_batches(
+        dealt.repartition(buckets, "bucket"), encode, "block string, check long, numbers binary, counts binary, ids binary"
     )
-    placed = rows.mapInArrow(positions, f"block string, check long, names array<{simple}>, counts binary, numbers binary")
-    found = placed.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(
-        assemble, f"id {simple}, n_tokens long, ids binary"
-    )
-    return found.select(F.col("id").alias(id_col), "n_tokens", "ids")
+    placed = map_batches(rows, positions, f"block string, check long, names array<{simple}>, counts binary, numbers binary")
+    fields = finish[1] if finish else "n_tokens long, ids binary"
+    found = placed.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(assemble, f"id {simple}, {fields}")
+    return found.withColumnRenamed("id", id_col)
+
+
+class Decoder:
+    """The token-byte table in a task: ids are joined to it by their value."""
+
+    def __init__(self, table: DataFrame):
+        pairs = table.select("token", "bytes").collect()
+        self.size = max((p["token"] for p in pairs), default=-1) + 1
+        pieces = [b""] * self.size
+        self.missing = np.ones(self.size, bool)
+        for p in pairs:
+            pieces[p["token"]] = bytes(p["bytes"])
+            self.missing[p["token"]] = False
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = b"".join(pieces)
+
+    def decode(self, ids: pa.Scalar) -> bytes | None:
+        """The bytes that little-endian unsigned 32-bit ids stand for; null ids give null."""
+        if not ids.is_valid:
+            return None
+        own = np.frombuffer(ids.as_buffer(), "<u4")
+        if len(own) and (int(own.max()) >= self.size or self.missing[own].any()):
+            raise ValueError("an id isn't in the token-byte table")
+        return ragged(np.frombuffer(self.flat, np.uint8), self.starts[own], self.lengths[own]).tobytes()
 
 
 def decode_documents(encoded: DataFrame, table: DataFrame, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -262,42 +294,29 @@ def decode_documents(encoded: DataFrame, table: DataFrame, id_col: str = "doc_id
     The token-byte table has a row a token, so its size is bounded by the vocabulary; each task
     joins it to the ids by their value. An id outside the table is an error; null ids decode to null.
     """
-    pairs = table.select("token", "bytes").collect()
-    size = max((p["token"] for p in pairs), default=-1) + 1
-    pieces = [b""] * size
-    missing = np.ones(size, bool)
-    for p in pairs:
-        pieces[p["token"]] = bytes(p["bytes"])
-        missing[p["token"]] = False
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    flat = b"".join(pieces)
+    decoder = Decoder(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = np.frombuffer(flat, np.uint8)
         for batch in batches:
-            column, out = batch.column(batch.schema.get_field_index(ids)), []
-            for value in column:
-                if not value.is_valid:
-                    out.append(None)
-                    continue
-                own = np.frombuffer(value.as_buffer(), "<u4")
-                if len(own) and (int(own.max()) >= size or missing[own].any()):
-                    raise ValueError("an id isn't in the token-byte table")
-                out.append(ragged(source, starts[own], lengths[own]).tobytes())
+            out = [decoder.decode(value) for value in batch.column(batch.schema.get_field_index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded"]
     kept = encoded.select(*[f.name for f in encoded.schema.fields if f.name != "decoded"])
-    return kept.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return map_batches(kept, run, ", ".join([*fields, "decoded binary"]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    spark = docs.sparkSession
-    encoded = encode_documents(docs)
-    decoded = decode_documents(encoded, token_bytes(spark, default_ranks()))
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: ids are decoded where they are put together."""
+    decoder = Decoder(token_bytes(docs.sparkSession, default_ranks()))
+
+    def finish(table: pa.Table) -> pa.Table:
+        ids = table.column("ids")
+        of_ids = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in ids], pa.string())
+        of_texts = pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in ids], pa.string())
+        return pa.Table.from_arrays([*table.select(["id", "n_tokens"]).columns, of_ids, of_texts], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode_documents(docs, finish=(finish, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +74,33 @@ def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session doesn't set its own.
+ARROW_BYTES = 4 << 20
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker keeps it while it waits for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size, whatever the length of texts; the worker gives its memory back at the end of a task."""
+    spark = df.sparkSession
+    if spark.conf.get(_ARROW_CONF, None) is None:
+        spark.conf.set(_ARROW_CONF, str(ARROW_BYTES))
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
 def fit_in_task(sample: DataFrame, fit):
     """``fit`` of a bounded sample, as a dict of columns, in one task; its pickled result comes back."""
 
@@ -81,5 +110,5 @@ def fit_in_task(sample: DataFrame, fit):
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(columns))]}, schema=pa.schema([("model", pa.binary())]))
 
     names = sample.columns
-    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    found = map_batches(sample.repartition(1), run, "model binary").first()
     return pickle.loads(found["model"]) if found else fit({name: [] for name in names})  # no rows may mean no task

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import cut_lineage, fit_in_task, read
+from tickerloom.llm.common import cut_lineage, fit_in_task, map_batches, read
 
 BUCKET_BITS = 16
 GRAMS = (1, 2, 3)
@@ -141,7 +141,7 @@ def text_likelihoods(df: DataFrame, model: TextModel, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists, grams], names=[*batch.schema.names, "__logs", "__own", "__grams"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, "__logs array<double>", "__own array<double>", "__grams long"]))
+    return map_batches(df, run, ", ".join([*fields, "__logs array<double>", "__own array<double>", "__grams long"]))
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -196,7 +196,7 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in evidence.schema.fields}
     out = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "language string", "confidence double", "posterior array<double>"])
-    return joined.select(*keys, *parts).mapInArrow(run, out)
+    return map_batches(joined.select(*keys, *parts), run, out)
 
 
 def page_text(html: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import fit_in_task, read
+from tickerloom.llm.common import fit_in_task, map_batches, read
 from tickerloom.llm.pretokens import Numbers, ragged
 
 BUCKET_BITS = 17
@@ -248,7 +248,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "quality_score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    return kept.mapInArrow(run, ", ".join([*fields, "quality_score double"]))
+    return map_batches(kept, run, ", ".join([*fields, "quality_score double"]))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
