@@ -10,6 +10,9 @@ from tickerloom.sources.domain import News
 from tickerloom.sources.domain_sql import sql
 from tickerloom.sources.lineage import cut_lineage
 
+#: Pieces in which the documents of a key are ranked first.
+PARTS = 64
+
 
 def edges(n: News) -> DataFrame:
     """All edges between keys like D1, I2, C3, both ways."""
@@ -50,13 +53,28 @@ def peer_instruments(n: News) -> DataFrame:
     return rows.withColumn("rank", rank_in(["instrument_id"], F.col("peer"))).filter("rank <= 5").select("instrument_id", "rank", "peer")
 
 
+def newest_shared(n: News, links: DataFrame, key: str) -> DataFrame:
+    """Up to 10 newer-first other documents that share a ``key`` with a document, from its distinct ``links`` (doc_id, key).
+
+    A document's best 10 lie among the newest 11 of each of its keys. These are taken from parts of a key first,
+    so a key of any size is ranked in pieces, and no pairs of its documents are made.
+    """
+    newest = lambda *keys: rank_in(list(keys), F.col("created_at").desc(), F.col("related"))
+    rows = links.join(n.documents.select("doc_id", "created_at"), "doc_id").select(key, F.col("doc_id").alias("related"), "created_at")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("related"), F.lit(PARTS))).withColumn("r", newest(key, "part")).filter("r <= 11")
+    few = parts.withColumn("r", newest(key)).filter("r <= 11").groupBy(key).agg(F.collect_list(F.struct("related", "created_at")).alias("few"))
+    found = links.join(few, key).select("doc_id", F.inline("few")).filter("doc_id <> related").distinct()
+    return found.withColumn("rank", newest("doc_id")).filter("rank <= 10").select("doc_id", "rank", "related")
+
+
 def related_documents(n: News) -> DataFrame:
-    """Up to 10 newer-first documents that mention a company that a document mentions, companies of at most 100 mentions."""
-    few = n.mentions.groupBy("company_id").agg(F.count("*").alias("c")).filter("c <= 100").select("company_id")
-    rows = n.mentions.join(few, "company_id", "left_semi")
-    pairs = rows.alias("x").join(rows.alias("y"), "company_id").filter("x.doc_id <> y.doc_id").select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("related")).distinct()
-    dated = pairs.join(n.documents.select(F.col("doc_id").alias("related"), "created_at"), "related")
-    return dated.withColumn("rank", rank_in(["doc_id"], F.col("created_at").desc(), F.col("related"))).filter("rank <= 10").select("doc_id", "rank", "related")
+    """Up to 10 newer-first documents that mention a company that a document mentions."""
+    return newest_shared(n, n.mentions, "company_id")
+
+
+def related_by_source(n: News) -> DataFrame:
+    """Up to 10 newer-first documents of a document's source."""
+    return newest_shared(n, n.documents.filter(F.col("source").isNotNull()).select("doc_id", "source"), "source")
 
 
 def docs_by_source(n: News) -> DataFrame:
@@ -164,7 +182,7 @@ def _explore_sql(hops: int) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    lateral_expansion, peer_instruments, related_documents, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
+    lateral_expansion, peer_instruments, related_documents, related_by_source, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
     phantom_instruments, cross_sector, co_mentions, event_cooccurrence, degree_centrality, supply_connections, shortest_path, version_chain,
 )} | {"explore_hops_1": lambda n: explore(n, 1), "explore_hops_2": lambda n: explore(n, 2)}
 SQL = {
@@ -179,6 +197,8 @@ SQL = {
     "related_documents": sql("""SELECT doc_id, rank, related FROM (SELECT p.doc_id, related, row_number() OVER (PARTITION BY p.doc_id ORDER BY created_at DESC, related) AS rank FROM
         (SELECT DISTINCT x.doc_id, y.doc_id AS related FROM f x JOIN f y ON x.company_id = y.company_id AND x.doc_id <> y.doc_id) p JOIN docs ON docs.doc_id = related) WHERE rank <= 10""",
         ("f", "SELECT * FROM mentions QUALIFY count(*) OVER (PARTITION BY company_id) <= 100")),
+    "related_by_source": sql("""SELECT doc_id, rank, related FROM (SELECT x.doc_id, y.doc_id AS related, row_number() OVER (PARTITION BY x.doc_id ORDER BY y.created_at DESC, y.doc_id) AS rank
+        FROM docs x JOIN docs y ON x.source = y.source AND x.doc_id <> y.doc_id) WHERE rank <= 10"""),
     "docs_by_source": sql("SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, doc_id) AS rank FROM docs WHERE group_id IN (0, 1)) WHERE rank <= 10"),
     "docs_by_company": sql("SELECT company_id, rank, doc_id FROM (SELECT company_id, doc_id, row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, doc_id) AS rank FROM mentions JOIN docs USING (doc_id)) WHERE rank <= 10"),
     "market_context": sql("""SELECT instrument_id, ticker, company, sector, region, index_name, least(10, count(*) OVER (PARTITION BY sector, p.k) - 1)::BIGINT AS peers, recent FROM (
