@@ -7,8 +7,9 @@ packed by hash bucket; in its bucket each distinct word of the corpus is encoded
 many blocks hold it, and the ids go back to the blocks. A block then puts the ids of its words
 at their positions. A very frequent word is one entry a block.
 
-The words and the positions come from two passes over the documents, so that texts are never
-shuffled; a checksum of the words proves that both passes saw the same block.
+Texts are cut once and never shuffled: one pass deals words and positions in one exchange, from which
+the encoding of words and the reassembly of blocks both read. If that exchange has to be computed again, after an
+executor is lost, say, a checksum of the words proves that both saw the same block.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import give_back, map_batches, parts, read
-from tickerloom.llm.pretokens import chunk_keys, chunk_text, ragged, windows
+from tickerloom.llm.pretokens import WINDOW, Numbers, chunk_keys, chunk_text, ragged, windows
 
 #: Code points of a block; a longer document is a block of its own.
 BLOCK_CHARS = 1 << 23
-#: Chunks that a worker remembers in a block.
-CACHE_CHUNKS = 100_000
+#: Chunks that a worker remembers in a block, and words in a bucket; then it starts anew.
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 2_000_000
+#: Code points that are cut at a time.
+STEP_CHARS = 1 << 20
+#: Word numbers of documents in a row of positions.
+PIECE_WORDS = 1_000_000
 #: Output bytes in a batch.
 BATCH_BYTES = 1 << 23
 
@@ -67,24 +75,45 @@ class WordNumbers:
 
         self.cut = regex.compile(pattern).findall
         self.number: dict[str, int] = {}
-        self.known: dict = {}
-
-    def _chunk(self, key) -> list[int]:
-        number = self.number
-        return [number.setdefault(w, len(number)) for w in self.cut(chunk_text(key))]
-
-    def numbers(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        known = self.known
-        for window in windows(text):
-            for key in chunk_keys(window):
-                found = known.get(key)
-                if found is None:
-                    if len(known) >= CACHE_CHUNKS:
-                        known.clear()
-                    found = known[key] = self._chunk(key)
-                out += found
-        return np.array(out, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = Numbers()
+        self.flat = np.empty(0, np.uint32)
+        self.lengths = np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        """Cuts the chunks that are new since the last call into words."""
+        keys, self.chunks.new = self.chunks.new, []
+        number, cut, found, sizes = self.number, self.cut, [], []
+        for key in keys:
+            words = cut(chunk_text(key))
+            sizes.append(len(words))
+            found += [number.setdefault(w, len(number)) for w in words]
+        self.flat = np.concatenate([self.flat, np.array(found, np.uint32)])
+        self.lengths = np.concatenate([self.lengths, np.array(sizes, np.int64)])
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of some texts, one after another, and how many each has."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self._forget()
+        keys = [chunk_keys(t) for t in texts]
+        every = list(chain.from_iterable(keys))
+        index = np.fromiter(map(self.chunks.__getitem__, every), np.int64, len(every))
+        if self.chunks.new:
+            self._learn()
+        starts, lengths = (np.cumsum(self.lengths) - self.lengths)[index], self.lengths[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
+        return ragged(self.flat, starts, lengths), np.diff(ends[borders])
+
+
+@lru_cache(maxsize=1)
+def _encoding(ranks: str, pattern: str):
+    """A worker process keeps its encoding from task to task."""
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -103,7 +132,7 @@ def _joined(words: list[bytes]) -> bytes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[str, list, list[str]]]:
-    """(block, ids, texts), the same in each pass over the same partition."""
+    """(block, ids, texts), the same whenever the same partition is read."""
     part, at, names, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -133,7 +162,7 @@ def encode_documents(
     * null and empty texts have no ids. Whole texts are encoded, whatever their length.
     * repeated rows each give a row; other columns are ignored, so their names can't clash. An
       empty table gives no rows.
-    * ``docs`` is read twice and must give the same rows in the same partitions, as files do;
+    * ``docs`` must give the same rows in the same partitions when it is read again, as files do;
       if it can't, cut its lineage first. Otherwise the job fails rather than mix up words.
     * ``finish`` is a function of the tables (id, n_tokens, ids) that tasks make, and the fields besides
       id of what it returns; then those come instead, and ids needn't leave the worker that has them.
@@ -143,20 +172,34 @@ def encode_documents(
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block, packed by bucket."""
-        for block, _, texts in _blocks(batches, block_chars):
-            seen = WordNumbers(pattern)
-            for t in texts:
-                for window in windows(t):
-                    for key in dict.fromkeys(chunk_keys(window)):
-                        if key not in seen.known:
-                            if len(seen.known) >= CACHE_CHUNKS:
-                                seen.known.clear()
-                            seen.known[key] = True
-                            seen._chunk(key)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The word numbers of each block's documents by position, in pieces, and its distinct words, packed by bucket."""
+
+        def row(key: str, words: bytes | None, names: list | None, numbers: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            values = [key], [block], [check], [_pack(numbers)], [_pack(sizes)], [words], [names]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, mixed, strict=True)], schema=mixed)
+
+        for block, names, texts in _blocks(batches, block_chars):
+            seen, pieces, piece, size, first, at = WordNumbers(pattern), [], [], 0, 0, 0
+            while at < len(texts):
+                to, length = at, 0
+                while to < len(texts) and (to == at or length + len(texts[to]) <= STEP_CHARS):
+                    length += len(texts[to])
+                    to += 1
+                if length <= WINDOW:
+                    numbers, counts = seen.numbers(texts[at:to])
+                else:
+                    numbers = np.concatenate([seen.numbers([w])[0] for w in windows(texts[at])])
+                    counts = np.array([len(numbers)])
+                piece.append((numbers, counts))
+                size, at = size + len(numbers), to
+                if size > PIECE_WORDS or at == len(texts):
+                    pieces.append((names[first:at], np.concatenate([n for n, _ in piece]), np.concatenate([c for _, c in piece])))
+                    piece, size, first = [], 0, at
             every = [w.encode() for w in seen.number]
             check = zlib.crc32(_joined(every))
+            for own, numbers, counts in pieces:
+                yield row(block, None, own, numbers, counts)
             home = np.fromiter((zlib.crc32(w) % buckets for w in every), np.int64, len(every))
             order = np.argsort(home, kind="stable")
             borders = np.searchsorted(home[order], np.arange(buckets + 1))
@@ -164,26 +207,20 @@ def encode_documents(
                 own = order[borders[bucket] : borders[bucket + 1]]
                 if len(own):
                     pack = [every[i] for i in own]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "bucket": [bucket], "block": [block], "check": [check], "numbers": [_pack(own)],
-                            "sizes": [_pack(np.fromiter(map(len, pack), np.uint32, len(pack)))],
-                            "words": [zstandard.ZstdCompressor(level=3).compress(_joined(pack))],
-                        },
-                        schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("check", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())]),
-                    )
+                    sizes = np.fromiter(map(len, pack), np.uint32, len(pack))
+                    yield row(f"bucket {bucket}", zstandard.ZstdCompressor(level=3).compress(_joined(pack)), None, own, sizes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct word of a bucket is encoded once."""
-        import tiktoken
-
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
+        encoding = _encoding(ranks, pattern)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             for block, check, numbers, sizes, data in zip(*(batch.column(k).to_pylist() for k in ("block", "check", "numbers", "sizes", "words")), strict=True):
                 blob = zstandard.ZstdDecompressor().decompress(data)
                 ends = np.cumsum(_unpack(sizes).astype(np.int64)).tolist()
                 found, start = [], 0
+                if len(known) > CACHE_WORDS:
+                    known.clear()
                 for end in ends:
                     word = blob[start:end]
                     ids = known.get(word)
@@ -198,30 +235,11 @@ def encode_documents(
                     schema=pa.schema([("block", pa.string()), ("check", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]),
                 )
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The word numbers of each document by position, in pieces."""
-        for block, names, texts in _blocks(batches, block_chars):
-            seen = WordNumbers(pattern)
-            pieces, piece, size, first = [], [], 0, 0
-            for i, t in enumerate(texts):
-                piece.append(seen.numbers(t))
-                size += len(piece[-1])
-                if size > 1_000_000 or i == len(texts) - 1:
-                    counts = np.array([len(p) for p in piece], np.uint32)
-                    pieces.append((names[first : i + 1], _pack(counts), _pack(np.concatenate(piece))))
-                    piece, size, first = [], 0, i + 1
-            check = zlib.crc32(_joined([w.encode() for w in seen.number]))
-            for own, counts, data in pieces:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([check], pa.int64()), pa.array([own], pa.list_(id_type)), pa.array([counts], pa.binary()), pa.array([data], pa.binary())],
-                    names=["block", "check", "names", "counts", "numbers"],
-                )
-
     def assemble(placed: pa.Table, packs: pa.Table) -> pa.Table:
         """The ids of a block's documents."""
         checks = {*placed.column("check").to_pylist(), *packs.column("check").to_pylist()}
         if len(checks) > 1:
-            raise ValueError("the documents changed between two passes; cut the lineage of the input")
+            raise ValueError("the documents changed between two reads; cut the lineage of the input")
         every = [_unpack(x) for x in packs.column("numbers").to_pylist()]
         total = sum(map(len, every))
         starts, lengths = np.zeros(total, np.int64), np.zeros(total, np.int64)
@@ -233,7 +251,7 @@ def encode_documents(
             used += len(flats[-1])
         flat = np.concatenate(flats)
         out = []
-        for names, counts, numbers in zip(placed.column("names"), placed.column("counts").to_pylist(), placed.column("numbers").to_pylist(), strict=True):
+        for names, counts, numbers in zip(placed.column("names"), placed.column("sizes").to_pylist(), placed.column("numbers").to_pylist(), strict=True):
             index = _unpack(numbers)
             n = lengths[index]
             ids = ragged(flat, starts[index], n).astype("<u4")
@@ -253,13 +271,20 @@ def encode_documents(
     id_type = to_arrow_type(kind)
     empty = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     simple = kind.simpleString()
-    dealt = map_batches(rows, words, "bucket int, block string, check long, numbers binary, sizes binary, words binary")
+    mixed = pa.schema(
+        [("key", pa.string()), ("block", pa.string()), ("check", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("names", pa.list_(id_type))]
+    )
+    dealt = map_batches(
+        rows, cut, f"key string, block string, check long, numbers binary, sizes binary, words binary, names array<{simple}>"
+    ).repartition(buckets, "key")
+    # a condition that isn't deterministic stays above the exchange, so that both sides read the same one
+    here = F.spark_partition_id() >= 0
     packs = map_batches(
-        dealt.repartition(buckets, "bucket"), encode, "block string, check long, numbers binary, counts binary, ids binary"
+        dealt.filter(F.col("words").isNotNull() == here), encode, "block string, check long, numbers binary, counts binary, ids binary"
     )
-    placed = map_batches(rows, positions, f"block string, check long, names array<{simple}>, counts binary, numbers binary")
+    placed = dealt.filter(F.col("words").isNull() == here)
     fields = finish[1] if finish else "n_tokens long, ids binary"
-    found = placed.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(assemble, f"id {simple}, {fields}")
+    found = placed.groupBy("key").cogroup(packs.groupBy("block")).applyInArrow(assemble, f"id {simple}, {fields}")
     return found.withColumnRenamed("id", id_col)
 
 
