@@ -10,6 +10,7 @@ sum over parts and then over the shards of a part.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,8 @@ READ_IDS = 1 << 18
 CACHE_CHUNKS = 1_200_000
 #: Code points that are encoded at a time.
 STEP_CHARS = 1 << 20
+#: New chunks that are given to the library as one text.
+JOINED = 64
 SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, n_ids array<long>, code binary"
 
 
@@ -43,14 +46,24 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library; each different chunk once while it is remembered."""
+    """Encodes texts with the tokenizers library; each different chunk once while it is remembered.
+
+    New chunks go to the library joined, as they stand in texts: borders between them are borders of the
+    pre-tokenizer too, and in a byte-level vocabulary they are where a token starts with a space.
+    """
 
     def __init__(self, path: str, cache: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.greedy = any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.cache = cache
         self._forget()
 
@@ -61,22 +74,50 @@ class ChunkEncoder:
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, each by itself, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _joined_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks that hold no space but the one before them."""
+        groups = [keys[at : at + JOINED] for at in range(0, len(keys), JOINED)]
+        ids, _ = self._ids([" " + " ".join(g) for g in groups])
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(keys):  # not a byte-level vocabulary
+            return self._ids([" " + k for k in keys])
+        return ids, np.diff(np.append(starts, len(ids)))
+
     def _learn(self) -> None:
         keys, self.number.new = self.number.new, []
-        known = len(self.number) - len(keys)
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([chunk_text(k) for k in some], add_special_tokens=False)]
-            first, sizes = known + at, np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while first + len(some) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[first : first + len(some)] = sizes
-            self.used += len(ids)
+        first = len(self.number) - len(keys)
+        while len(self.number) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        simple = np.fromiter((type(k) is str and " " not in k for k in keys), bool, len(keys))
+        for places, find in ((np.flatnonzero(simple), self._joined_ids), (np.flatnonzero(~simple), lambda some: self._ids(list(map(chunk_text, some))))):
+            for at in range(0, len(places), 4096):
+                some = places[at : at + 4096]
+                ids, sizes = find([keys[i] for i in some])
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.starts[first + some] = self.used + np.cumsum(sizes) - sizes
+                self.lengths[first + some] = sizes
+                self.used += len(ids)
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """The ids of one text of any length that may hold added tokens, like <|endoftext|>; texts end before and start after each."""
+        if self.greedy and self.cut.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        out, at = [], 0
+        for found in self.cut.finditer(text) if self.added else ():
+            out += [self._windows(text[at : found.start()]), np.array([self.added[found.group()]], np.uint32)]
+            at = found.end()
+        return np.concatenate([*out, self._windows(text[at:])])
+
+    def _windows(self, text: str) -> np.ndarray:
+        return np.concatenate([self.encode([w])[0] for w in windows(text, STEP_CHARS)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -101,14 +142,19 @@ def _encoder(path: str) -> ChunkEncoder:
 
 def _encoded(texts: list[str], encoder: ChunkEncoder) -> Iterator[np.ndarray]:
     """The ids of each text, several texts at a time."""
+    added = list(encoder.added)
+
+    def alone(text: str) -> bool:
+        return len(text) > STEP_CHARS or any(token in text for token in added)
+
     at = 0
     while at < len(texts):
-        if len(texts[at]) > STEP_CHARS:
-            yield np.concatenate([encoder.encode([w])[0] for w in windows(texts[at], STEP_CHARS)])
+        if alone(texts[at]):
+            yield encoder.encode_long(texts[at])
             at += 1
             continue
         to, size = at, 0
-        while to < len(texts) and size + len(texts[to]) <= STEP_CHARS:
+        while to < len(texts) and size + len(texts[to]) <= STEP_CHARS and not alone(texts[to]):
             size += len(texts[to])
             to += 1
         ids, counts = encoder.encode(texts[at:to])
@@ -129,6 +175,7 @@ def write_store(
 
     * null and empty texts hold the end id only. Whole texts are encoded, in windows if long;
       a document longer than a shard is a shard of its own.
+    * added tokens of the tokenizer that stand in a text, like <|endoftext|>, get their ids, as by the library's default.
     * null ids come first, equal ids in the order of a hash of their texts; repeated rows are
       repeated documents. An empty table writes an empty store.
     * other columns are ignored, so their names can't clash. Ids must be integers.
@@ -141,14 +188,14 @@ def write_store(
     dealt = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard, end = _encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
         names, found, total = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, names, found, total
             row = {
                 "part": [part], "shard": [shard], "n_tokens": [total], "doc_ids": [names],
-                "n_ids": [[len(x) for x in found]], "code": [dac.encode(np.concatenate(found))],
+                "n_ids": [[len(x) + 1 for x in found]], "code": [dac.encode(np.concatenate([x for ids in found for x in (ids, end)]))],
             }
             shard, names, found, total = shard + 1, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=schema)
@@ -158,7 +205,7 @@ def write_store(
                 if found and total + len(ids) + 1 > shard_tokens:
                     yield flush()
                 names.append(name)
-                found.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
+                found.append(ids)
                 total += len(ids) + 1
         if found:
             yield flush()
