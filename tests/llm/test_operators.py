@@ -43,6 +43,8 @@ def test_codes_round_trip(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
     reader = dac.Reader(dac.encode(ids))
     assert (reader.slice(0, n) == ids).all()
+    for lo, hi in [(n // 3, n // 2), (n // 7, n), (n, n), (n // 2, min(n, n // 2 + 1))]:
+        assert (reader.slice(lo, hi) == ids[lo:hi]).all()
     some = np.random.default_rng(1).integers(0, max(n, 1), min(n, 50))
     assert (reader.take(some) == ids[some]).all()
     with pytest.raises(IndexError):
@@ -53,7 +55,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_store.default_tokenizer())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, token_store.END_ID]
 
 
@@ -72,6 +73,20 @@ def test_token_store(spark, tmp_path):
     assert {r["position"]: r["token"] for r in token_store.tokens_at(spark, path, positions).collect()} == {p: every[p] for p in positions[:3]}
 
 
+def test_special_tokens_and_long_texts():
+    rng = random.Random(4)
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"a  {end}  b", f" {end} {end}\n{end}", f"x {end}", f"{end} x", "", f"y\n \n{end}"]
+    bits = ["foo ", " ", "bar\n", "é,", "12 ", "  ", "don't ", f"z{end} "]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts.append("".join(rng.choice(bits[:-1]) for _ in range(450_000)))
+    texts.append(texts[-1][: (1 << 20) + 7] + end + texts[-1][::2])
+    assert min(map(len, texts[-2:])) > 1 << 20
+    found = token_store._encoded(texts, token_store.ChunkEncoder(token_store.default_tokenizer()))
+    for text, ids in zip(texts, found, strict=True):
+        assert [*ids.tolist(), token_store.END_ID] == reference_ids(text)
+
+
 def test_token_store_empty(spark, tmp_path):
     token_store.write_store(odd(spark, []), str(tmp_path / "none"))
     assert token_store.read_documents(spark, str(tmp_path / "none")).count() == 0
@@ -80,12 +95,45 @@ def test_token_store_empty(spark, tmp_path):
 # 2
 
 
-def test_samples_estimate_generalised_jaccard():
-    rng = np.random.default_rng(3)
-    terms = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    a, b = rng.integers(0, 4, 300).astype(np.float32), rng.integers(0, 4, 300).astype(np.float32)
+@pytest.mark.parametrize("n", [300, 2_000, 20_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_samples_estimate_generalised_jaccard(n, seed):
+    rng = np.random.default_rng(seed)
+    terms = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    values = [0, 0.25, 0.5, 1, 2, 3, 7.5]
+    a = rng.choice(values, n).astype(np.float32)
+    b = np.where(rng.random(n) < 0.6, a, rng.choice(values, n)).astype(np.float32)
     codes = ws.signatures([(terms[a > 0], a[a > 0]), (terms[b > 0], b[b > 0])], samples=2048)
-    assert ws.likeness(*codes) == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.05)
+    true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs(ws.likeness(*codes) - true) < 3 * (true * (1 - true) / 2048) ** 0.5
+
+
+def weighted_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+    held = Counter({("w", w): n / 4 for w, n in Counter(words).items()})
+    held.update(Counter(("s", *words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {})
+    return held
+
+
+def exact_likeness(a, b):
+    x, y = weighted_set(a), weighted_set(b)
+    most = sum(max(x[k], y[k]) for k in {*x, *y})
+    return sum(min(x[k], y[k]) for k in x) / most if most else 1.0
+
+
+def test_likenesses_against_exact(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = ws.edited_fingerprints(docs).toPandas().sort_values("doc_id", ascending=False)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    own = [texts[i] for i in found.doc_id]
+    following = [*own[1:], own[0]]
+    for column, others in (("near_edited", list(found.edited)), ("near_next", following)):
+        true = np.array([exact_likeness(a, b) for a, b in zip(own, others, strict=True)])
+        off = (found[column].to_numpy() - true) / np.sqrt(np.maximum(true * (1 - true), 0.01) / ws.SAMPLES)
+        assert abs(off.mean()) < 0.35 and np.abs(off).max() < 5
+    by_text = dict(zip(found.edited, found.edited_fingerprint, strict=True))
+    plain = ws.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(by_text)], "doc_id long, text string")).collect()
+    assert [r["fingerprint"] for r in sorted(plain, key=lambda r: r["doc_id"])] == list(by_text.values())
 
 
 def test_edited_fingerprints(spark):

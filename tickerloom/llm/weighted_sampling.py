@@ -6,6 +6,11 @@ theirs. For sample j and term of weight S, gamma variables r, c and a uniform b
 smallest a is sampled. Two sets draw the same (term, t) with a probability equal to their
 generalised Jaccard similarity, sum of minimums over sum of maximums, so the share of equal
 samples estimates it.
+
+With E1 = r (1 - b) and E2 = r b, which are independent exponentials for r of shape 2, a term of weight 1 has
+t = 0 and a = c exp(-E1), an exponential too; call it e. Given e, c is e + E3 with E3 exponential. So three
+independent exponentials e, E2, E3 give r = ln(1 + E3 / e) + E2, t = floor((ln S + E2) / r) and ln a = ln e - r t, exactly, and
+terms of weight 1 need e only.
 """
 
 from __future__ import annotations
@@ -32,50 +37,66 @@ CACHE_WORDS = 500_000
 STEP_TERMS = 1_024
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, ...]:
-    """ln c for 65,536 midpoints, r for 256, and r (1 - b) for each r with 256 values of b.
-
-    Quantiles of the Gamma(2, 1) distribution, by bisection of its distribution function.
-    """
-
-    def gamma(n: int) -> np.ndarray:
-        share = (np.arange(n) + 0.5) / n
-        lo, hi = np.zeros(n), np.full(n, 64.0)
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            below = 1 - (1 + mid) * np.exp(-mid) < share
-            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-        return (lo + hi) / 2
-
-    r = gamma(256).astype(np.float32)
-    b = (np.arange(256) / 256).astype(np.float32)
-    return np.log(gamma(65_536)).astype(np.float32), r, b, (r[:, None] * (np.float32(1) - b)).ravel()
-
-
 @lru_cache(maxsize=4)
 def _lanes(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return tuple(rng.integers(1, 1 << 32, samples, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 
 
-def sample_values(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
-    """ln a for each term (row) and sample (column); equal for equal (term, t)."""
-    (log_c, r, b, r_rest), (one, two) = _tables(), _lanes(samples, seed)
+def sample_bits(terms: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
+    """32 uniform bits for each term (row) and sample (column)."""
+    one, two = _lanes(samples, seed)
     x = (terms & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] * one
     x += (terms >> np.uint64(32)).astype(np.uint32)[:, None] * two
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
     x ^= x >> np.uint32(13)
-    halves = x.view(np.uint16).reshape(len(terms), samples, 2)
-    out = log_c.take(halves[:, :, 0])
-    out -= r_rest.take(halves[:, :, 1])  # weight 1 gives t = 0
-    if len(other := np.flatnonzero(weights != 1)):
-        high = halves[other, :, 1]
-        t = np.log(weights[other].astype(np.float32))[:, None] / r.take(high >> 8)
-        t += b.take(high & 0xFF)
-        out[other] -= r.take(high >> 8) * np.floor(t, out=t)
-    return out
+    return x
+
+
+def _exponential(bits: np.ndarray) -> np.ndarray:
+    """Exponentials that grow with the bits, with full relative precision near 0."""
+    v = (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+    small = v * (np.float32(1) + v * (np.float32(0.5) + v * np.float32(1 / 3)))
+    return np.where(v < 0.01, small, -np.log(np.maximum(np.float32(1) - v, np.float32(2.0**-33))))
+
+
+def weighted_values(bits: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and t for terms of any positive weights, from their bits."""
+    y = (bits ^ (bits >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    y ^= y >> np.uint32(15)
+    z = y * np.uint32(0x846CA68B)
+    z ^= z >> np.uint32(16)
+    e, e2, e3 = _exponential(bits), *(-np.log((w.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)) for w in (y, z))
+    log_e = np.log(e)
+    e += e3
+    r = np.log(e, out=e)
+    r -= log_e
+    r += e2
+    np.maximum(r, np.float32(1e-30), out=r)
+    e2 += np.log(weights.astype(np.float32))[:, None]
+    t = np.floor(np.clip(e2 / r, -(2.0**30), 2.0**30))
+    return log_e - r * t, t.astype(np.int32)
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """32-bit floats as unsigned integers of the same order."""
+    bits = values.view(np.uint32)
+    return bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
+
+
+def _sample_codes(bits: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """A sample (term, t) as 32 bits."""
+    mixed = bits + t.astype(np.uint32) * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    return mixed * np.uint32(0x85EBCA6B)
+
+
+def _least(values: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+    """Lower rows of ``out`` to the minimums of the values of their owners, which follow one another."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+    mine = owner[starts]
+    out[mine] = np.minimum(out[mine], np.minimum.reduceat(values, starts, axis=0))
 
 
 class _Hashes(dict):
@@ -116,25 +137,34 @@ class TermSets:
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], samples: int = SAMPLES) -> np.ndarray:
     """A row of 16-bit samples for each set; zeros for an empty one."""
-    out = np.full((len(sets), samples), np.inf, np.float32)
     sizes = np.array([len(t) for t, _ in sets], np.int64)
-    if sizes.sum():
-        terms, weights = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
-        key = terms ^ (weights.view(np.uint32).astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    if not sizes.sum():
+        return np.zeros((len(sets), samples), np.uint16)
+    terms, weights = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+    owner, one = np.repeat(np.arange(len(sets)), sizes), weights == 1
+    # weight 1: the least bits are the least e
+    plain = np.full((len(sets), samples), 0xFFFFFFFF, np.uint32)
+    own, mine = terms[one], owner[one]
+    for at in range(0, len(own), STEP_TERMS):
+        _least(sample_bits(own[at : at + STEP_TERMS], samples), mine[at : at + STEP_TERMS], plain)
+    values = _ordered(np.log(_exponential(plain))).astype(np.uint64) << np.uint64(32)
+    best = values | _sample_codes(plain, np.zeros(1, np.int32))
+    best[np.bincount(mine, minlength=len(sets)) == 0] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # other weights: terms that several sets share are worked out once
+    own, mine, heavy = terms[~one], owner[~one], weights[~one]
+    if len(own):
+        key = own ^ (heavy.view(np.uint32).astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
         for at in range(0, len(first), STEP_TERMS):
             some = first[at : at + STEP_TERMS]
-            values = sample_values(terms[some], weights[some], samples)
-            mine = np.flatnonzero((back >= at) & (back < at + len(some))) if len(first) > STEP_TERMS else np.arange(len(back))
-            for lo in range(0, len(mine), STEP_TERMS):
-                rows = mine[lo : lo + STEP_TERMS]
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(owner[rows])) + 1])
-                least = np.minimum.reduceat(values[back[rows] - at], starts, axis=0)
-                np.minimum.at(out, owner[rows][starts], least)
-    bits = out.view(np.uint32)
-    bits = (bits ^ (bits >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    codes = (bits >> np.uint32(16)).astype(np.uint16)
+            bits = sample_bits(own[some], samples)
+            values, t = weighted_values(bits, heavy[some])
+            packed = (_ordered(values).astype(np.uint64) << np.uint64(32)) | _sample_codes(bits, t)
+            rows = np.flatnonzero((back >= at) & (back < at + len(some))) if len(first) > STEP_TERMS else np.arange(len(back))
+            for lo in range(0, len(rows), STEP_TERMS):
+                part = rows[lo : lo + STEP_TERMS]
+                _least(packed[back[part] - at], mine[part], best)
+    codes = (best.astype(np.uint32) >> np.uint32(16)).astype(np.uint16)
     codes[sizes == 0] = 0
     return codes
 
