@@ -53,6 +53,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def about(rate: float, salt: int, *columns: str) -> Column:
+    """True for about a share of ``rate`` of the rows, by 60 bits of a hash of their columns; so fine that no rate rounds to 0."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 4) < int(min(1.0, rate) * (1 << 60))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that an operator's own outputs replace, whatever their case."""
     taken = {n.lower() for n in names}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import cut_lineage, read
+from tickerloom.llm.common import about, cut_lineage, read
 
 BITS = 64
 SUBSTRINGS = 4
@@ -131,12 +131,6 @@ def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size("vector") == (common["n"] if common else 0))
 
 
-def _about(df: DataFrame, rows: int, total: int, salt: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of the id."""
-    share = int(1_000_000 * min(1.0, rows / max(total, 1)))
-    return df.filter(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1_000_000)) < share)
-
-
 def fit_radius(rows: DataFrame, rotation: Rotation, trials: np.ndarray, trial_ids: np.ndarray, k: int, within: float) -> int:
     """The Hamming radius that holds the wanted share of the trial queries' true neighbours."""
 
@@ -217,12 +211,12 @@ def nearest(
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r["vector"] for r in _about(rows, FIT_ROWS, total, 1).collect()])
+    sample = np.array([r["vector"] for r in rows.filter(about(FIT_ROWS / total, 1, "id")).collect()])
     if len(sample) < 2:
         sample = np.array([r["vector"] for r in rows.limit(FIT_ROWS).collect()])
     rotation = Rotation(sample)
     if radius is None:
-        trials = _about(rows, TRIAL_ROWS, total, 2).collect() or rows.limit(TRIAL_ROWS).collect()
+        trials = rows.filter(about(TRIAL_ROWS / total, 2, "id")).collect() or rows.limit(TRIAL_ROWS).collect()
         radius = fit_radius(rows, rotation, np.array([t["vector"] for t in trials]), np.array([t["id"] for t in trials]), k, within)
     queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = queries.count()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import fit_in_task, map_batches, read
+from tickerloom.llm.common import about, fit_in_task, map_batches, read
 from tickerloom.llm.pretokens import Numbers, ragged
 
 BUCKET_BITS = 17
@@ -219,8 +219,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_
         F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__quality")
     )
     total = known.count()
-    share = int(1_000_000 * min(1.0, fit_rows / max(total, 1)))
-    some = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "__id"), F.lit(1_000_000)) < share)
+    some = known.filter(about(fit_rows / max(total, 1), SEED, "__id"))
     texts = docs.filter(F.length("text") <= fit_chars).select(F.col(id_col).alias("__id"), "text")
     # as many rows as the sample is bounded to
     rows = texts.join(F.broadcast(some), "__id")
