@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import cut_lineage, fit_in_task, map_batches, read
@@ -77,18 +77,30 @@ class TextModel:
         return (total * (min(1.0, TEXT_WEIGHT / n) if n else 0.0)).tolist(), n
 
 
-def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> TextModel:
-    """A model of the languages that ``lang`` names, from about ``fit_rows`` rows chosen by a hash of their text.
+def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, id_col: str = "doc_id") -> TextModel:
+    """A model of the languages that ``lang`` names.
 
-    Rows without text or language and texts of over ``fit_chars`` code points aren't learned from.
+    Each language is learned from the same number of rows, ``fit_rows`` over the languages and 50 at least (all it has, if
+    fewer), drawn by a hash of id and text. Rows without text or language and texts of over
+    ``fit_chars`` code points aren't learned from; every language that a row names is known.
     """
-    known = docs.filter(F.col(lang).isNotNull() & (F.length(text) <= fit_chars)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    total = known.count()
-    share = int(1_000_000 * min(1.0, fit_rows / max(total, 1)))
-    some = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < share)
+    ids = [F.col(id_col).alias("id")] if id_col in docs.columns else []
+    named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), *ids)
+    known = named.filter(F.length("text") <= fit_chars)
+    # a row a language
+    counts = {r["lang"]: r["rows"] for r in named.groupBy("lang").agg(F.count(F.when(F.length("text") <= fit_chars, 1)).alias("rows")).collect()}
+    each = max(50, fit_rows // max(len(counts), 1))
+    # about twice as many are drawn as wanted, and ranked: no copies of a text or row can outgrow the bound
+    places = F.xxhash64(F.lit(SEED), *[c for c in ("id", "text") if c in known.columns])
+    share = F.create_map(*[x for name, rows in counts.items() for x in (F.lit(name), F.lit(int(min(1.0, 2 * each / max(rows, 1)) * (1 << 60))))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    drawn = known.filter(F.shiftrightunsigned(places, 4) < F.element_at(share, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(places, "text")
+    some = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("lang", "text")
+
+    every = list(counts)
 
     def fit(columns: dict[str, list]) -> TextModel:
-        languages = sorted(set(columns["lang"]))
+        languages = sorted(every)
         counts = np.zeros((1 << BUCKET_BITS, max(len(languages), 1)))
         for name, value in zip(columns["lang"], columns["text"], strict=True):
             for found in text_buckets(value):
