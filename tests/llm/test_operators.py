@@ -418,3 +418,45 @@ def test_pipeline(spark, tmp_path):
     for r in docs.collect():
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
     assert pipeline.run(spark, SF).count() == docs.count()
+
+
+# sampling
+
+
+def test_thin_samples(spark):
+    from tickerloom.llm.common import about
+
+    assert 10 < spark.range(40_000_000).filter(about(1e-6, 3, "id")).count() < 80
+    assert spark.range(1000).filter(about(1.0, 3, "id")).count() == 1000
+
+
+def test_every_language_is_known(spark):
+    rows = [(i, f"the words of text {i % 7}", "en") for i in range(3000)] + [(5000, "mot rare", "fr"), (5001, "x" * 30_000, "de"), (None, None, "es"), (5002, "no language", None)]
+    model = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=200)
+    assert model.languages == ["de", "en", "es", "fr"]
+    found = language.identify_documents(spark.createDataFrame([(1, "mot rare", "s", None)], "doc_id long, text string, source string, lang string"), model)
+    assert found.first()["language"] == "fr"
+
+
+def test_near_copies(spark):
+    """Planted near copies of a similarity of .8 or more on 5-word shingles, and unlike texts, by the stage's scheme."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    docs, planted = [], []
+    for i in range(300):
+        text = rng.choices(words, k=rng.randint(80, 400))
+        docs.append((i, " ".join(text)))
+        if i % 3 == 0:
+            edited = list(text)
+            for _ in range(max(1, len(text) // 60)):
+                edited[rng.randrange(len(edited))] = "edit"
+            a, b = (set(zip(*(x[k:] for k in range(5)), strict=False)) for x in (text, edited))
+            docs.append((1000 + i, " ".join(edited)))
+            if len(a & b) / len(a | b) >= 0.8:
+                planted.append((i, 1000 + i))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), scheme=simhash.COPIES).collect()}
+    assert len(planted) > 60 and np.mean([found[a] == found[b] for a, b in planted]) >= 0.95
+    assert all(found[i] == i for i in range(300))
+    kept = simhash.keep_one(odd(spark), scheme=simhash.COPIES).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 4, 5, 6, 7]
+    assert simhash.near_duplicates(odd(spark, []), scheme=simhash.COPIES).count() == 0
