@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from tickerloom.functions import vocabulary as v
 
 CHUNK, OVERLAP, LEAST = 1000, 200, 100
+#: What stands between the words of a text, in any script.
+BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}_]+"
 #: Sentence ends, by priority.
 BOUNDARIES = [". ", ".\n", "! ", "!\n", "? ", "?\n"]
 EXTRACTION = (
@@ -27,6 +31,11 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
 
 
+def tokens(c: Column) -> Column:
+    """Words of a text, lower case."""
+    return F.filter(F.split(F.lower(c), BETWEEN_WORDS), lambda t: t != "")
+
+
 def is_cjk(c: Column) -> Column:
     return F.coalesce(F.regexp_like(c, F.lit(r"[一-鿿぀-ゟ゠-ヿ가-힯]")), F.lit(False))
 
@@ -68,27 +77,30 @@ def parse_extraction(c: Column) -> Column:
     return F.when(x["impact_score"].isNotNull() & x["impact_tier"].isNotNull(), made)
 
 
-def chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[tuple[int, int, str]]:
-    """(start, end, content) of overlapping pieces that end at a sentence in their last fifth, if there is one."""
+def spans_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """(start, end) of pieces of at most ``size`` that overlap; a piece ends behind the first kind of sentence end that its last fifth holds."""
+    ends = [[m.end() for m in re.finditer(re.escape(mark), text)] for mark in BOUNDARIES]
+
+    def stop(start: int) -> int:
+        most = start + size
+        if most >= len(text):
+            return len(text)
+        last = [found[bisect_right(found, most) - 1] if found and found[0] <= most else -1 for found in ends]
+        return next((e for e, mark in zip(last, BOUNDARIES, strict=True) if e - len(mark) >= start + size * 4 // 5), most)
+
+    spans = [(0, stop(0))]
+    while spans[-1][1] < len(text):
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1)
+        spans.append((start, stop(start)))
+    return spans
+
+
+def chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int, str]]:
+    """(start, end, content) of the pieces without white space around them; those below ``least`` are left out, but a short text is a piece."""
     if len(text) <= size:
-        yield 0, len(text), text
-        return
-    start = 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            tail = start + int(size * 0.8)
-            for mark in BOUNDARIES:
-                at = text.rfind(mark, tail, end)
-                if at >= 0:
-                    end = at + len(mark)
-                    break
-        piece = text[start:end].strip()
-        if len(piece) >= least:
-            yield start, end, piece
-        if end == len(text):
-            return
-        start = max(end - overlap, start + 1)
+        return [(0, len(text), text)]
+    pieces = [(a, b, text[a:b].strip()) for a, b in spans_of(text, size, overlap)]
+    return [p for p in pieces if len(p[2]) >= least]
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "content") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scoring as sc
@@ -12,6 +14,7 @@ from tickerloom.operators import dedupe
 from tickerloom.operators.feeds import rank_in
 from tickerloom.sources.domain import News, lookup
 from tickerloom.sources.domain_sql import _case, _list, sql
+from tickerloom.sources.lineage import cut_lineage
 
 
 def list_clients(n: News) -> DataFrame:
@@ -35,21 +38,29 @@ def completeness_score(n: News) -> DataFrame:
 
 
 def portfolio_holdings(n: News) -> DataFrame:
+    """All holdings of each client, largest first."""
     rows = n.holds.join(n.instruments.select("instrument_id", "ticker"), "instrument_id")
     pct = F.format_string("%.1f%%", F.col("weight") * 100)
-    ranked = rows.withColumn("rank", rank_in(["client_id"], F.coalesce("weight", F.lit(-1.0)).desc(), F.col("ticker"))).filter("rank <= 10")
+    ranked = rows.withColumn("rank", rank_in(["client_id"], F.coalesce("weight", F.lit(-1.0)).desc(), F.col("ticker")))
     return ranked.select("client_id", "rank", "ticker", pct.alias("percent"), "shares")
 
 
+def holdings_totals(n: News) -> DataFrame:
+    """Sum of weights, to 4 digits, and number of holdings."""
+    return n.holds.groupBy("client_id").agg(F.round(F.sum("weight"), 4).alias("total_weight"), F.count("*").alias("holdings"))
+
+
 def watchlist_items(n: News) -> DataFrame:
     return n.watches.join(n.instruments.select("instrument_id", "ticker"), "instrument_id").select("client_id", "ticker")
 
 
 def profile_counts(n: News) -> DataFrame:
+    """Distinct holdings, watched instruments, exclusions and benchmarks of each client."""
     held = n.holds.groupBy("client_id").agg(F.count_distinct("instrument_id").alias("holdings"))
     seen = n.watches.groupBy("client_id").agg(F.count_distinct("instrument_id").alias("watched"))
-    rows = n.clients.select("client_id").join(held, "client_id", "left").join(seen, "client_id", "left")
-    return rows.select("client_id", F.coalesce("holdings", F.lit(0)).alias("holdings"), F.coalesce("watched", F.lit(0)).alias("watched"))
+    rows = n.clients.select("client_id", F.col("excluded_sector").isNotNull().cast("long").alias("excluded"), F.col("benchmark_id").isNotNull().cast("long").alias("benchmarks"))
+    rows = rows.join(held, "client_id", "left").join(seen, "client_id", "left")
+    return rows.select("client_id", F.coalesce("holdings", F.lit(0)).alias("holdings"), F.coalesce("watched", F.lit(0)).alias("watched"), "excluded", "benchmarks")
 
 
 def scalar_scores(n: News) -> DataFrame:
@@ -102,16 +113,20 @@ def hybrid_search_expanded(n: News, k: int = 10) -> DataFrame:
 
 
 def keyword_bm25(n: News, words: tuple[str, ...] = ("the", "license", "version"), k: int = 20) -> DataFrame:
-    """BM25 over ASCII words (an extension)."""
-    counts = dedupe.token_counts(n).select("doc_id", "t", "c")
-    sizes = counts.groupBy("doc_id").agg(F.sum("c").alias("len"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = counts.filter(F.col("t").isin(list(words)))
-    df = hits.groupBy("t").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "t").join(sizes, "doc_id").join(F.broadcast(whole))  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("c") * 2.2 / (F.col("c") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    return rows.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    """BM25 over words in any script (an extension): texts are cut once, and a row keeps its length and a count for each word asked."""
+    tokens, same = tx.tokens(F.coalesce("content", F.lit(""))), lambda w: lambda t: t == w
+    cut = n.documents.select("doc_id", tokens.alias("t")).filter(F.size("t") > 0)
+    counts = cut_lineage(cut.select("doc_id", F.size("t").alias("len"), *[F.size(F.filter("t", same(w))).alias(f"c{i}") for i, w in enumerate(words)]))
+    held = [F.count_if(F.col(f"c{i}") > 0).alias(f"df{i}") for i in range(len(words))]
+    whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *held)
+
+    def part(i: int) -> Column:
+        c, df = F.col(f"c{i}"), F.col(f"df{i}")
+        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
+
+    hit = reduce(Column.__or__, [F.col(f"c{i}") > 0 for i in range(len(words))])
+    rows = counts.filter(hit).join(F.broadcast(whole))  # one row of totals
+    return rows.select("doc_id", F.round(sum((part(i) for i in range(len(words))), F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def text_stats(n: News) -> DataFrame:
@@ -119,8 +134,10 @@ def text_stats(n: News) -> DataFrame:
 
 
 def hash_embedding(n: News) -> DataFrame:
-    e = tx.hash_embedding(F.col("title"), 8)
-    return n.documents.select("doc_id", *[F.round(e[i], 6).alias(f"e{i}") for i in range(8)])
+    """The embedding of whole texts: its number of dimensions, their sum, and the first eight."""
+    rows = n.documents.select("doc_id", tx.hash_embedding(F.col("content")).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("e").cast("long").alias("dims"), F.round(total, 6).alias("total"), *[F.round(F.col("e")[i], 6).alias(f"e{i}") for i in range(8)])
 
 
 def cjk_flag(n: News) -> DataFrame:
@@ -195,23 +212,50 @@ def ips_rerank(n: News) -> DataFrame:
     return rows.withColumn("rank", rank_in(["client_type"], F.col("score").desc(), F.col("doc_id"))).filter("rank <= 5")
 
 
-def company_fuzzy_match(n: News) -> DataFrame:
-    """Names of companies without their first word, matched by containment either way, shortest name first.
+def contained(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of (q, ...) and (name, ...) of which one contains the other.
 
-    Names meet by their digits, so the containment test runs on few pairs.
+    A text that is contained has all its runs of three characters in the other, so each side joins with its rarest run
+    on all runs of the other side; texts of fewer than three characters match nothing.
     """
-    digits = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^0-9]", ""), r"^0+", "")
-    asked = n.companies.select(F.lower(F.concat(F.lit("#"), F.lpad(F.col("company_id").cast("string"), 9, "0"))).alias("q"), digits(F.col("company")).alias("d"))
-    names = n.companies.select("company_id", F.lower("company").alias("name"), digits(F.col("company")).alias("d"))
-    rows = asked.join(names, "d").filter(F.contains("name", F.col("q")) | F.contains("q", F.col("name")))
-    return rows.withColumn("r", rank_in(["q"], F.length("name"), F.col("company_id"))).filter("r = 1").select("q", "company_id")
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
+
+    def cut(rows: DataFrame, c: str) -> DataFrame:
+        return rows.filter(F.length(c) >= 3).select(c, F.explode(runs(F.col(c))).alias("run")).distinct()
+
+    def rarest(rows: DataFrame, c: str, other: DataFrame) -> DataFrame:
+        often = other.groupBy("run").agg(F.count("*").alias("often"))
+        return rows.join(often, "run", "left").groupBy(c).agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)), "run")).alias("run"))
+
+    q, name = cut(asked.select("q"), "q"), cut(names.select("name"), "name")
+    met = rarest(q, "q", name).join(name, "run").select("q", "name").union(rarest(name, "name", q).join(q, "run").select("q", "name")).distinct()
+    return met.filter(F.contains("name", F.col("q")) | F.contains("q", F.col("name"))).join(asked, "q").join(names, "name")
+
+
+def _company_names(n: News) -> DataFrame:
+    """Names and aliases of companies, lower case."""
+    one = n.companies.select("company_id", F.lower("company").alias("name"), F.length("company").alias("size"))
+    return one.union(n.companies.select("company_id", F.lower(F.concat(F.lit("S-"), F.col("company_id").cast("string"), F.lit(" Holding"))), F.length("company")))
+
+
+def company_fuzzy_match(n: News) -> DataFrame:
+    """Parts of names, names with more around them, and aliases, matched by containment either way; shortest name first."""
+    c = F.col("company_id")
+    asked = n.companies.select(F.lower(
+        F.when(c % 3 == 0, F.concat(F.lit("#"), F.lpad(c.cast("string"), 9, "0"))).when(c % 3 == 1, F.concat(F.lit("The "), "company", F.lit(" Inc")))
+        .otherwise(F.concat(F.lit("S-"), c.cast("string"), F.lit(" hold")))).alias("q")).distinct()
+    rows = contained(asked, _company_names(n))
+    return rows.withColumn("r", rank_in(["q"], F.col("size"), F.col("company_id"))).filter("r = 1").select("q", "company_id")
 
 
 def ticker_scan(n: News) -> DataFrame:
-    """Whole-word part names' first words in titles: documents by word, joined on tokens."""
-    words = n.instruments.select(F.explode(F.split("name", " ")).alias("w")).distinct()
-    tokens = n.documents.select("doc_id", F.explode(F.split(F.lower("title"), r"[^a-z0-9]+")).alias("w")).distinct()
-    return tokens.join(words, "w").select("doc_id", "w")
+    """Known tickers that stand as whole words, case counting, in whole texts and aren't extracted yet; here every seventh text names two."""
+    d = F.col("doc_id").cast("string")
+    more = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" (T"), d, F.lit("), T"), ((F.col("doc_id") * 31) % n.sizes["part"]).cast("string"), F.lit(" and t1 or XT1."))).otherwise("")
+    texts = n.documents.select("doc_id", F.concat(F.coalesce("content", F.lit("")), more).alias("content"))
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("ticker"))
+    found = words.join(n.instruments.select("ticker", "instrument_id"), "ticker")
+    return found.join(n.affects.select("doc_id", "instrument_id"), ["doc_id", "instrument_id"], "left_anti").select("doc_id", "ticker")
 
 
 def alias_resolve(n: News) -> DataFrame:
@@ -270,7 +314,8 @@ def recall_at_k(n: News, k: int = 3) -> DataFrame:
     return rows.groupBy("client_type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
-_HASH = ", ".join(f"round(('0x' || substr(sha256(title), {i * 2 + 1}, 2))::INT / 255.0::DOUBLE * 2 - 1, 6) AS e{i}" for i in range(8))
+_BYTE = "('0x' || substr(sha256(coalesce(content, '')), (i * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1"
+_HASH = ", ".join(f"round(('0x' || substr(sha256(coalesce(content, '')), {i * 2 + 1}, 2))::INT / 255.0::DOUBLE * 2 - 1, 6) AS e{i}" for i in range(8))
 _R30 = "coalesce(power(2.718::DOUBLE, greatest(0, date_diff('second', created_at, TIMESTAMP '2024-01-31') // 86400) * -0.023::DOUBLE), 0.5)"
 _SIM = ("sim", "SELECT v.vec_id, round(list_cosine_similarity(v.embedding, q.embedding), 9) AS similarity FROM vecs v, (SELECT embedding FROM vecs WHERE vec_id = 7) q")
 _DV = ("dvs", "SELECT doc_id, group_id, created_at, region, trust_score, source, similarity FROM docs LEFT JOIN srcs USING (source) JOIN sim ON vec_id = doc_id % (SELECT embeddings FROM n)")
@@ -282,9 +327,9 @@ def _hybrid_sql(before: str, after: str) -> str:
 
 
 _REG = "coalesce(region, '') IN ('EUROPE', 'AFRICA')"
-_TK = ("tk", "SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS t FROM docs) WHERE t <> '' GROUP BY 1, 2")
+_TK = ("tk", f"SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '{tx.BETWEEN_WORDS}')) AS t FROM docs) WHERE t <> '' GROUP BY 1, 2")
 QUERIES = {f.__name__: f for f in (
-    list_clients, client_profile, completeness_score, portfolio_holdings, watchlist_items, profile_counts, scalar_scores, vector_topk, hybrid_search,
+    list_clients, client_profile, completeness_score, portfolio_holdings, holdings_totals, watchlist_items, profile_counts, scalar_scores, vector_topk, hybrid_search,
     hybrid_search_expanded, keyword_bm25, text_stats, hash_embedding, cjk_flag, chunk_documents, extraction_parse, restrictions_parse, theme_vocabulary_gate,
     schema_gate, ips_filter, ips_rerank, company_fuzzy_match, ticker_scan, alias_resolve, doc_lookup_access, upsert_latest, detach_delete, accuracy_by_group,
     golden_diff, recall_at_k,
@@ -298,9 +343,9 @@ SQL = {
     "client_profile": sql("SELECT client_id, client_type, ticker AS benchmark, array_to_string(mandate_themes, ',') AS themes, coalesce(trim(mandate_text), '') AS mandate FROM clients LEFT JOIN instr ON instrument_id = benchmark_id"),
     "completeness_score": sql("""SELECT client_id, round(0.35::DOUBLE * (client_id IN (SELECT client_id FROM holds UNION SELECT client_id FROM watches))::INT + 0.35::DOUBLE * (0.5::DOUBLE * (mandate_type IS NOT NULL)::INT
         + 0.5::DOUBLE * coalesce(trim(mandate_text) <> '', FALSE)::INT) + 0.20::DOUBLE * (esg_constrained IS NOT NULL)::INT + 0.10::DOUBLE * (primary_contact IS NOT NULL AND alert_frequency IS NOT NULL)::INT, 2) AS score FROM clients"""),
-    "portfolio_holdings": sql("SELECT client_id, rank, ticker, format('{:.1f}%', weight * 100) AS percent, shares FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY weight DESC, ticker) AS rank FROM holds JOIN instr USING (instrument_id)) WHERE rank <= 10"),
+    "portfolio_holdings": sql("SELECT client_id, rank, ticker, format('{:.1f}%', weight * 100) AS percent, shares FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY weight DESC, ticker) AS rank FROM holds JOIN instr USING (instrument_id))"),
     "watchlist_items": sql("SELECT client_id, ticker FROM watches JOIN instr USING (instrument_id)"),
-    "profile_counts": sql("SELECT client_id, coalesce(h, 0) AS holdings, coalesce(w, 0) AS watched FROM clients LEFT JOIN (SELECT client_id, count(*) AS h FROM holds GROUP BY 1) USING (client_id) LEFT JOIN (SELECT client_id, count(*) AS w FROM watches GROUP BY 1) USING (client_id)"),
+    "profile_counts": sql("SELECT client_id, coalesce(h, 0) AS holdings, coalesce(w, 0) AS watched, 1::BIGINT AS excluded, 1::BIGINT AS benchmarks FROM clients LEFT JOIN (SELECT client_id, count(*) AS h FROM holds GROUP BY 1) USING (client_id) LEFT JOIN (SELECT client_id, count(*) AS w FROM watches GROUP BY 1) USING (client_id)"),
     "scalar_scores": sql(f"""SELECT doc_id, round({_R30}, 9) AS recency30, round(exp(greatest(0, date_diff('second', created_at, TIMESTAMP '2024-01-31')) / 60.0::DOUBLE * (-ln(2.0::DOUBLE) / 600)), 9) AS breaking,
         round(coalesce(least(1.0, greatest(0.0, impact_score / 100.0::DOUBLE)), 0.0), 9) AS impact, coalesce(trust_score, 0.5)::DOUBLE AS trust FROM docs LEFT JOIN srcs USING (source)"""),
     "vector_topk": sql("SELECT doc_id, round(similarity, 6) AS similarity FROM dvs ORDER BY dvs.similarity DESC, doc_id LIMIT 20", _SIM, _DV),
@@ -317,7 +362,9 @@ SQL = {
         FROM tk JOIN (SELECT t, count(*) AS df FROM tk GROUP BY 1) USING (t) JOIN sz USING (doc_id), (SELECT count(*) AS n, avg(len) AS mean FROM sz) n WHERE t IN ('the', 'license', 'version') GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""",
         _TK, ("sz", "SELECT doc_id, sum(c) AS len FROM tk GROUP BY 1")),
     "text_stats": sql(r"SELECT doc_id, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::BIGINT AS words, length(trim(regexp_replace(lower(content), '[ \t\n\x0B\f\r]+', ' ', 'g')))::BIGINT AS normalized FROM docs"),
-    "hash_embedding": sql(f"SELECT doc_id, {_HASH} FROM docs"),
+    "hash_embedding": sql(f"SELECT doc_id, 384::BIGINT AS dims, round(12 * list_sum(list_transform(range(0, 32), lambda i: {_BYTE})), 6) AS total, {_HASH} FROM docs"),
+    "holdings_totals": sql("SELECT client_id, round(sum(weight), 4) AS total_weight, count(*) AS holdings FROM holds GROUP BY 1"),
+    "cjk_flag": sql(r"SELECT doc_id, coalesce(regexp_matches(content, '[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]'), FALSE) AS cjk FROM docs"),
     "extraction_parse": sql(f"""SELECT doc_id, CASE WHEN doc_id % 10 IN (3, 4) THEN -1 ELSE least(100, doc_id * 7 % 140)::INT END AS impact,
         CASE WHEN doc_id % 10 IN (3, 4) THEN '-' WHEN doc_id % 4 = 0 THEN 'GOLD' WHEN doc_id % 4 = 1 THEN 'STANDARD' ELSE 'BRONZE' END AS tier,
         CASE WHEN doc_id % 10 IN (3, 4) THEN '' ELSE 'T' || doc_id END AS tickers, CASE WHEN doc_id % 10 IN (3, 4) THEN '' ELSE 'supply_chain,esg' END AS themes FROM docs"""),
@@ -330,9 +377,11 @@ SQL = {
     "ips_rerank": sql("""SELECT client_type, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY client_type ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT client_type, doc_id, round(50 + 20 * len(list_filter(themes, lambda t: list_contains(mandate_themes, t)))::DOUBLE / len(mandate_themes) + 15 * CASE event_type WHEN 'EARNINGS' THEN 1.0 WHEN 'M&A' THEN 1 - 1 / 3.0::DOUBLE * 0.5
             WHEN 'REGULATORY' THEN 1 - 2 / 3.0::DOUBLE * 0.5 ELSE 0.3 END, 6) AS score FROM docs JOIN (SELECT client_type, arg_min(mandate_themes, client_id) AS mandate_themes FROM clients GROUP BY 1) ON list_has_any(themes, mandate_themes))) WHERE rank <= 5"""),
-    "company_fuzzy_match": sql("""SELECT q, company_id FROM (SELECT q, b.company_id, row_number() OVER (PARTITION BY q ORDER BY length(b.company), b.company_id) AS r FROM
-        (SELECT '#' || lpad(company_id::VARCHAR, 9, '0') AS q FROM comps) a JOIN comps b ON contains(lower(b.company), q) OR contains(q, lower(b.company))) WHERE r = 1"""),
-    "ticker_scan": sql("SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) AS w FROM docs) WHERE w IN (SELECT unnest(string_split(name, ' ')) FROM instr)"),
+    "company_fuzzy_match": sql("""SELECT q, company_id FROM (SELECT q, b.company_id, row_number() OVER (PARTITION BY q ORDER BY size, b.company_id) AS r FROM ask JOIN nms b ON contains(name, q) OR contains(q, name)) WHERE r = 1""",
+        ("ask", """SELECT DISTINCT lower(CASE company_id % 3 WHEN 0 THEN '#' || lpad(company_id::VARCHAR, 9, '0') WHEN 1 THEN 'The ' || company || ' Inc' ELSE 'S-' || company_id || ' hold' END) AS q FROM comps"""),
+        ("nms", "SELECT company_id, lower(company) AS name, length(company) AS size FROM comps UNION ALL SELECT company_id, lower('S-' || company_id || ' Holding'), length(company) FROM comps")),
+    "ticker_scan": sql("""SELECT doc_id, ticker FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content || CASE WHEN doc_id % 7 = 0 THEN ' (T' || doc_id || '), T' || (doc_id * 31) % (SELECT part FROM n) || ' and t1 or XT1.' ELSE '' END,
+        '[A-Za-z0-9_]+')) AS ticker FROM docs) w JOIN instr USING (ticker) WHERE NOT EXISTS (SELECT 1 FROM affects a WHERE a.doc_id = w.doc_id AND a.instrument_id = instr.instrument_id)"""),
     "alias_resolve": sql("SELECT doc_id, coalesce(instrument_id, -1) AS instrument_id FROM docs LEFT JOIN instr ON ticker = 'T' || (doc_id * 3)"),
     "doc_lookup_access": sql("SELECT a.doc_id * 2 AS asked, CASE WHEN b.group_id IS NULL THEN 'NOT_FOUND' WHEN b.group_id IN (0, 1) THEN 'OK' ELSE 'DENIED' END AS status FROM docs a LEFT JOIN docs b ON b.doc_id = a.doc_id * 2"),
     "upsert_latest": sql("SELECT instrument_id, CASE WHEN instrument_id % 3 = 0 THEN upper(name) ELSE name END AS name FROM instr"),

@@ -374,7 +374,11 @@ def top_news_sql(x: float, limit: int = 3, hours: int = 240, chosen: str = "TRUE
 
 
 def tiered_feed(news: News, limit: int = 10) -> DataFrame:
-    """Direct, watchlist, supply, competitor and macro news in this order; a document counts in its first tier."""
+    """Direct, watchlist, supply, competitor and macro news in this order; a document counts in its first tier.
+
+    Macro: what moves a factor that an instrument held is exposed to, with a beta beyond .3. A client that reaches this tier has seen fewer than
+    ``limit`` documents, so of each factor and group the best 2 ``limit`` are enough.
+    """
     docs = news.documents.select("doc_id", "group_id", "created_at", F.coalesce("impact_score", F.lit(0)).alias("impact"))
     hold = news.holds.select("client_id", "instrument_id", "weight")
     issued = news.instruments.select("instrument_id", "company_id")
@@ -389,10 +393,13 @@ def tiered_feed(news: News, limit: int = 10) -> DataFrame:
     suppliers = news.supplies.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     strong = news.exposures.filter(F.abs("beta") > 0.3)
     factors = hold.join(strong, "instrument_id").groupBy("client_id", "factor").agg(F.max("weight").alias("weight"))
-    macro = factors.join(strong.filter(F.abs("beta") > 1.8).select("factor", "instrument_id"), "factor").groupBy("client_id", "instrument_id").agg(F.max("weight").alias("weight"))
-    tiers = [hold, news.watches.withColumn("weight", F.lit(0.0)), through(suppliers), through(both), macro]
+    tiers = [hold, news.watches.withColumn("weight", F.lit(0.0)), through(suppliers), through(both)]
     parts = [t.select("client_id", "instrument_id", "weight", F.lit(i).alias("tier")) for i, t in enumerate(tiers)]
+    best = rank_in(["factor", "group_id"], F.col("impact").desc(), F.col("created_at").desc(), F.col("doc_id"))
+    moved = news.doc_factors.join(docs, "doc_id").withColumn("n", best).filter(F.col("n") <= 2 * limit).select("factor", "group_id", "doc_id")
+    macro = factors.join(news.permitted, "client_id").join(moved, ["factor", "group_id"]).select("client_id", "doc_id", "weight", F.lit(len(tiers)).alias("tier"))
     reach = reduce(DataFrame.unionByName, parts).join(news.affects.select("doc_id", "instrument_id"), "instrument_id")
+    reach = reach.select("client_id", "doc_id", "weight", "tier").unionByName(macro)
     first = reach.groupBy("client_id", "doc_id").agg(F.min(F.struct(F.col("tier"), (-F.col("weight")).alias("w"))).alias("best"))
     rows = first.join(docs, "doc_id").join(news.permitted, ["client_id", "group_id"], "left_semi")
     order = rank_in(["client_id"], F.col("best.tier"), F.col("best.w"), F.col("impact").desc(), F.col("created_at").desc(), F.col("doc_id"))
@@ -410,8 +417,9 @@ TIERED_SQL = sql(
         UNION ALL SELECT client_id, instrument_id, max(weight), 2 FROM iss JOIN supplies ON iss.company_id = to_id JOIN instr ON instr.company_id = from_id GROUP BY 1, 2
         UNION ALL SELECT client_id, instrument_id, max(weight), 3 FROM iss JOIN (SELECT * FROM competes UNION ALL SELECT to_id, from_id FROM competes) c ON iss.company_id = c.from_id
             JOIN instr ON instr.company_id = c.to_id GROUP BY 1, 2
-        UNION ALL SELECT client_id, instrument_id, max(weight), 4 FROM fac JOIN (SELECT * FROM strong WHERE abs(beta) > 1.8) s USING (factor) GROUP BY 1, 2"""),
-    ("firsts", """SELECT client_id, doc_id, tier, max(weight) AS w FROM reach JOIN affects USING (instrument_id) GROUP BY 1, 2, 3
+        """),
+    ("firsts", """SELECT client_id, doc_id, tier, max(weight) AS w FROM (SELECT client_id, doc_id, tier, weight FROM reach JOIN affects USING (instrument_id)
+        UNION ALL SELECT client_id, doc_id, 4, weight FROM fac JOIN docfac USING (factor)) GROUP BY 1, 2, 3
         QUALIFY tier = min(tier) OVER (PARTITION BY client_id, doc_id)"""),
 )
 

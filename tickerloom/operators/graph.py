@@ -27,15 +27,20 @@ def edges(n: News) -> DataFrame:
     return one.union(one.select("rel", "b", "a"))
 
 
-def explore(n: News, hops: int) -> DataFrame:
-    """(start, node, depth): nodes within some hops of each company, at their least depth."""
-    links = edges(n).select("a", "b").distinct()
+def explore(n: News, hops: int, rels: tuple[str, ...] | None = None) -> DataFrame:
+    """(start, node, depth, first_rel): nodes within some hops of each company, over all or some relations.
+
+    A node counts at its least depth; first_rel is the relation of the first step on the way, the least by name of several.
+    """
+    every = edges(n)
+    links = cut_lineage((every.filter(F.col("rel").isin(list(rels))) if rels else every).groupBy("a", "b").agg(F.min("rel").alias("rel")))
     start = n.companies.select(F.concat(F.lit("C"), F.col("company_id").cast("string")).alias("start"))
-    seen = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    front = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("first_rel"))
+    seen = front
     for depth in range(1, hops + 1):
-        step = front.join(links, front.node == links.a).select("start", F.col("b").alias("node")).distinct()
-        front = cut_lineage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.join(links, front.node == links.a).select("start", F.col("b").alias("node"), F.coalesce("first_rel", "rel").alias("first_rel"))
+        step = step.groupBy("start", "node").agg(F.min("first_rel").alias("first_rel"))
+        front = cut_lineage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), "first_rel"))
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
@@ -53,18 +58,18 @@ def peer_instruments(n: News) -> DataFrame:
     return rows.withColumn("rank", rank_in(["instrument_id"], F.col("peer"))).filter("rank <= 5").select("instrument_id", "rank", "peer")
 
 
-def newest_shared(n: News, links: DataFrame, key: str) -> DataFrame:
-    """Up to 10 newer-first other documents that share a ``key`` with a document, from its distinct ``links`` (doc_id, key).
+def newest_shared(n: News, links: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """Up to ``k`` newer-first other documents that share a ``key`` with a document, from its distinct ``links`` (doc_id, key).
 
-    A document's best 10 lie among the newest 11 of each of its keys. These are taken from parts of a key first,
+    A document's best ``k`` lie among the newest ``k`` + 1 of each of its keys. These are taken from parts of a key first,
     so a key of any size is ranked in pieces, and no pairs of its documents are made.
     """
     newest = lambda *keys: rank_in(list(keys), F.col("created_at").desc(), F.col("related"))
     rows = links.join(n.documents.select("doc_id", "created_at"), "doc_id").select(key, F.col("doc_id").alias("related"), "created_at")
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("related"), F.lit(PARTS))).withColumn("r", newest(key, "part")).filter("r <= 11")
-    few = parts.withColumn("r", newest(key)).filter("r <= 11").groupBy(key).agg(F.collect_list(F.struct("related", "created_at")).alias("few"))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("related"), F.lit(PARTS))).withColumn("r", newest(key, "part")).filter(F.col("r") <= k + 1)
+    few = parts.withColumn("r", newest(key)).filter(F.col("r") <= k + 1).groupBy(key).agg(F.collect_list(F.struct("related", "created_at")).alias("few"))
     found = links.join(few, key).select("doc_id", F.inline("few")).filter("doc_id <> related").distinct()
-    return found.withColumn("rank", newest("doc_id")).filter("rank <= 10").select("doc_id", "rank", "related")
+    return found.withColumn("rank", newest("doc_id")).filter(F.col("rank") <= k).select("doc_id", "rank", "related")
 
 
 def related_documents(n: News) -> DataFrame:
@@ -146,48 +151,63 @@ def supply_connections(n: News) -> DataFrame:
     return rows.groupBy(F.col("from_id").alias("company_id")).agg(F.count_distinct("to_id").alias("n"), F.array_join(F.slice(names, 1, 5), ",").alias("first_names"))
 
 
-def shortest_path(n: News, depth: int = 6) -> DataFrame:
-    """Least hops from company 0 over supplies and competition, both ways."""
+def shortest_path(n: News, depth: int = 6, every: int = 20) -> DataFrame:
+    """Least hops from each company whose id is divisible by ``every``, over supplies and competition, both ways."""
     one = n.supplies.select("from_id", "to_id").union(n.competes.select("from_id", "to_id"))
     links = cut_lineage(one.union(one.select("to_id", "from_id")).distinct())
-    seen = n.companies.filter("company_id = 0").select(F.col("company_id").alias("node"), F.lit(0).alias("hops"))
+    seen = n.companies.filter(F.col("company_id") % every == 0).select(F.col("company_id").alias("start"), F.col("company_id").alias("node"), F.lit(0).alias("hops"))
     front = seen
     for hops in range(1, depth + 1):
-        step = front.join(links, front.node == links.from_id).select(F.col("to_id").alias("node")).distinct()
-        front = cut_lineage(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
+        step = front.join(links, front.node == links.from_id).select("start", F.col("to_id").alias("node")).distinct()
+        front = cut_lineage(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         seen = seen.unionByName(front)
     return seen
 
 
-def version_chain(n: News) -> DataFrame:
-    """Each document's place in its chain of predecessors, 100 ids apart; the latest has no successor."""
-    rows = n.documents.select("doc_id", (F.col("doc_id") % 100).alias("chain"))
-    from pyspark.sql import Window
+def walk_versions(rows: DataFrame) -> DataFrame:
+    """(doc_id, version, previous, latest) from (doc_id, previous): the number of predecessors that the links lead to, and one more.
 
-    w = Window.partitionBy("chain").orderBy("doc_id")
-    return rows.select("doc_id", F.row_number().over(w).alias("version"), F.coalesce(F.lag("doc_id").over(w), F.lit(-1)).alias("previous"), F.lead("doc_id").over(w).isNull().alias("latest"))
+    Each round doubles the steps that a row has walked, so rounds grow with the logarithm of the longest chain. A link to a missing
+    document ends the chain there.
+    """
+    known = rows.join(rows.select(F.col("doc_id").alias("previous"), F.lit(True).alias("held")), "previous", "left")
+    walk = cut_lineage(known.select("doc_id", F.when(F.col("held"), F.col("previous")).alias("at"), F.when(F.col("held"), 1).otherwise(0).alias("steps")))
+    while walk.filter("at IS NOT NULL").limit(1).count():
+        on = walk.select(F.col("doc_id").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
+        walk = cut_lineage(walk.join(on, "at", "left").select("doc_id", F.col("further").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    followed = rows.select(F.col("previous").alias("doc_id"), F.lit(True).alias("followed")).filter("doc_id IS NOT NULL").distinct()
+    return rows.join(walk, "doc_id").join(followed, "doc_id", "left").select(
+        "doc_id", (F.col("steps") + 1).alias("version"), F.coalesce("previous", F.lit(-1)).alias("previous"), F.col("followed").isNull().alias("latest")
+    )
+
+
+def version_chain(n: News) -> DataFrame:
+    """Each document's place in its chain of predecessors; here a document replaces that of 100 ids before."""
+    return walk_versions(n.documents.select("doc_id", F.when(F.col("doc_id") >= 100, F.col("doc_id") - 100).alias("previous")))
 
 
 _E1 = """SELECT 'AFFECTS' AS rel, 'D' || doc_id AS a, 'I' || instrument_id AS b FROM affects UNION ALL SELECT 'MENTIONS', 'D' || doc_id, 'C' || company_id FROM mentions
     UNION ALL SELECT 'ISSUED_BY', 'I' || instrument_id, 'C' || company_id FROM instr UNION ALL SELECT 'COMPETES_WITH', 'C' || from_id, 'C' || to_id FROM competes
     UNION ALL SELECT 'SUPPLIES_TO', 'C' || from_id, 'C' || to_id FROM supplies"""
-_EDGES = [("e1", _E1), ("edg", "SELECT rel, a, b FROM e1 UNION ALL SELECT rel, b, a FROM e1"), ("lk", "SELECT DISTINCT a, b FROM edg")]
+_EDGES = [("e1", _E1), ("edg", "SELECT rel, a, b FROM e1 UNION ALL SELECT rel, b, a FROM e1")]
 
 
-def _explore_sql(hops: int) -> str:
-    more = [("s0", "SELECT 'C' || company_id AS start, 'C' || company_id AS node, 0 AS depth FROM comps")]
+def _explore_sql(hops: int, where: str = "TRUE") -> str:
+    more = [("lk", f"SELECT a, b, min(rel) AS rel FROM edg WHERE {where} GROUP BY 1, 2"), ("s0", "SELECT 'C' || company_id AS start, 'C' || company_id AS node, 0 AS depth, NULL::VARCHAR AS first_rel FROM comps")]
     for d in range(1, hops + 1):
-        more.append((f"s{d}", f"SELECT start, node, min(depth) AS depth FROM (SELECT * FROM s{d - 1} UNION ALL SELECT start, b, {d} FROM s{d - 1} JOIN lk ON node = a) GROUP BY 1, 2"))
-    return sql(f"SELECT start, node, depth FROM s{hops} WHERE depth > 0", *_EDGES, *more)
+        more.append((f"t{d}", f"SELECT start, b AS node, {d} AS depth, min(coalesce(first_rel, rel)) AS first_rel FROM s{d - 1} JOIN lk ON node = a WHERE depth = {d - 1} GROUP BY 1, 2"))
+        more.append((f"s{d}", f"SELECT * FROM s{d - 1} UNION ALL SELECT * FROM t{d} WHERE (start, node) NOT IN (SELECT (start, node) FROM s{d - 1})"))
+    return sql(f"SELECT start, node, depth, first_rel FROM s{hops} WHERE depth > 0", *_EDGES, *more)
 
 
 QUERIES = {f.__name__: f for f in (
     lateral_expansion, peer_instruments, related_documents, related_by_source, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
     phantom_instruments, cross_sector, co_mentions, event_cooccurrence, degree_centrality, supply_connections, shortest_path, version_chain,
-)} | {"explore_hops_1": lambda n: explore(n, 1), "explore_hops_2": lambda n: explore(n, 2)}
+)} | {"explore_hops_1": lambda n: explore(n, 1), "explore_hops_2": lambda n: explore(n, 2), "explore_hops_3_typed": lambda n: explore(n, 3, ("COMPETES_WITH", "SUPPLIES_TO"))}
 SQL = {
     "explore_hops_1": _explore_sql(1),
     "explore_hops_2": _explore_sql(2),
+    "explore_hops_3_typed": _explore_sql(3, "rel IN ('COMPETES_WITH', 'SUPPLIES_TO')"),
     "lateral_expansion": sql("""SELECT client_id, channel, count(*) AS n, min(instrument_id) AS least, max(instrument_id) AS most FROM (SELECT DISTINCT client_id, channel, to_id FROM
         (SELECT DISTINCT client_id, company_id FROM holds JOIN instr USING (instrument_id)) JOIN lat ON company_id = from_id) JOIN instr ON to_id = company_id GROUP BY 1, 2""",
         ("lat", """SELECT from_id, to_id, 'COMPETITOR' AS channel FROM competes UNION SELECT to_id, from_id, 'COMPETITOR' FROM competes UNION SELECT to_id, from_id, 'SUPPLY_CHAIN' FROM supplies
@@ -195,8 +215,7 @@ SQL = {
     "peer_instruments": sql("""SELECT instrument_id, rank, peer FROM (SELECT x.instrument_id, y.instrument_id AS peer, row_number() OVER (PARTITION BY x.instrument_id ORDER BY y.instrument_id) AS rank
         FROM s x JOIN s y ON x.sector = y.sector AND x.instrument_id <> y.instrument_id) WHERE rank <= 5""", ("s", "SELECT instrument_id, sector FROM instr JOIN comps USING (company_id)")),
     "related_documents": sql("""SELECT doc_id, rank, related FROM (SELECT p.doc_id, related, row_number() OVER (PARTITION BY p.doc_id ORDER BY created_at DESC, related) AS rank FROM
-        (SELECT DISTINCT x.doc_id, y.doc_id AS related FROM f x JOIN f y ON x.company_id = y.company_id AND x.doc_id <> y.doc_id) p JOIN docs ON docs.doc_id = related) WHERE rank <= 10""",
-        ("f", "SELECT * FROM mentions QUALIFY count(*) OVER (PARTITION BY company_id) <= 100")),
+        (SELECT DISTINCT x.doc_id, y.doc_id AS related FROM mentions x JOIN mentions y ON x.company_id = y.company_id AND x.doc_id <> y.doc_id) p JOIN docs ON docs.doc_id = related) WHERE rank <= 10"""),
     "related_by_source": sql("""SELECT doc_id, rank, related FROM (SELECT x.doc_id, y.doc_id AS related, row_number() OVER (PARTITION BY x.doc_id ORDER BY y.created_at DESC, y.doc_id) AS rank
         FROM docs x JOIN docs y ON x.source = y.source AND x.doc_id <> y.doc_id) WHERE rank <= 10"""),
     "docs_by_source": sql("SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, doc_id) AS rank FROM docs WHERE group_id IN (0, 1)) WHERE rank <= 10"),
@@ -218,9 +237,9 @@ SQL = {
     "degree_centrality": sql("SELECT a AS node, count(*) AS degree FROM edg GROUP BY 1", *_EDGES),
     "supply_connections": sql("""SELECT s.f AS company_id, count(DISTINCT s.t) AS n, array_to_string(list_sort(list_distinct(list(company)))[1:5], ',') AS first_names
         FROM (SELECT from_id AS f, to_id AS t FROM supplies UNION ALL SELECT to_id, from_id FROM supplies) s JOIN comps ON company_id = s.t GROUP BY 1"""),
-    "shortest_path": "WITH RECURSIVE " + sql("SELECT node, min(hops) AS hops FROM walk GROUP BY 1",
+    "shortest_path": "WITH RECURSIVE " + sql("SELECT start, node, min(hops) AS hops FROM walk GROUP BY 1, 2",
         ("ln", "SELECT from_id, to_id FROM supplies UNION SELECT to_id, from_id FROM supplies UNION SELECT from_id, to_id FROM competes UNION SELECT to_id, from_id FROM competes"),
-        ("walk", "SELECT company_id AS node, 0 AS hops FROM comps WHERE company_id = 0 UNION SELECT to_id, hops + 1 FROM walk JOIN ln ON node = from_id WHERE hops < 6")).removeprefix("WITH "),
-    "version_chain": sql("""SELECT doc_id, row_number() OVER w AS version, coalesce(lag(doc_id) OVER w, -1) AS previous, lead(doc_id) OVER w IS NULL AS latest
-        FROM docs WINDOW w AS (PARTITION BY doc_id % 100 ORDER BY doc_id)"""),
+        ("walk", "SELECT company_id AS start, company_id AS node, 0 AS hops FROM comps WHERE company_id % 20 = 0 UNION SELECT start, to_id, hops + 1 FROM walk JOIN ln ON node = from_id WHERE hops < 6")).removeprefix("WITH "),
+    "version_chain": "WITH RECURSIVE " + sql("SELECT doc_id, version, previous, doc_id + 100 NOT IN (SELECT doc_id FROM docs) AS latest FROM chain",
+        ("chain", "SELECT doc_id, 1 AS version, -1::BIGINT AS previous FROM docs WHERE doc_id < 100 UNION ALL SELECT d.doc_id, version + 1, d.doc_id - 100 FROM chain JOIN docs d ON d.doc_id = chain.doc_id + 100")).removeprefix("WITH "),
 }

@@ -25,6 +25,17 @@ def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+class _Sizes(dict):
+    """Row counts that derivations take moduli by, each counted when first asked for; Parquet footers answer them."""
+
+    def __init__(self, news: News):
+        self.news = news
+
+    def __missing__(self, table: str) -> int:
+        self[table] = found = max(self.news.table(table).count(), 1)
+        return found
+
+
 class News:
     """All tables of the domain for one folder of test tables."""
 
@@ -40,8 +51,12 @@ class News:
 
     @cached_property
     def sizes(self) -> dict[str, int]:
-        """Row counts that derivations take moduli by; Parquet footers answer them."""
-        return {t: max(self.table(t).count(), 1) for t in ("part", "supplier", "embeddings")}
+        return _Sizes(self)
+
+    @staticmethod
+    def story(d: Column) -> Column:
+        """The document whose story a document tells: every twentieth repeats that of five before, ten minutes later."""
+        return F.when(d % 20 == 19, d - 5).otherwise(d)
 
     # nodes
 
@@ -52,7 +67,8 @@ class News:
         tier = F.lit("STANDARD")
         for name, least in sorted(v.TIER_FROM.items(), key=lambda x: x[1]):
             tier = F.when(raw >= least, name).otherwise(tier)
-        minutes = (d * 7919) % 43200
+        story = self.story(d)
+        minutes = (story * 7919) % 43200 - F.when(story != d, 10).otherwise(0)
         created = F.to_timestamp_ntz(F.lit(v.NOW)) - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
         codes = list(v.EVENT_CATEGORY)
         one, two = pick(v.THEMES, d % 25), pick(v.THEMES, (d * 7 + 3) % 25)
@@ -67,8 +83,9 @@ class News:
             F.when(d % 29 != 0, raw).cast("int").alias("impact_score"),
             tier.alias("impact_tier"),
             F.array_sort(F.array_distinct(F.array(one, two))).alias("themes"),
-            pick(codes, d % 32).alias("event_code"),
-            lookup(v.EVENT_CATEGORY, pick(codes, d % 32)).alias("event_type"),
+            pick(codes, story % 32).alias("event_code"),
+            lookup(v.EVENT_CATEGORY, pick(codes, story % 32)).alias("event_type"),
+            story.alias("story_id"),
         )
 
     @cached_property
@@ -136,7 +153,7 @@ class News:
 
     @cached_property
     def affects(self) -> DataFrame:
-        d, k = F.col("doc_id"), F.col("k")
+        d, k = self.story(F.col("doc_id")), F.col("k")
         return (
             self.table("documents").select("doc_id").withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
             .select(
@@ -176,12 +193,19 @@ class News:
             p.alias("instrument_id"), F.concat(F.lit("FACTOR_"), (p % 5).cast("string")).alias("factor"), ((((p * 11) % 41) - 20) / 10).alias("beta")
         )
 
+    @cached_property
+    def doc_factors(self) -> DataFrame:
+        """Document to the macro factor that it moves; every eighth has one."""
+        d = F.col("doc_id")
+        return self.table("documents").filter(d % 8 == 3).select("doc_id", F.concat(F.lit("FACTOR_"), (d % 5).cast("string")).alias("factor"))
+
     @cached_property
     def holds(self) -> DataFrame:
         """Client to instrument with its share of the client's revenue, from cents."""
         cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
         rows = (
             self.table("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+            .filter(F.col("l_partkey") % 97 != 5)  # nobody holds these
             .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(F.col("o_custkey").alias("client_id"), F.col("l_partkey").alias("instrument_id"))
             .agg(cents.alias("cents"), F.sum("l_quantity").cast("long").alias("shares"))

@@ -20,13 +20,14 @@ _EV = _list(list(v.EVENT_CATEGORY))
 VIEWS = {
     "n": "SELECT (SELECT count(*) FROM part) AS part, (SELECT count(*) FROM supplier) AS supplier, (SELECT count(*) FROM embeddings) AS embeddings",
     "docs": f"""SELECT doc_id, substr(text, 1, 60) AS title, text AS content, lang AS language, source, (doc_id % 5)::INT AS group_id,
-        TIMESTAMP '{v.NOW}' - to_minutes(((doc_id * 7919) % 43200)::INT) AS created_at,
+        CASE WHEN doc_id % 20 = 19 THEN doc_id - 5 ELSE doc_id END AS story_id,
+        TIMESTAMP '{v.NOW}' - to_minutes(((story_id * 7919) % 43200 - CASE WHEN story_id <> doc_id THEN 10 ELSE 0 END)::INT) AS created_at,
         CASE WHEN doc_id % 29 <> 0 THEN ((doc_id * 37) % 101)::INT END AS impact_score,
         CASE WHEN (doc_id * 37) % 101 >= 90 THEN 'PLATINUM' WHEN (doc_id * 37) % 101 >= 75 THEN 'GOLD' WHEN (doc_id * 37) % 101 >= 50 THEN 'SILVER'
              WHEN (doc_id * 37) % 101 >= 30 THEN 'BRONZE' ELSE 'STANDARD' END AS impact_tier,
         list_sort(list_distinct([{_TH}[(doc_id % 25 + 1)::INT], {_TH}[((doc_id * 7 + 3) % 25 + 1)::INT]])) AS themes,
-        {_EV}[(doc_id % 32 + 1)::INT] AS event_code,
-        {_case(v.EVENT_CATEGORY, f"{_EV}[(doc_id % 32 + 1)::INT]")} AS event_type FROM documents""",
+        {_EV}[(story_id % 32 + 1)::INT] AS event_code,
+        {_case(v.EVENT_CATEGORY, f"{_EV}[(story_id % 32 + 1)::INT]")} AS event_type FROM documents""",
     "srcs": f"""SELECT source, trust_level, {_case(v.TRUST, "trust_level")}::DOUBLE AS trust_score, {_case(v.TRUST_POINTS, "trust_level")} AS trust_points,
         {_list(v.REGIONS)}[num % 6 + 1] AS region, num % 10 <> 9 AS active
         FROM (SELECT source, num, {_list(list(v.TRUST))}[num % 4 + 1] AS trust_level
@@ -46,18 +47,19 @@ VIEWS = {
         (c_custkey * 19) % (SELECT part FROM n) AS benchmark_id, 'NATION_' || (c_custkey % 25) AS excluded_sector,
         c_custkey % (SELECT embeddings FROM n) AS mandate_vec_id FROM customer""",
     "vecs": "SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings",
-    "affects": """SELECT doc_id, (doc_id * 31 + k * 17) % (SELECT part FROM n) AS instrument_id,
-        ['positive', 'negative', 'neutral'][((doc_id + k) % 3 + 1)::INT] AS direction, ([0.05, 0.02, 0.01][((doc_id * 3 + k) % 3 + 1)::INT])::DOUBLE AS magnitude
-        FROM documents, (VALUES (0), (1), (2)) ks(k)""",
+    "affects": """SELECT doc_id, (story_id * 31 + k * 17) % (SELECT part FROM n) AS instrument_id,
+        ['positive', 'negative', 'neutral'][((story_id + k) % 3 + 1)::INT] AS direction, ([0.05, 0.02, 0.01][((story_id * 3 + k) % 3 + 1)::INT])::DOUBLE AS magnitude
+        FROM docs, (VALUES (0), (1), (2)) ks(k)""",
     "mentions": """SELECT doc_id, instrument_id % (SELECT supplier FROM n) AS company_id FROM affects
         UNION SELECT doc_id, (doc_id * 13) % (SELECT supplier FROM n) FROM documents""",
     "competes": """SELECT from_id, to_id FROM (SELECT s_suppkey AS from_id, coalesce(lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey),
         first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS to_id FROM supplier) WHERE from_id <> to_id""",
     "supplies": "SELECT s_suppkey AS from_id, (s_suppkey * 3 + 1) % (SELECT supplier FROM n) AS to_id FROM supplier WHERE s_suppkey <> (s_suppkey * 3 + 1) % (SELECT supplier FROM n)",
     "exposures": "SELECT p_partkey AS instrument_id, 'FACTOR_' || (p_partkey % 5) AS factor, (((p_partkey * 11) % 41) - 20) / 10.0::DOUBLE AS beta FROM part",
+    "docfac": "SELECT doc_id, 'FACTOR_' || (doc_id % 5) AS factor FROM documents WHERE doc_id % 8 = 3",
     "holds": """SELECT client_id, instrument_id, cents / sum(cents) OVER (PARTITION BY client_id) AS weight, shares FROM (
         SELECT o_custkey AS client_id, l_partkey AS instrument_id, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE AS cents, sum(l_quantity)::BIGINT AS shares
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 97 <> 5 GROUP BY 1, 2)""",
     "watches": """SELECT DISTINCT user_id AS client_id, (props->>'$.k')::BIGINT AS instrument_id FROM events
         WHERE event_type = 'view' AND props->>'$.k' IS NOT NULL""",
     "permitted": "SELECT DISTINCT client_id, g AS group_id FROM (SELECT client_id, unnest([group_id, 0]) AS g FROM clients)",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickerloom.operators.feeds import rank_in
 from tickerloom.sources.domain import News
 from tickerloom.sources.lineage import shared_root
 
@@ -37,40 +38,71 @@ def _drained(n: News, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_dedupe(n: News) -> DataFrame:
-    """The first event of each (user, type, props) within a day."""
+    """Each (user, type, props) once within a day."""
     rows = _events(n).withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(["user_id", "event_type", "props"])
-    return _drained(n, rows.select("event_id", "user_id", "event_type"))
+    return _drained(n, rows.select("user_id", "event_type", "props"))
 
 
 def stream_digest(n: News) -> DataFrame:
     """Closed hourly windows by type, with a watermark of one hour; the last open ones aren't out yet."""
     rows = _events(n).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return _drained(n, rows.select(F.col("window.start").alias("start"), "event_type", "n"))
+    return _drained(n, rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
+
+
+def stream_user_digest(n: News, most: int = 5) -> DataFrame:
+    """The instruments that a user saw most in each closed day, the first ``most`` of them."""
+    seen = _events(n).withColumn("instrument_id", F.get_json_object("props", "$.k").cast("long")).filter("instrument_id IS NOT NULL")
+    rows = seen.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "user_id", "instrument_id").agg(F.count("*").alias("n"))
+    closed = _drained(n, rows.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "user_id", "instrument_id", "n"))
+    return closed.withColumn("rank", rank_in(["day", "user_id"], F.col("n").desc(), F.col("instrument_id"))).filter(F.col("rank") <= most)
+
+
+def stream_trending(n: News) -> DataFrame:
+    """Closed windows of six hours that slide by one, by type."""
+    rows = _events(n).withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return _drained(n, rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
 
 
 def stream_sessions(n: News) -> DataFrame:
     """Bursts of a user's events with gaps below 30 minutes."""
     rows = _events(n).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return _drained(n, rows.select("user_id", F.col("session_window.start").alias("start"), "n"))
+    return _drained(n, rows.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"))
 
 
 def stream_alert_cap(n: News, most: int = 2) -> DataFrame:
-    """Errors that alert a user: at most ``most`` a day, in the order of arrival."""
+    """Errors that alert a user: at most ``most`` a day, by time within what arrives together; a day's state goes when the watermark passes its end."""
 
     def cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (sent,) = state.get if state.exists else (0,)
-        for frame in frames:
-            out = frame.sort_values(["ts", "event_id"]).head(max(0, most - sent))
-            sent += len(out)
-            yield out[["event_id", "user_id"]]
-        state.update((sent,))
+        out = pd.concat(list(frames)).sort_values(["ts", "event_id"]).head(max(0, most - sent))
+        state.update((sent + len(out),))
+        end = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield out[["event_id", "user_id"]]
 
-    rows = _events(n).filter(F.col("event_type") == "error").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    rows = _events(n).filter(F.col("event_type") == "error").withWatermark("ts", "1 hour").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     capped = rows.select("event_id", "user_id", "ts", "day").groupBy("user_id", "day").applyInPandasWithState(
-        cap, "event_id long, user_id long", "sent int", "append", GroupStateTimeout.NoTimeout
+        cap, "event_id long, user_id long", "sent int", "append", GroupStateTimeout.EventTimeTimeout
     )
     return _drained(n, capped)
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_digest, stream_sessions, stream_alert_cap)}
-SQL: dict[str, str] = {}
+_OPEN = "(SELECT max(ts) - INTERVAL 1 HOUR FROM {})"
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_digest, stream_user_digest, stream_trending, stream_sessions, stream_alert_cap)}
+SQL = {
+    "stream_dedupe": "SELECT DISTINCT user_id, event_type, props FROM events",
+    "stream_digest": f"""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2
+        HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= {_OPEN.format('events')}""",
+    "stream_user_digest": f"""SELECT day, user_id, instrument_id, n, row_number() OVER (PARTITION BY day, user_id ORDER BY n DESC, instrument_id) AS rank FROM (
+        SELECT date_trunc('day', ts) AS day, user_id, (props->>'$.k')::BIGINT AS instrument_id, count(*) AS n FROM events WHERE props->>'$.k' IS NOT NULL
+        GROUP BY 1, 2, 3 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {_OPEN.format("events WHERE props->>'$.k' IS NOT NULL")}) QUALIFY rank <= 5""",
+    "stream_trending": f"""SELECT start AS start, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(h) AS start, event_type FROM events, range(0, 6) hs(h))
+        GROUP BY 1, 2 HAVING min(start) + INTERVAL 6 HOUR <= {_OPEN.format('events')}""",
+    "stream_sessions": f"""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+        SELECT user_id, ts, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, TRUE))::INT AS fresh FROM events)) GROUP BY user_id, s
+        HAVING max(ts) + INTERVAL 30 MINUTE <= {_OPEN.format('events')}""",
+    "stream_alert_cap": """SELECT event_id, user_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2""",
+}
