@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.operators import clients, dedupe, feeds, graph, lookups, trends
+from tickerloom.operators import changes, clients, dedupe, feeds, graph, ingest, lookups, trends
 from tickerloom.sources.domain import News
 from tickerloom.streaming import alerts
 
-MODULES = (feeds, trends, dedupe, graph, lookups, clients, alerts)
+MODULES = (feeds, trends, dedupe, graph, lookups, changes, ingest, clients, alerts)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
