@@ -58,17 +58,18 @@ def peer_instruments(n: News) -> DataFrame:
     return rows.withColumn("rank", rank_in(["instrument_id"], F.col("peer"))).filter("rank <= 5").select("instrument_id", "rank", "peer")
 
 
-def newest_shared(n: News, links: DataFrame, key: str, k: int = 10) -> DataFrame:
+def newest_shared(n: News, links: DataFrame, key: str, k: int = 10, only: DataFrame | None = None) -> DataFrame:
     """Up to ``k`` newer-first other documents that share a ``key`` with a document, from its distinct ``links`` (doc_id, key).
 
     A document's best ``k`` lie among the newest ``k`` + 1 of each of its keys. These are taken from parts of a key first,
-    so a key of any size is ranked in pieces, and no pairs of its documents are made.
+    so a key of any size is ranked in pieces, and no pairs of its documents are made. ``only`` restricts the documents that ask.
     """
     newest = lambda *keys: rank_in(list(keys), F.col("created_at").desc(), F.col("related"))
     rows = links.join(n.documents.select("doc_id", "created_at"), "doc_id").select(key, F.col("doc_id").alias("related"), "created_at")
     parts = rows.withColumn("part", F.pmod(F.xxhash64("related"), F.lit(PARTS))).withColumn("r", newest(key, "part")).filter(F.col("r") <= k + 1)
     few = parts.withColumn("r", newest(key)).filter(F.col("r") <= k + 1).groupBy(key).agg(F.collect_list(F.struct("related", "created_at")).alias("few"))
-    found = links.join(few, key).select("doc_id", F.inline("few")).filter("doc_id <> related").distinct()
+    asked = links if only is None else links.join(only, "doc_id", "left_semi")
+    found = asked.join(few, key).select("doc_id", F.inline("few")).filter("doc_id <> related").distinct()
     return found.withColumn("rank", newest("doc_id")).filter(F.col("rank") <= k).select("doc_id", "rank", "related")
 
 
