@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op7_token_rollup": rollup.OP7_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }

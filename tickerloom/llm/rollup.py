@@ -1,20 +1,106 @@
 """Token totals by source, language and tokenizer version, kept up by signed deltas.
 
 A change inserts a document's count, deletes it, or revises it; changes of a batch are summed by
-key before they are written, and a batch is a folder of its own with a commit beside it. Totals
-are the sum over committed batches. A batch that is committed is never applied again; one that
-broke off before its commit is overwritten by the next try.
+key before they are written. A batch is written to a folder of its own, and it is committed by the renaming of one small file that
+names the folder, which fails if the batch has such a file already: of two writers of a batch one is committed, and the other's
+folder is never read; a batch that broke off before its commit is simply tried again. Totals are the
+sum over the newest snapshot and the batches that aren't in it; ``fold`` makes a new snapshot, so that
+what is listed and read stays small however many batches there were.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import WORD, read, shared_path
+from tickerloom.llm.bpe import default_pattern, load_ranks
+from tickerloom.llm.common import cut_lineage, map_batches, read, shared_path
+from tickerloom.llm.pretokens import WINDOW, Numbers, chunk_keys, chunk_text, windows
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+#: Chunks whose counts a worker remembers; then it starts anew.
+CACHE_CHUNKS = 1_000_000
+STEP_CHARS = 1 << 20
+
+
+def default_versions() -> dict[str, str]:
+    """Versions of the query and their vocabulary files."""
+    import public_tokenizers
+
+    return {"byte-50k-1": public_tokenizers.path("byte_bpe_50k.tiktoken"), "multi-50k-1": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+
+
+class TokenCounter:
+    """Counts the tokens of texts under several vocabularies; each different chunk is encoded once while it is remembered."""
+
+    def __init__(self, paths: tuple[str, ...], pattern: str):
+        import tiktoken
+
+        self.encodings = [tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(p), special_tokens={}) for p in paths]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = Numbers()
+        self.counts = np.empty((0, len(self.encodings)), np.int64)
+
+    def _count(self, pieces: list[str]) -> np.ndarray:
+        keys = [chunk_keys(p) for p in pieces]
+        every = list(chain.from_iterable(keys))
+        index = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        if self.number.new:
+            new, self.number.new = list(map(chunk_text, self.number.new)), []
+            found = [np.fromiter((len(e.encode_ordinary(c)) for c in new), np.int64, len(new)) for e in self.encodings]
+            self.counts = np.concatenate([self.counts, np.stack(found, axis=1)])
+        ends = np.concatenate([np.zeros((1, len(self.encodings)), np.int64), np.cumsum(self.counts[index], axis=0)])
+        borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
+        return np.diff(ends[borders], axis=0)
+
+    def counts_of(self, texts: list[str]) -> np.ndarray:
+        """A row for each text, a column for each vocabulary. Whole texts count, long ones in windows."""
+        out, at = [np.empty((0, len(self.encodings)), np.int64)], 0
+        while at < len(texts):
+            if len(self.number) > CACHE_CHUNKS:
+                self._forget()
+            if len(texts[at]) > WINDOW:
+                out.append(sum(self._count([w]) for w in windows(texts[at])))
+                at += 1
+                continue
+            to, size = at, 0
+            while to < len(texts) and len(texts[to]) <= WINDOW and (to == at or size + len(texts[to]) <= STEP_CHARS):
+                size += len(texts[to])
+                to += 1
+            out.append(self._count(texts[at:to]))
+            at = to
+        return np.concatenate(out)
+
+
+@lru_cache(maxsize=1)
+def _counter(paths: tuple[str, ...], pattern: str) -> TokenCounter:
+    """A worker process keeps its counter from task to task."""
+    return TokenCounter(paths, pattern)
+
+
+def token_counts(docs: DataFrame, versions: dict[str, str] | None = None, keep: tuple[str, ...] = ("doc_id", "source", "lang"), text: str = "text") -> DataFrame:
+    """The columns ``keep`` and, for each version in order, its number of tokens n0, n1, ...; null and empty texts have none."""
+    paths, pattern = tuple((versions or default_versions()).values()), default_pattern()
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(paths, pattern)
+        for batch in batches:
+            found = counter.counts_of(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c) for c in found.T.copy())], names=[*keep, *(f"n{i}" for i in range(len(paths)))])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return map_batches(rows, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"n{i} long" for i in range(len(paths)))]))
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -36,55 +122,108 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """A rollup below ``path``, in any file system that Spark writes."""
+    """A rollup below ``path``, in any file system that Hadoop's FileContext knows, so that a renaming never replaces a file."""
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def committed(self) -> list[str]:
-        """Ids of the committed batches, of which there is one a batch."""
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _files(self, path: str):
+        at = self._hadoop.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _held(self, path: str) -> bool:
+        files, at = self._files(f"{self.path}/{path}")
+        return files.exists(at)
+
+    def _move(self, path: str, to: str) -> bool:
+        """Rename a file; False if there is one of the new name."""
+        (files, at), (_, end) = self._files(f"{self.path}/{path}"), self._files(f"{self.path}/{to}")
+        files.mkdirs(end.getParent())
+        uri = files.makeQualified(at).toUri()
+        context = self._hadoop.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
         try:
-            rows = self.spark.read.schema("batch string").parquet(f"{self.path}/commits/*")
-            return sorted(r["batch"] for r in rows.distinct().collect())
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
+            context.rename(at, end, none)
+        except Exception:
+            if files.exists(end):
+                return False
             raise
+        return True
+
+    def _commit(self, path: str, text: str) -> bool:
+        """A file of one line, whole or not there; False if there is one already."""
+        made = f"attempts/{uuid.uuid4().hex}"
+        files, at = self._files(f"{self.path}/{made}")
+        out = files.create(at)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return self._move(made, path)
+
+    def _lines(self, folder: str) -> list[tuple[str, str]]:
+        """The (name, folder) lines of the commits in a folder."""
+        if not self._held(folder):
+            return []
+        rows = self.spark.read.schema("value string").text(f"{self.path}/{folder}").collect()  # a line a batch since the last fold
+        return sorted(tuple(r["value"].split(" ")) for r in rows)
+
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The newest snapshot's folder and the batches that it took in."""
+        done = self._lines("snapshots")
+        if not done:
+            return None, set()
+        at = f"{self.path}/{done[-1][1]}"
+        return f"{at}/totals", {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect()}
+
+    def committed(self) -> list[str]:
+        """Ids of committed batches that no snapshot holds yet."""
+        _, taken = self._snapshot()
+        return [batch for batch, _ in self._lines("commits") if batch not in taken]
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commit a batch of changes; False if it was committed before, and then nothing changes."""
+        """Commit a batch of changes; False if it was committed before, also by another writer meanwhile, and then nothing changes."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _")
-        if batch in self.committed():
+        if self._held(f"commits/{batch}") or self._held(f"folded/{batch}"):
+            return False
+        folder = f"batches/{batch}/{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(f"{self.path}/{folder}")
+        return self._commit(f"commits/{batch}", f"{batch} {folder}") and not self._held(f"folded/{batch}")
+
+    def _sums(self) -> tuple[DataFrame, list[str]]:
+        snapshot, taken = self._snapshot()
+        open_batches = [(b, f) for b, f in self._lines("commits") if b not in taken]
+        paths = [f"{self.path}/{f}" for _, f in open_batches] + ([snapshot] if snapshot else [])
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMA), []
+        rows = self.spark.read.schema(SCHEMA).parquet(*paths)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), [b for b, _ in open_batches]
+
+    def fold(self) -> bool:
+        """Take all committed batches into a new snapshot; False if another process did so meanwhile."""
+        held = self._lines("commits")
+        sums, _ = self._sums()
+        folder = f"folds/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{folder}/totals")
+        rows = self.spark.createDataFrame([(b,) for b, _ in held], "batch string")
+        rows.coalesce(1).write.parquet(f"{self.path}/{folder}/batches")
+        place = f"{len(self._lines('snapshots')):08d}"
+        if not self._commit(f"snapshots/{place}", f"{place} {folder}"):
             return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
-        done = self.spark.createDataFrame([(batch,)], "batch string").coalesce(1)
-        done.write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+        for batch, _ in held:
+            self._move(f"commits/{batch}", f"folded/{batch}")
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over committed batches; keys at 0 documents and 0 tokens are gone."""
-        done = self.committed()
-        if not done:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batches/{b}" for b in done])
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._sums()[0].filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Load all documents under two tokenizer versions, revise one, delete what labels call bad, and replay a batch."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # counts first, so that no join shuffles texts
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id",
-        "source",
-        "lang",
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"),
-        F.ceil(F.length(text) / 4).cast("long").alias("chars"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),
-    )
-    words, chars, lines = F.col("words"), F.col("chars"), F.col("lines")
+    """Load all documents under two tokenizer versions, revise one by an end token a document, delete what labels call bad, fold, and replay a batch."""
+    versions = default_versions()
+    one, two = versions
+    docs = cut_lineage(token_counts(read(spark, sf_dir, "documents"), versions))
     none = F.lit(None).cast("long")
 
     def changes(rows: DataFrame, change: str, version: str, tokens, old=none) -> DataFrame:
@@ -92,25 +231,11 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
     bad = read(spark, sf_dir, "labels").filter(F.col("quality") == 0).select("doc_id").distinct()
     rollup = TokenRollup(spark, shared_path(spark, "rollup"))
-    loaded = changes(docs, "insert", "words-1", words)
-    rollup.apply("load-words", loaded)
-    rollup.apply("load-chars", changes(docs, "insert", "chars-1", chars))
-    rollup.apply("revise-words", changes(docs, "revise", "words-1", words + lines, words))
-    rollup.apply("delete-bad", changes(docs.join(bad, "doc_id", "left_semi"), "delete", "chars-1", chars))
-    rollup.apply("load-words", loaded)  # a replay: nothing changes
+    loaded = changes(docs, "insert", one, F.col("n0"))
+    rollup.apply("load-one", loaded)
+    rollup.apply("load-two", changes(docs, "insert", two, F.col("n1")))
+    rollup.fold()
+    rollup.apply("revise-one", changes(docs, "revise", one, F.col("n0") + 1, F.col("n0")))
+    rollup.apply("delete-bad", changes(docs.join(bad, "doc_id", "left_semi"), "delete", two, F.col("n1")))
+    rollup.apply("load-one", loaded)  # a replay: nothing changes
     return rollup.totals()
-
-
-OP7_SQL = """
-WITH d AS (
-  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words,
-         ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS chars,
-         (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::BIGINT AS lines
-  FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*)::BIGINT AS n_docs, sum(words + lines)::BIGINT AS n_tokens
-FROM d GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'chars-1', count(*)::BIGINT, sum(chars)::BIGINT
-FROM d WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)
-GROUP BY source, lang
-"""
