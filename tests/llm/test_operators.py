@@ -268,6 +268,34 @@ def test_rollup(spark, tmp_path):
     with pytest.raises(Exception, match="unknown change"):
         r.apply("b4", spark.createDataFrame([("a", "en", "1", "odd", 5, None, "")], schema))
     assert r.committed() == ["b1", "b2", "b3"]
+    before = sorted(map(tuple, r.totals().na.fill("-").collect()))
+    assert r.fold() and r.committed() == [] and sorted(map(tuple, r.totals().na.fill("-").collect())) == before
+    assert not r.apply("b2", first) and r.fold()
+    # a batch whose commit another writer made between this one's check and its commit; and one that broke off before its commit
+    rollup.deltas(first).write.parquet(str(tmp_path / "rollup" / "batches" / "b5" / "lost"))
+    held, r._held = r._held, lambda path: not path.startswith(("commits/b1", "folded/b1")) and held(path)
+    assert r.apply("b5", first) and not r._commit("commits/b5", "b5 elsewhere")
+    r._held = held
+    assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == {("a", 3, 19), (None, 2, 0)}
+
+
+def test_rollup_counts_tokens(spark):
+    import tiktoken
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    bad = set(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").toPandas().doc_id)
+    wanted = {}
+    for k, (version, path) in enumerate(rollup.default_versions().items()):
+        own = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+        for r in docs.itertuples():
+            if k == 0 or r.doc_id not in bad:
+                n = wanted.setdefault((r.source, r.lang, version), [0, 0])
+                n[0] += 1
+                n[1] += len(own.encode_ordinary(r.text or "")) + (k == 0)
+    found = rollup.op7(spark, SF).collect()
+    assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"]] for r in found} == wanted
+    assert [r["n0"] for r in rollup.token_counts(odd(spark), keep=("doc_id", "source")).orderBy(F.col("doc_id").asc_nulls_last()).collect()[:2]] == [0, 0]
+    assert rollup.token_counts(odd(spark, []), keep=("doc_id",)).count() == 0
 
 
 # 8
@@ -402,9 +430,34 @@ def test_mix(spark):
     assert mixing.mix_documents(odd(spark, [])).count() == 0
 
 
+def test_equal_rows_keep_their_copies(spark):
+    rows = [(1, "a b c d e", "s", None, None, str(i)) for i in range(5)] + [(2, "x y z", "t", None, None, "r")]
+    sized = mixing.mix_sources(odd(spark, rows).withColumn("size", mixing.word_count(F.col("text")))).collect()
+    times = sum(int(r["taken"] / 5 + 0.5) for r in sized if r["doc_id"] == 1)
+    assert sum(r["doc_id"] == 1 for r in mixing.mix_documents(odd(spark, rows)).collect()) == times > 0
+
+
 # the pipeline
 
 
+def test_stages_with_odd_rows(spark):
+    """Nulls, repeats, empty texts, equal ids, clashing columns and empty tables go through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    good = docs.filter("lang = 'en'").orderBy("doc_id").limit(3).collect()
+    odd_rows = [(None, None, None, None, None), (good[0].doc_id, "12 34 ?!", "xx", None, 8), (good[0].doc_id, "12 34 ?!", "xx", None, 8), (9_000, "", "en", "src1", 0), (9_001, "word " * 50_000, "en", "src1", 0)]
+    rows = docs.union(spark.createDataFrame(odd_rows, docs.schema)).withColumn("__mark", F.lit("clash")).withColumn("quality_score", F.lit("clash"))
+    kept = pipeline.language_stage(spark, rows, SF)
+    assert kept.columns == pipeline.COLUMNS
+    assert {g.doc_id for g in good} <= {r["doc_id"] for r in kept.collect()}
+    assert kept.filter(F.col("text") == "12 34 ?!").count() == 0
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, rows, SF)
+        assert found.count() > 0 and found.columns == (pipeline.COLUMNS if name != "encode" else found.columns)
+        assert stage(spark, rows.limit(0), SF).count() == 0
+
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

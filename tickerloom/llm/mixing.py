@@ -129,19 +129,30 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", i
     """The training rows of a mix: each row of ``docs`` as often as it is taken, whole.
 
     The mix works on ids and sizes; texts meet only the number of copies, by id and a hash of the
-    text, and are shuffled only if that table has more than ``BROADCAST_IDS`` rows. Equal rows share
-    their copies evenly, rounded down. Rows without words aren't taken.
+    text, and are shuffled only if that table has more than ``BROADCAST_IDS`` rows. Equal rows (by id and text) share
+    their copies evenly; what is left over are copies of one of them. Rows without words aren't taken.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     narrow = docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     mixed = mix_sources(narrow, key=("__id", "__mark"))
     copies = cut_lineage(
-        mixed.groupBy("__id", "__mark").agg(F.floor(F.avg(times_taken(F.col("size"), F.col("taken")))).cast("int").alias("__times")).filter("__times > 0")
+        mixed.groupBy("__id", "__mark").agg(F.sum(times_taken(F.col("size"), F.col("taken"))).alias("__all"), F.count("*").alias("__rows"))
+        .select("__id", "__mark", F.floor(F.col("__all") / F.col("__rows")).cast("int").alias("__times"), (F.col("__all") % F.col("__rows")).cast("int").alias("__left"))
     )
-    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     on = F.equal_null(F.col(id_col), F.col("__id")) & (mark == F.col("__mark"))
-    joined = docs.join(F.broadcast(copies) if few else copies, on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+
+    def taken(wanted: DataFrame) -> DataFrame:
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(wanted) if few else wanted, on)
+
+    names = [f"`{c}`" for c in docs.columns]
+    whole = taken(copies.filter("__times > 0")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    left = copies.filter("__left > 0")
+    if not left.limit(1).count():
+        return whole
+    one = taken(left).select("__id", "__mark", "__left", F.struct(*[docs[c] for c in docs.columns]).alias("__row")).groupBy("__id", "__mark", "__left").agg(F.any_value("__row").alias("__row"))
+    more = one.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__left")))).select(*[f"__row.{c}" for c in names])
+    return whole.union(more)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
