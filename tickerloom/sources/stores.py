@@ -7,43 +7,92 @@ from pyspark.sql import functions as F
 
 
 class DocumentStore:
-    """Versioned documents below ``path``, partitioned by group and day, so that scans prune folders."""
+    """Versioned documents below ``path``, partitioned by group and day, so that scans prune folders.
+
+    A deletion is a row beside the documents, and scans leave deleted ones out; so nothing is rewritten, and a delete that breaks off deletes nothing.
+    """
 
     KEYS = ("group_id", "created_date")
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def save(self, docs: DataFrame) -> None:
         """Append documents with guid, group_id and created_at."""
-        docs.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(*self.KEYS).parquet(self.path)
-
-    def scan(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def get(self, guid: str, permitted: list[int]) -> DataFrame:
-        """The document with a status: OK with its row, DENIED or NOT_FOUND without."""
+        docs.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
+
+    def scan(self, day: str | None = None) -> DataFrame:
+        """All documents, or those of a day."""
+        rows = self.spark.read.parquet(f"{self.path}/documents")
+        if day is not None:
+            rows = rows.filter(F.col("created_date") == F.to_date(F.lit(day)))
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deleted")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return rows
+        gone = self.spark.read.schema("guid string, group_id int").parquet(f"{self.path}/deleted").distinct()
+        return rows.join(gone, ["guid", "group_id"], "left_anti")
+
+    def get(self, guid: str, permitted: list[int], day: str | None = None) -> DataFrame:
+        """The document with a status: OK with its row, DENIED or NOT_FOUND without. With a day only its folders are read."""
         asked = self.spark.createDataFrame([(guid,)], "guid string")
         status = F.when(F.col("group_id").isNull(), "NOT_FOUND").when(F.col("group_id").isin(permitted), "OK").otherwise("DENIED")
-        return asked.join(self.scan(), "guid", "left").withColumn("status", status)
+        return asked.join(self.scan(day).filter(F.col("guid") == guid), "guid", "left").withColumn("status", status)
+
+    def exists(self, guid: str, group: int, day: str | None = None) -> bool:
+        return self.scan(day).filter((F.col("guid") == guid) & (F.col("group_id") == group)).limit(1).count() > 0
+
+    def delete(self, guid: str, group: int) -> bool:
+        """Whether there was such a document."""
+        if not self.exists(guid, group):
+            return False
+        self.spark.createDataFrame([(guid, group)], "guid string, group_id int").coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
+        return True
 
     def by_group(self, groups: list[int], limit: int | None = None) -> DataFrame:
         """Newest day first, then guid, of permitted groups; an empty list permits none."""
         rows = self.scan().filter(F.col("group_id").isin(groups)).orderBy(F.desc("created_date"), F.desc("guid"))
         return rows.limit(limit) if limit is not None else rows
 
+    def by_groups(self, groups: list[int], limit: int | None = None) -> DataFrame:
+        """Newest first over several permitted groups together."""
+        rows = self.scan().filter(F.col("group_id").isin(groups)).orderBy(F.desc("created_at"), F.desc("guid"))
+        return rows.limit(limit) if limit is not None else rows
+
     def by_dates(self, group: int, first: str, last: str) -> DataFrame:
         return self.scan().filter((F.col("group_id") == group) & F.col("created_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
 
     def count(self) -> DataFrame:
         return self.scan().groupBy("group_id").count()
 
+    def new_version(self, guid: str, new_guid: str, **changes: object) -> None:
+        """Append the next version of a document, with some columns changed; both stay."""
+        old = self.scan().filter(F.col("guid") == guid).drop("created_date")
+        new = {"guid": F.lit(new_guid), "previous_version_guid": F.lit(guid), "version": F.col("version") + 1, **{k: F.lit(x) for k, x in changes.items()}}
+        self.save(old.select(*[new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in old.dtypes]))
+
     def latest(self) -> DataFrame:
         """Documents that no other names as its predecessor."""
         rows = self.scan()
         return rows.join(rows.select(F.col("previous_version_guid").alias("guid")).filter(F.col("guid").isNotNull()), "guid", "left_anti")
 
 
+class PieceStore:
+    """Pieces of documents (guid, piece, group_id, text, vector), by document."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def of(self, guid: str) -> DataFrame:
+        return self.rows.filter(F.col("guid") == guid).orderBy("piece")
+
+    def without(self, gone: DataFrame) -> PieceStore:
+        """The store less the pieces of some documents (guid)."""
+        return PieceStore(self.rows.join(gone.select("guid"), "guid", "left_anti"))
+
+    def count(self) -> DataFrame:
+        return self.rows.groupBy("group_id").agg(F.count_distinct("guid").alias("documents"), F.count("*").alias("pieces"))
+
+
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(scheme, value, canonical_guid) from JSON, CSV or TSV; incomplete rows are dropped, schemes upper-cased, values trimmed."""
     if path.endswith(".json"):
@@ -69,6 +118,16 @@ class AuditLog:
         """Entries with a timestamp column ``timestamp``."""
         entries.withColumn("date", F.date_format("timestamp", "yyyy-MM-dd")).write.mode("append").partitionBy("date").json(self.path)
 
+    def count(self) -> DataFrame:
+        """Entries by day."""
+        return self.spark.read.json(self.path).groupBy(F.col("date").cast("string").alias("date")).count()
+
+    def clear(self, day: str) -> bool:
+        """Drop the entries of a day; whether there were any."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/date={day}")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.exists(at) and files.delete(at, True)
+
     def query(self, first: str, last: str, limit: int = 100, **equal: str) -> DataFrame:
         """Entries from day ``first`` to ``last`` with equal fields, oldest first."""
         rows = self.spark.read.json(self.path).filter(F.col("date").cast("string").between(first, last))
