@@ -234,6 +234,9 @@ def test_search_edges(spark):
     found = multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 8, 0.0), (0, 100, 0.0), (0, 1, 2**0.5), (100, 0, 0.0), (100, 8, 0.0), (100, 1, 2**0.5)]
     assert multi_index.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [0.0, 1.0], "x"), (100, [1.0], "x"), (7, [3.0], "x"), (8, [2.0], "x")], "vec_id long, embedding array<float>, rank string")
+    found = multi_index.nearest(mixed).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 1, 2**0.5), (100, 1, 8, 1.0), (100, 2, 7, 2.0)]
 
 
 # 6

@@ -15,6 +15,7 @@ bounded size on both sides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -122,13 +123,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, vector) of rows that take part: an id and finite components, not all zero, of the commonest dimension."""
+    """(id, vector) of rows that take part: an id and finite components, not all zero."""
     v = F.col("vector")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.filter(F.col("id").isNotNull() & v.isNotNull() & fine)
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("vector") == (common["n"] if common else 0))
+    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & fine)
 
 
 def fit_radius(rows: DataFrame, rotation: Rotation, trials: np.ndarray, trial_ids: np.ndarray, k: int, within: float) -> int:
@@ -200,17 +199,23 @@ def nearest(
 
     * queries: rows whose id is divisible by ``every``; candidates: all rows but the query's own id.
     * score: Euclidean distance of the original vectors in double precision; ties to smaller ids.
-    * rows without an id, and vectors that are null, zero, of another dimension than most, or hold
-      null or non-finite components take no part. Equal vectors are candidates each; repeated
-      rows too, and a repeated query id is one query (the smallest vector).
+    * rows without an id, and vectors that are null, zero or hold null or non-finite components take no part. Vectors of
+      different dimensions have no distance: each dimension is searched by itself. Equal vectors are candidates each; repeated
+      rows too, and a query id that is repeated in a dimension is one query (the smallest vector).
     * fewer candidates than ``k``: all of them. An empty table gives no rows.
     * ``radius``: fixed instead of fitted. Other columns are ignored.
     """
-    spark = df.sparkSession
     rows = cut_lineage(usable(df, id_col, vector))
-    total = rows.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # a row a dimension
+    sizes = sorted((r["n"], r["count"]) for r in rows.groupBy(F.size("vector").alias("n")).count().collect())
+    found = [_search(rows.filter(F.size("vector") == n) if len(sizes) > 1 else rows, total, every, k, within, radius) for n, total in sizes]
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(rows: DataFrame, total: int, every: int, k: int, within: float, radius: int | None) -> DataFrame:
+    """The search over ``total`` rows of one dimension."""
     sample = np.array([r["vector"] for r in rows.filter(about(FIT_ROWS / total, 1, "id")).collect()])
     if len(sample) < 2:
         sample = np.array([r["vector"] for r in rows.limit(FIT_ROWS).collect()])
