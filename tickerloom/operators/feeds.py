@@ -208,7 +208,10 @@ def candidates(news: News, bias: sc.Bias, clients: DataFrame) -> DataFrame:
     base = lookup(bias.bases, F.col("channel"))
     graph = F.when(F.col("channel") == "DIRECT_HOLDING", F.least(F.lit(1.0), base + F.least(F.lit(0.3), F.col("weight")))).otherwise(base)
     by_ticker = hits.withColumn("n", n).filter(F.col("n") <= FETCH).select("client_id", "doc_id", "channel", graph.alias("graph"), F.lit(0.0).alias("vector"))
-    themed = docs.join(allowed, "group_id").filter(readable & F.arrays_overlap("themes", "mandate_themes"))
+    # by group and theme, each pair at the first theme that it shares: only pairs that share one meet
+    topics = docs.select("doc_id", "group_id", "created_at", "impact_score", "themes", F.explode("themes").alias("theme"))
+    wishes = allowed.select("client_id", "group_id", "impact_threshold", "mandate_themes", F.explode("mandate_themes").alias("theme"))
+    themed = topics.join(wishes, ["group_id", "theme"]).filter(readable & (F.array_intersect("themes", "mandate_themes")[0] == F.col("theme")))
     n = rank_in(["client_id"], F.col("created_at").desc_nulls_first(), F.col("doc_id"))
     by_theme = themed.withColumn("n", n).filter(F.col("n") <= FETCH).select(
         "client_id", "doc_id", F.lit("THEMATIC").alias("channel"), F.lit(bias.bases["THEMATIC"]).alias("graph"), F.lit(0.0).alias("vector")
