@@ -114,9 +114,11 @@ def hybrid_search_expanded(n: News, k: int = 10) -> DataFrame:
 
 def keyword_bm25(n: News, words: tuple[str, ...] = ("the", "license", "version"), k: int = 20) -> DataFrame:
     """BM25 over words in any script (an extension): texts are cut once, and a row keeps its length and a count for each word asked."""
-    tokens, same = tx.tokens(F.coalesce("content", F.lit(""))), lambda w: lambda t: t == w
-    cut = n.documents.select("doc_id", tokens.alias("t")).filter(F.size("t") > 0)
-    counts = cut_lineage(cut.select("doc_id", F.size("t").alias("len"), *[F.size(F.filter("t", same(w))).alias(f"c{i}") for i, w in enumerate(words)]))
+    # two spaces between words, so that each word has a space of its own on either side
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce("content", F.lit(""))), tx.BETWEEN_WORDS, "  ")), F.lit(" "))
+    times = lambda part: ((F.length("p") - F.length(F.replace(F.col("p"), F.lit(part), F.lit("")))) / len(part)).cast("int")
+    cut = n.documents.select("doc_id", plain.alias("p")).filter(F.col("p") != "  ")
+    counts = cut_lineage(cut.select("doc_id", (times("  ") + 1).alias("len"), *[times(f" {w} ").alias(f"c{i}") for i, w in enumerate(words)]))
     held = [F.count_if(F.col(f"c{i}") > 0).alias(f"df{i}") for i in range(len(words))]
     whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *held)
 
