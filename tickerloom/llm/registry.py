@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import bpe, language, licenses, mixing, multi_index, quality, rollup, simhash, token_store, weighted_sampling
+from tickerloom.llm import bpe, language, licenses, merges, mixing, multi_index, periods, quality, rollup, simhash, token_store, weighted_sampling
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8,
     "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
+    "op11_merge_rounds": merges.op11,
+    "op13_periodic_runs": periods.op13,
 }
 
 ORACLE_SQL = {
