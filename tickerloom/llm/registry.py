@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import bpe, language, licenses, merges, mixing, multi_index, periods, quality, rollup, simhash, token_store, weighted_sampling
+from tickerloom.llm import bpe, language, licenses, merges, mixing, multi_index, periods, quality, rollup, simhash, token_store, treaps, weighted_sampling
 
 QUERIES = {
     "op1_token_store": token_store.op1,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_simhash_groups": simhash.op9,
     "op10_source_mix": mixing.op10,
     "op11_merge_rounds": merges.op11,
+    "op12_inverted_treaps": treaps.op12,
     "op13_periodic_runs": periods.op13,
 }
 
 ORACLE_SQL = {
     "op10_source_mix": mixing.OP10_SQL,
+    "op12_inverted_treaps": treaps.OP12_SQL,
 }
