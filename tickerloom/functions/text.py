@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +104,30 @@ def chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP, least: int =
     return [p for p in pieces if len(p[2]) >= least]
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "content") -> DataFrame:
-    """(id, chunk_index, start_char, end_char, content): a short text is one chunk, null is empty."""
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "content", with_content: bool = True) -> DataFrame:
+    """(id, chunk_index, start_char, end_char, content): all pieces of every whole text; a short text is one chunk, null is empty. Without content, places only."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, *c) for i, t in zip(frame[id_col], frame[text], strict=True) for n, c in enumerate(chunks_of(t or ""))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "start_char", "end_char", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [chunks_of(t or "") for t in batch.column(1).to_pylist()]
+            sizes = [len(x) for x in found]
+            every = [c for x in found for c in x]
+            index = pa.array([n for size in sizes for n in range(size)], pa.int32())
+            places = [pa.array([c[k] for c in every], pa.int32()) for k in (0, 1)]
+            ids = batch.column(0).take(pa.array([i for i, size in enumerate(sizes) for _ in range(size)], pa.int64()))
+            more = [pa.array([c[2] for c in every], pa.string())] if with_content else []
+            yield pa.RecordBatch.from_arrays([ids, index, *places, *more], names=names)
 
-    return docs.select(id_col, text).mapInPandas(run, f"{id_col} long, chunk_index int, start_char int, end_char int, content string")
+    names = [id_col, "chunk_index", "start_char", "end_char"] + ["content"] * with_content
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, start_char int, end_char int" + ", content string" * with_content)
+
+
+def piece_of(text: Column, index: Column) -> Column:
+    """The content of one piece of a text; for the few rows whose pieces are shown."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([chunks_of(t or "")[n][2] for t, n in zip(texts, numbers, strict=True)])
+
+    return cut(text, index)

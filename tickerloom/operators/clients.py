@@ -13,7 +13,7 @@ from tickerloom.functions import vocabulary as v
 from tickerloom.operators import dedupe
 from tickerloom.operators.feeds import rank_in
 from tickerloom.sources.domain import News, lookup
-from tickerloom.sources.domain_sql import _case, _list, sql
+from tickerloom.sources.domain_sql import PIECES, _case, _list, sql
 from tickerloom.sources.lineage import cut_lineage
 
 
@@ -341,6 +341,7 @@ QUERIES = {f.__name__: f for f in (
     "hybrid_search_prefilter": lambda n: hybrid_search(n, regions=("EUROPE", "AFRICA"), prefilter=True),
 }
 SQL = {
+    "chunk_documents": sql("SELECT doc_id, piece::INTEGER AS chunk_index, start_char::INTEGER AS start_char, end_char::INTEGER AS end_char, text AS content FROM pieces", *PIECES),
     "list_clients": sql("SELECT client_id, name, client_type, group_id FROM clients WHERE coalesce(status, 'active') <> 'defunct' ORDER BY name LIMIT 100"),
     "client_profile": sql("SELECT client_id, client_type, ticker AS benchmark, array_to_string(mandate_themes, ',') AS themes, coalesce(trim(mandate_text), '') AS mandate FROM clients LEFT JOIN instr ON instrument_id = benchmark_id"),
     "completeness_score": sql("""SELECT client_id, round(0.35::DOUBLE * (client_id IN (SELECT client_id FROM holds UNION SELECT client_id FROM watches))::INT + 0.35::DOUBLE * (0.5::DOUBLE * (mandate_type IS NOT NULL)::INT

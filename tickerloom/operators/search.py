@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scoring as sc
+from tickerloom.functions import text as tx
 from tickerloom.operators.clients import _R30, _SIM, _asked
 from tickerloom.operators.feeds import rank_in
 from tickerloom.operators.graph import newest_shared
 from tickerloom.sources.domain import News
-from tickerloom.sources.domain_sql import sql
+from tickerloom.sources.domain_sql import PIECES, sql
 
 SNIPPET = 500
 RESERVED = ("title", "group", "source", "language", "created")
@@ -56,12 +57,16 @@ def described(n: News) -> DataFrame:
     return n.documents.withColumn("sectors", sectors).withColumn("companies", companies).join(n.sources.select("source", "region", "trust_score"), "source", "left")
 
 
-def pieces(n: News) -> DataFrame:
-    """Two pieces of each text, of 1,000 characters of which 200 are shared, each with a vector."""
-    size = n.sizes["embeddings"]
-    one = n.documents.select("doc_id", F.lit(0).alias("piece"), (F.col("doc_id") % size).alias("vec_id"), F.substring("content", 1, 1000).alias("text"))
-    two = n.documents.select("doc_id", F.lit(1).alias("piece"), ((F.col("doc_id") * 7 + 1) % size).alias("vec_id"), F.substring("content", 801, 1000).alias("text"))
-    return one.union(two)
+def with_vectors(n: News, pieces: DataFrame) -> DataFrame:
+    """Pieces (doc_id, piece) with the number of each one's vector."""
+    place = F.col("doc_id") * (1 + 6 * F.col("piece")) + F.col("piece")
+    return pieces.withColumn("vec_id", place % n.sizes["embeddings"])
+
+
+def pieces(n: News, docs: DataFrame) -> DataFrame:
+    """(doc_id, piece, vec_id): every piece of each whole text."""
+    cut = tx.chunk_documents(docs.select("doc_id", "content"), with_content=False)
+    return with_vectors(n, cut.select("doc_id", F.col("chunk_index").alias("piece")))
 
 
 def conditions(a: Ask) -> tuple[Column, Column]:
@@ -84,25 +89,29 @@ def conditions(a: Ask) -> tuple[Column, Column]:
     return every(before), every(after)
 
 
-def query_documents(n: News, a: Ask | None = None) -> DataFrame:
-    """(rank, doc_id, score, similarity, piece, snippet): the best piece of each document among the 3 k nearest pieces."""
+def query_documents(n: News, a: Ask | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(rank, doc_id, score, similarity, piece, snippet): the best piece of each document among the 3 k nearest pieces of all.
+
+    Texts are cut here unless ``index`` has the pieces (doc_id, piece) of every document, as a piece index keeps them.
+    """
     a = a or Ask()
     before, after = conditions(a)
     if a.prefilter:
         before = before & after
     docs = described(n)
     scores = n.vectors.join(F.broadcast(_asked(n))).select("vec_id", F.round(sc.cosine(F.col("embedding"), F.col("q")), 9).alias("similarity"))  # one row asked
-    # keys first: the texts of pieces are cut for the few that stay
-    keys = pieces(n).select("doc_id", "piece", "vec_id").join(docs.filter(before).drop("content", "title"), "doc_id").join(scores, "vec_id")
-    near = keys.orderBy(F.desc("similarity"), "doc_id", "piece").limit(3 * a.k)
-    titles = docs.select("doc_id", "title", "content")
-    found = near.join(titles, "doc_id").filter(after)
+    admitted = docs.filter(before)
+    cut = pieces(n, admitted) if index is None else with_vectors(n, index.select("doc_id", "piece")).join(admitted.select("doc_id"), "doc_id", "left_semi")
+    # keys first: metadata and texts are looked up for the few that stay
+    near = cut.join(scores, "vec_id").orderBy(F.desc("similarity"), "doc_id", "piece").limit(3 * a.k)
+    found = near.join(docs, "doc_id").filter(after)
     best = found.withColumn("r", rank_in(["doc_id"], F.col("similarity").desc(), F.col("piece"))).filter("r = 1")
     w = a.weights
     score = w["semantic"] * F.col("similarity") + w["trust"] * F.coalesce("trust_score", F.lit(0.5)) + w["recency"] * sc.recency30(F.col("created_at"), n.now)
-    rows = best.select("doc_id", F.round(score, 6).alias("score"), F.round("similarity", 6).alias("similarity"), "piece", F.substring(F.expr("substring(content, 1 + 800 * piece, 1000)"), 1, SNIPPET).alias("snippet"))
+    rows = best.select("doc_id", F.round(score, 6).alias("score"), F.round("similarity", 6).alias("similarity"), "piece", "content")
     top = rows.orderBy(F.desc("score"), "doc_id").limit(a.k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # k rows
+    shown = top.withColumn("snippet", F.substring(tx.piece_of(F.col("content"), F.col("piece")), 1, SNIPPET)).drop("content")
+    return shown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # k rows
 
 
 def _short(rows: DataFrame) -> DataFrame:
@@ -183,11 +192,12 @@ def _ctes(a: Ask, before: str, after: str) -> list[tuple[str, str]]:
         _SIM,
         ("des", """SELECT docs.*, region, trust_score, CASE WHEN doc_id % 6 = 0 THEN ['tech'] WHEN doc_id % 4 = 0 THEN ['energy', 'tech'] WHEN doc_id % 4 = 1 THEN ['banks'] ELSE []::VARCHAR[] END AS sectors,
             CASE WHEN doc_id % 5 = 0 THEN ['C1'] ELSE ['C' || doc_id % 7, 'C9'] END AS companies FROM docs LEFT JOIN srcs USING (source)"""),
-        ("pcs", "SELECT doc_id, k AS piece, CASE k WHEN 0 THEN doc_id % (SELECT embeddings FROM n) ELSE (doc_id * 7 + 1) % (SELECT embeddings FROM n) END AS vec_id FROM docs, (VALUES (0), (1)) ks(k)"),
+        *PIECES,
+        ("pcs", "SELECT doc_id, piece, text, (doc_id * (1 + 6 * piece) + piece) % (SELECT embeddings FROM n) AS vec_id FROM pieces"),
         ("top", f"SELECT * FROM pcs JOIN des USING (doc_id) JOIN sim USING (vec_id) WHERE {before} ORDER BY similarity DESC, doc_id, piece LIMIT {3 * a.k}"),
         ("best", f"SELECT * FROM top WHERE {after} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, piece) = 1"),
         ("res", f"""SELECT doc_id, piece, round({w['semantic']}::DOUBLE * similarity + {w['trust']}::DOUBLE * coalesce(trust_score, 0.5) + {w['recency']}::DOUBLE * {_R30}, 6) AS score, round(similarity, 6) AS similarity,
-            substr(substr(content, 1 + 800 * piece, 1000), 1, {SNIPPET}) AS snippet FROM best"""),
+            substr(text, 1, {SNIPPET}) AS snippet FROM best"""),
         ("ans", f"SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM res QUALIFY rank <= {a.k}"),
     ]
 

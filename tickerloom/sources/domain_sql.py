@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickerloom.functions import vocabulary as v
+from tickerloom.functions.text import BOUNDARIES, CHUNK, LEAST, OVERLAP
 
 
 def _list(values: list) -> str:
@@ -66,7 +67,26 @@ VIEWS = {
 }
 
 
+def _stop(start: str) -> str:
+    """Where a piece of ``content`` (of ``n`` characters) ends that starts at ``start``."""
+    region = f"substr(content, {start} + {CHUNK * 4 // 5} + 1, {CHUNK // 5})"
+    last = lambda mark: f"length(regexp_extract({region}, '(?s)^.*[{mark[0]}]{'[ ]' if mark[1] == ' ' else chr(92) + 'n'}'))"
+    marks = " ".join(f"WHEN {last(m)} > 0 THEN {start} + {CHUNK * 4 // 5} + {last(m)}" for m in BOUNDARIES)
+    return f"CASE WHEN {start} + {CHUNK} >= n THEN n {marks} ELSE {start} + {CHUNK} END"
+
+
+_NEXT = f"greatest(b - {OVERLAP}, a + 1)"
+_BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+#: All pieces of whole texts: (doc_id, piece, start_char, end_char, text).
+PIECES = [
+    ("cuts", f"""SELECT doc_id, coalesce(content, '') AS content, length(coalesce(content, '')) AS n, 0 AS k, 0::BIGINT AS a, ({_stop("0")})::BIGINT AS b FROM (SELECT doc_id, content, length(coalesce(content, '')) AS n FROM docs)
+        UNION ALL SELECT doc_id, content, n, k + 1, {_NEXT}, ({_stop(_NEXT)})::BIGINT FROM cuts WHERE b < n"""),
+    ("stripped", f"SELECT *, CASE WHEN n <= {CHUNK} THEN content ELSE regexp_replace(regexp_replace(substr(content, a + 1, b - a), '^{_BLANK}', ''), '{_BLANK}$', '') END AS text FROM cuts"),
+    ("pieces", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS piece, a AS start_char, b AS end_char, text FROM stripped WHERE n <= {CHUNK} OR length(text) >= {LEAST}"),
+]
+
+
 def sql(query: str, *more: tuple[str, str]) -> str:
     """``query`` after the views, and after further (name, SELECT) pairs."""
     parts = [*VIEWS.items(), *more]
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n" + query
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n" + query
