@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.operators import advice, changes, clients, dedupe, feeds, graph, ingest, lookups, search, trends
+from tickerloom.operators import advice, changes, clients, dedupe, feeds, graph, ingest, lookups, piece_index, search, trends
 from tickerloom.sources.domain import News
 from tickerloom.streaming import alerts
 
-MODULES = (feeds, trends, dedupe, graph, lookups, changes, ingest, search, advice, clients, alerts)
+MODULES = (feeds, trends, dedupe, graph, lookups, changes, ingest, search, piece_index, advice, clients, alerts)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

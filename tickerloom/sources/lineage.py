@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and keep it in the shared checkpoint folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder that nothing has used, below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
