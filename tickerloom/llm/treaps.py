@@ -35,7 +35,7 @@ BLOCK_CHARS = 1 << 24
 #: Terms of the items that are searched for in one pass.
 PASS_TERMS = 200_000
 #: Roots in the ranges that go side by side.
-SIDE_BY_SIDE = 1 << 18
+SIDE_BY_SIDE = 1 << 14
 #: Significant bits of the impacts that order treaps.
 BITS = 6
 BEST = 10
@@ -194,19 +194,20 @@ def search_block(treaps: Treaps, roots: np.ndarray, weights: np.ndarray, best: B
             good = good[scores[good] >= np.partition(scores[good], len(good) - best.k)[len(good) - best.k]]
         if len(good):
             best.add(scores[good], [treaps.doc_ids[d] for d in doc[good]])
+        lows, highs, counts, nodes, weights = [], [], [], [], []
         for low, high in ((ranges.low, doc), (doc + 1, ranges.high)):
             node = treaps.within(ranges.node, low[rows], high[rows])
             held = node >= 0
-            counts = np.bincount(rows[held], minlength=len(doc))
-            full = np.flatnonzero(counts)
-            if not len(full):
-                continue
-            part = Ranges(treaps, low[full], high[full], counts[full], node[held], ranges.weight[held])
-            order = np.argsort(part.bound, kind="stable")  # the highest last, as they leave the stack first
-            order = order[part.bound[order] >= best.least]
-            piece = np.cumsum(part.counts[order]) // side_by_side
-            for some in np.split(order, np.flatnonzero(np.diff(piece)) + 1) if len(order) else ():
-                stack.append(part.take(treaps, some))
+            count = np.bincount(rows[held], minlength=len(doc))
+            full = count > 0
+            for parts, part in zip((lows, highs, counts, nodes, weights), (low[full], high[full], count[full], node[held], ranges.weight[held]), strict=True):
+                parts.append(part)
+        both = Ranges(treaps, *map(np.concatenate, (lows, highs, counts, nodes, weights)))
+        order = np.argsort(both.bound, kind="stable")  # the highest last, as they leave the stack first
+        order = order[both.bound[order] >= best.least]
+        piece = np.cumsum(both.counts[order]) // side_by_side
+        for some in np.split(order, np.flatnonzero(np.diff(piece)) + 1) if len(order) else ():
+            stack.append(both.take(treaps, some))
     return scored
 
 
