@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.operators import advice, changes, clients, dedupe, duplicate_registry, feeds, graph, ingest, lookups, piece_index, search, trends
 from tickerloom.sources.domain import News
-from tickerloom.streaming import alerts
+from tickerloom.streaming import alerts, stateful
 
-MODULES = (feeds, trends, dedupe, duplicate_registry, graph, lookups, changes, ingest, search, piece_index, advice, clients, alerts)
+MODULES = (feeds, trends, dedupe, duplicate_registry, graph, lookups, changes, ingest, search, piece_index, advice, clients, alerts, stateful)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
