@@ -274,14 +274,74 @@ def test_rollup(spark, tmp_path):
     before = sorted(map(tuple, r.totals().na.fill("-").collect()))
     assert r.fold() and r.committed() == [] and sorted(map(tuple, r.totals().na.fill("-").collect())) == before
     assert not r.apply("b2", first) and r.fold()
-    # a batch whose commit another writer made between this one's check and its commit; and one that broke off before its commit
+    # a batch that broke off before its commit is tried again
     rollup.deltas(first).write.parquet(str(tmp_path / "rollup" / "batches" / "b5" / "lost"))
-    held, r._held = r._held, lambda path: not path.startswith(("commits/b1", "folded/b1")) and held(path)
-    assert r.apply("b5", first) and not r._commit("commits/b5", "b5 elsewhere")
-    r._held = held
+    assert r.apply("b5", first)
     assert {(x["source"], x["n_docs"], x["n_tokens"]) for x in r.totals().collect()} == {("a", 3, 19), (None, 2, 0)}
 
 
+def counted(spark, *tokens):
+    schema = "source string, lang string, tokenizer_version string, change string, tokens long, old_tokens long"
+    return spark.createDataFrame([("a", "en", "1", "insert", t, None) for t in tokens], schema)
+
+
+def summed(r):
+    return [(x["n_docs"], x["n_tokens"]) for x in r.totals().collect()]
+
+
+def interleaved(spark, path, own, other):
+    """Run ``own`` once for each of its steps on the log, with ``other`` let in just before that step; yields the rollup after both and what they gave."""
+    for step in range(12):
+        r, at = rollup.TokenRollup(spark, f"{path}-{step}"), [0]
+        assert r.apply("b1", counted(spark, 5)) and r.fold() and r.apply("b2", counted(spark, 7))
+        meddler, gave = rollup.TokenRollup(spark, r.path), []
+
+        def let_in(real, step=step, at=at, gave=gave, meddler=meddler):
+            def call(*args):
+                at[0] += 1
+                if at[0] == step + 1:
+                    gave.append(other(meddler))
+                return real(*args)
+
+            return call
+
+        r.log.latest, r.log.commit = let_in(r.log.latest), let_in(r.log.commit)
+        gave.append(own(r))
+        if len(gave) < 2:
+            return
+        yield meddler, gave
+
+
+def test_commits_folds_and_readers_at_every_step(spark, tmp_path):
+    apply = lambda batch, *tokens: lambda r: r.apply(batch, counted(spark, *tokens))
+    fold = lambda r: r.fold()
+    meetings = 0
+    cases = [
+        (fold, apply("b3", 11), (3, 23), lambda x: all(x)), (apply("b3", 11), fold, (3, 23), lambda x: all(x)),
+        (fold, fold, (2, 12), lambda x: any(x)), (apply("b3", 11), apply("b4", 13), (4, 36), lambda x: all(x)),
+        (apply("b3", 11), apply("b3", 11), (3, 23), lambda x: sorted(x) == [False, True]),
+        # a late writer of a batch that others have committed and folded, with a further fold after it
+        (apply("b3", 11), lambda r: r.apply("b3", counted(spark, 11)) and r.fold() and r.apply("b4", counted(spark, 1)) and r.fold(), (4, 24), lambda x: x == [True, False]),
+    ]
+    for k, (own, other, wanted, right) in enumerate(cases):
+        for r, gave in interleaved(spark, str(tmp_path / f"case-{k}"), own, other):
+            assert summed(r) == [wanted] and right(gave)
+            assert r.fold() and summed(r) == [wanted] and r.committed() == []
+            assert not r.apply("b1", counted(spark, 99)) and not r.apply("b2", counted(spark, 99)) and summed(r) == [wanted]
+            meetings += 1
+    assert meetings >= 12
+
+
+def test_readers_beside_folds(spark, tmp_path):
+    for _, gave in interleaved(spark, str(tmp_path / "reader"), summed, lambda r: r.fold()):
+        assert gave[1] == [(2, 12)]
+    r = rollup.TokenRollup(spark, str(tmp_path / "pinned"))
+    r.apply("b1", counted(spark, 5))
+    before = r.totals()
+    assert r.fold() and r.apply("b2", counted(spark, 7)) and r.fold()
+    assert [(x["n_docs"], x["n_tokens"]) for x in before.collect()] == [(1, 5)]
+
+
 def test_rollup_counts_tokens(spark):
     import tiktoken
 

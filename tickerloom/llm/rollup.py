@@ -1,10 +1,10 @@
 """Token totals by source, language and tokenizer version, kept up by signed deltas.
 
 A change inserts a document's count, deletes it, or revises it; changes of a batch are summed by
-key before they are written. A batch is written to a folder of its own, and it is committed by the renaming of one small file that
-names the folder, which fails if the batch has such a file already: of two writers of a batch one is committed, and the other's
+key before they are written. A batch is written to a folder of its own, and it is committed by the next version of a log,
+a small file that one renaming puts in place and that never replaces another: of two writers of a batch one is committed, and the other's
 folder is never read; a batch that broke off before its commit is simply tried again. Totals are the
-sum over the newest snapshot and the batches that aren't in it; ``fold`` makes a new snapshot, so that
+sum over the newest snapshot and the batches since; ``fold`` makes a new snapshot, so that
 what is listed and read stays small however many batches there were.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.bpe import default_pattern, load_ranks
 from tickerloom.llm.common import cut_lineage, map_batches, read, shared_path
 from tickerloom.llm.pretokens import WINDOW, Numbers, chunk_keys, chunk_text, windows
+from tickerloom.sources.versions import VersionLog
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -122,101 +123,70 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """A rollup below ``path``, in any file system that Hadoop's FileContext knows, so that a renaming never replaces a file."""
+    """A rollup below ``path``, in any file system that Hadoop's FileContext knows.
+
+    Its states are versions of one log: {totals, folded, open}, the folder of the newest snapshot, that of the ids which it took in, and the
+    folder of each committed batch since. A version names all that belongs together, so a reader can't see a batch in both places or in none, and of
+    two writers the later one decides again on what the earlier one left.
+    """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-
-    def _files(self, path: str):
-        at = self._hadoop.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _held(self, path: str) -> bool:
-        files, at = self._files(f"{self.path}/{path}")
-        return files.exists(at)
-
-    def _move(self, path: str, to: str) -> bool:
-        """Rename a file; False if there is one of the new name."""
-        (files, at), (_, end) = self._files(f"{self.path}/{path}"), self._files(f"{self.path}/{to}")
-        files.mkdirs(end.getParent())
-        uri = files.makeQualified(at).toUri()
-        context = self._hadoop.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
-        try:
-            context.rename(at, end, none)
-        except Exception:
-            if files.exists(end):
-                return False
-            raise
-        return True
-
-    def _commit(self, path: str, text: str) -> bool:
-        """A file of one line, whole or not there; False if there is one already."""
-        made = f"attempts/{uuid.uuid4().hex}"
-        files, at = self._files(f"{self.path}/{made}")
-        out = files.create(at)
-        out.write(bytearray(text.encode()))
-        out.close()
-        return self._move(made, path)
-
-    def _lines(self, folder: str) -> list[tuple[str, str]]:
-        """The (name, folder) lines of the commits in a folder."""
-        if not self._held(folder):
-            return []
-        rows = self.spark.read.schema("value string").text(f"{self.path}/{folder}").collect()  # a line a batch since the last fold
-        return sorted(tuple(r["value"].split(" ")) for r in rows)
-
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """The newest snapshot's folder and the batches that it took in."""
-        done = self._lines("snapshots")
-        if not done:
-            return None, set()
-        at = f"{self.path}/{done[-1][1]}"
-        return f"{at}/totals", {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect()}
+        self.log = VersionLog(spark, path)
+
+    def _fresh(self, kind: str) -> str:
+        return f"{kind}/{uuid.uuid4().hex}"
+
+    def _taken(self, folder: str | None, batch: str) -> bool:
+        """Whether a snapshot holds a batch."""
+        return folder is not None and self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}").filter(F.col("batch") == batch).limit(1).count() > 0
 
     def committed(self) -> list[str]:
         """Ids of committed batches that no snapshot holds yet."""
-        _, taken = self._snapshot()
-        return [batch for batch, _ in self._lines("commits") if batch not in taken]
+        return sorted(self.log.latest()[1].get("open", {}))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of changes; False if it was committed before, also by another writer meanwhile, and then nothing changes."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _")
-        if self._held(f"commits/{batch}") or self._held(f"folded/{batch}"):
+
+        def known(state: dict) -> bool:
+            return batch in state.get("open", {}) or self._taken(state.get("folded"), batch)
+
+        if known(self.log.latest()[1]):
             return False
-        folder = f"batches/{batch}/{uuid.uuid4().hex}"
+        folder = self._fresh(f"batches/{batch}")
         deltas(changes).write.parquet(f"{self.path}/{folder}")
-        return self._commit(f"commits/{batch}", f"{batch} {folder}") and not self._held(f"folded/{batch}")
+        return self.log.change(lambda state: None if known(state) else state | {"open": state.get("open", {}) | {batch: folder}}) is not None
 
-    def _sums(self) -> tuple[DataFrame, list[str]]:
-        snapshot, taken = self._snapshot()
-        open_batches = [(b, f) for b, f in self._lines("commits") if b not in taken]
-        paths = [f"{self.path}/{f}" for _, f in open_batches] + ([snapshot] if snapshot else [])
+    def _sums(self, state: dict) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in [*state.get("open", {}).values(), *([state["totals"]] if state.get("totals") else [])]]
         if not paths:
-            return self.spark.createDataFrame([], SCHEMA), []
+            return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), [b for b, _ in open_batches]
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def fold(self) -> bool:
-        """Take all committed batches into a new snapshot; False if another process did so meanwhile."""
-        held = self._lines("commits")
-        sums, _ = self._sums()
-        folder = f"folds/{uuid.uuid4().hex}"
-        sums.write.parquet(f"{self.path}/{folder}/totals")
-        rows = self.spark.createDataFrame([(b,) for b, _ in held], "batch string")
-        rows.coalesce(1).write.parquet(f"{self.path}/{folder}/batches")
-        place = f"{len(self._lines('snapshots')):08d}"
-        if not self._commit(f"snapshots/{place}", f"{place} {folder}"):
-            return False
-        for batch, _ in held:
-            self._move(f"commits/{batch}", f"folded/{batch}")
-        return True
+        """Take the batches committed so far into a new snapshot; False if another process made one meanwhile. Batches committed meanwhile stay open."""
+        _, state = self.log.latest()
+        totals, folded = self._fresh("totals"), self._fresh("folded")
+        self._sums(state).write.parquet(f"{self.path}/{totals}")
+        ids = self.spark.createDataFrame([(b,) for b in state.get("open", {})], "batch string").coalesce(1)
+        if state.get("folded"):
+            ids = ids.union(self.spark.read.schema("batch string").parquet(f"{self.path}/{state['folded']}"))
+        ids.write.parquet(f"{self.path}/{folded}")
+
+        def decide(now: dict) -> dict | None:
+            if now.get("totals") != state.get("totals"):
+                return None
+            left = {b: f for b, f in now.get("open", {}).items() if b not in state.get("open", {})}
+            return {"totals": totals, "folded": folded, "open": left}
+
+        return self.log.change(decide) is not None
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over committed batches; keys at 0 documents and 0 tokens are gone."""
-        return self._sums()[0].filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._sums(self.log.latest()[1]).filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
