@@ -12,6 +12,8 @@ from tickerloom.sources.lineage import cut_lineage
 
 #: Pieces in which the documents of a key are ranked first.
 PARTS = 64
+#: Entities whose documents are met by a broadcast at most.
+HUBS = 1_024
 
 
 def edges(n: News) -> DataFrame:
@@ -83,6 +85,48 @@ def related_by_source(n: News) -> DataFrame:
     return newest_shared(n, n.documents.filter(F.col("source").isNotNull()).select("doc_id", "source"), "source")
 
 
+def related_to_depth(docs: DataFrame, links: DataFrame, k: int = 10, depth: int = 5) -> DataFrame:
+    """(doc_id, rank, related, depth): for each document up to ``k`` others that at most ``depth`` steps lead to, nearest first, then newest, then by id.
+
+    A step goes to the documents that share an entity, by ``links`` (doc_id, entity); ``docs`` has doc_id and created_at. The search
+    goes from both ends: each entity keeps its newest 2 k + 1 documents, found in parts, so that a hub of any size is no single task; and each
+    start goes on only while it has fewer than ``k`` documents, so fronts are small. That is exact: a start whose lists were
+    cut has ``k`` documents, and one that goes on has reached all documents of the entities behind it. Links to documents that
+    ``docs`` doesn't have lead nowhere; repeated links count once; documents without links have no row.
+    """
+    links = cut_lineage(links.distinct().join(docs.select("doc_id", "created_at"), "doc_id"))
+    newest = lambda *keys: rank_in(list(keys), F.col("created_at").desc(), F.col("doc_id"))
+    enough = 2 * k + 1
+    parts = links.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).withColumn("r", newest("entity", "part")).filter(F.col("r") <= enough)
+    few = parts.withColumn("r", newest("entity")).filter(F.col("r") <= enough).groupBy("entity").agg(F.collect_list(F.struct(F.col("doc_id").alias("related"), "created_at")).alias("few"))
+    # entities with more than a HUBS-th of the links: at most HUBS of them, broadcast, so that their documents stay where they are
+    least = links.count() // HUBS
+    hubs = links.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > least).join(few, "entity").select("entity", "few")
+    hubs = cut_lineage(hubs)
+    others = few.join(hubs.select("entity"), "entity", "left_anti")
+    step = links.select(F.col("doc_id").alias("node"), "entity")
+    front = links.select(F.col("doc_id").alias("start")).distinct().select("start", F.col("start").alias("node"))
+    reached, out = front, None
+    had = front.select("start", F.lit(0).alias("had"))
+    for level in range(1, depth + 1):
+        ways = front.join(step, "node").select("start", "entity").distinct()
+        met = ways.join(F.broadcast(hubs), "entity").unionByName(ways.join(others, "entity")).select("start", F.inline("few")).distinct()
+        new = met.join(reached.select("start", F.col("node").alias("related")), ["start", "related"], "left_anti").join(had, "start")
+        ranked = new.withColumn("rank", F.col("had") + rank_in(["start"], F.col("created_at").desc(), F.col("related"))).filter(F.col("rank") <= k)
+        found = cut_lineage(ranked.select("start", "rank", "related", F.lit(level).alias("depth")))
+        out = found if out is None else out.unionByName(found)
+        had = found.groupBy("start").agg(F.max("rank").alias("had")).filter(F.col("had") < k)
+        front = found.join(had.select("start"), "start").select("start", F.col("related").alias("node"))
+        reached = reached.join(had.select("start"), "start").unionByName(front)
+    return out.withColumnRenamed("start", "doc_id")
+
+
+def related_depth_5(n: News) -> DataFrame:
+    """Up to 10 documents that at most five steps over shared instruments lead to."""
+    links = n.affects.select("doc_id", F.col("instrument_id").alias("entity"))
+    return related_to_depth(n.documents, links)
+
+
 def docs_by_source(n: News) -> DataFrame:
     rows = n.documents.select("source", "doc_id", "created_at", "group_id").filter(F.col("group_id").isin(0, 1))
     return rows.withColumn("rank", rank_in(["source"], F.col("created_at").desc(), F.col("doc_id"))).filter("rank <= 10").select("source", "rank", "doc_id")
@@ -202,7 +246,7 @@ def _explore_sql(hops: int, where: str = "TRUE") -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    lateral_expansion, peer_instruments, related_documents, related_by_source, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
+    lateral_expansion, peer_instruments, related_documents, related_by_source, related_depth_5, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
     phantom_instruments, cross_sector, co_mentions, event_cooccurrence, degree_centrality, supply_connections, shortest_path, version_chain,
 )} | {"explore_hops_1": lambda n: explore(n, 1), "explore_hops_2": lambda n: explore(n, 2), "explore_hops_3_typed": lambda n: explore(n, 3, ("COMPETES_WITH", "SUPPLIES_TO"))}
 SQL = {
@@ -219,6 +263,10 @@ SQL = {
         (SELECT DISTINCT x.doc_id, y.doc_id AS related FROM mentions x JOIN mentions y ON x.company_id = y.company_id AND x.doc_id <> y.doc_id) p JOIN docs ON docs.doc_id = related) WHERE rank <= 10"""),
     "related_by_source": sql("""SELECT doc_id, rank, related FROM (SELECT x.doc_id, y.doc_id AS related, row_number() OVER (PARTITION BY x.doc_id ORDER BY y.created_at DESC, y.doc_id) AS rank
         FROM docs x JOIN docs y ON x.source = y.source AND x.doc_id <> y.doc_id) WHERE rank <= 10"""),
+    "related_depth_5": sql("""SELECT doc_id, rank, related, depth FROM (SELECT w.doc_id, related, depth, row_number() OVER (PARTITION BY w.doc_id ORDER BY depth, created_at DESC, related) AS rank
+        FROM (SELECT doc_id, node AS related, min(depth) AS depth FROM walk WHERE depth > 0 AND node <> doc_id GROUP BY 1, 2) w JOIN docs ON docs.doc_id = related) WHERE rank <= 10""",
+        ("adj", "SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM affects x JOIN affects y USING (instrument_id) WHERE x.doc_id <> y.doc_id"),
+        ("walk", "SELECT doc_id, doc_id AS node, 0 AS depth FROM docs UNION SELECT doc_id, b, depth + 1 FROM walk JOIN adj ON node = a WHERE depth < 5")),
     "docs_by_source": sql("SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, doc_id) AS rank FROM docs WHERE group_id IN (0, 1)) WHERE rank <= 10"),
     "docs_by_company": sql("SELECT company_id, rank, doc_id FROM (SELECT company_id, doc_id, row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, doc_id) AS rank FROM mentions JOIN docs USING (doc_id)) WHERE rank <= 10"),
     "market_context": sql("""SELECT instrument_id, ticker, company, sector, region, index_name, least(10, count(*) OVER (PARTITION BY sector, p.k) - 1)::BIGINT AS peers, recent FROM (
@@ -238,9 +286,9 @@ SQL = {
     "degree_centrality": sql("SELECT a AS node, count(*) AS degree FROM edg GROUP BY 1", *_EDGES),
     "supply_connections": sql("""SELECT s.f AS company_id, count(DISTINCT s.t) AS n, array_to_string(list_sort(list_distinct(list(company)))[1:5], ',') AS first_names
         FROM (SELECT from_id AS f, to_id AS t FROM supplies UNION ALL SELECT to_id, from_id FROM supplies) s JOIN comps ON company_id = s.t GROUP BY 1"""),
-    "shortest_path": "WITH RECURSIVE " + sql("SELECT start, node, min(hops) AS hops FROM walk GROUP BY 1, 2",
+    "shortest_path": sql("SELECT start, node, min(hops) AS hops FROM walk GROUP BY 1, 2",
         ("ln", "SELECT from_id, to_id FROM supplies UNION SELECT to_id, from_id FROM supplies UNION SELECT from_id, to_id FROM competes UNION SELECT to_id, from_id FROM competes"),
-        ("walk", "SELECT company_id AS start, company_id AS node, 0 AS hops FROM comps WHERE company_id % 20 = 0 UNION SELECT start, to_id, hops + 1 FROM walk JOIN ln ON node = from_id WHERE hops < 6")).removeprefix("WITH "),
-    "version_chain": "WITH RECURSIVE " + sql("SELECT doc_id, version, previous, doc_id + 100 NOT IN (SELECT doc_id FROM docs) AS latest FROM chain",
-        ("chain", "SELECT doc_id, 1 AS version, -1::BIGINT AS previous FROM docs WHERE doc_id < 100 UNION ALL SELECT d.doc_id, version + 1, d.doc_id - 100 FROM chain JOIN docs d ON d.doc_id = chain.doc_id + 100")).removeprefix("WITH "),
+        ("walk", "SELECT company_id AS start, company_id AS node, 0 AS hops FROM comps WHERE company_id % 20 = 0 UNION SELECT start, to_id, hops + 1 FROM walk JOIN ln ON node = from_id WHERE hops < 6")),
+    "version_chain": sql("SELECT doc_id, version, previous, doc_id + 100 NOT IN (SELECT doc_id FROM docs) AS latest FROM chain",
+        ("chain", "SELECT doc_id, 1 AS version, -1::BIGINT AS previous FROM docs WHERE doc_id < 100 UNION ALL SELECT d.doc_id, version + 1, d.doc_id - 100 FROM chain JOIN docs d ON d.doc_id = chain.doc_id + 100")),
 }
