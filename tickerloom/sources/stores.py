@@ -4,33 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from tickerloom.sources.lineage import cut_lineage
+from tickerloom.sources.versions import VersionLog
 
 
 class DocumentStore:
     """Versioned documents below ``path``, partitioned by group and day, so that scans prune folders.
 
-    A deletion is a row beside the documents, and scans leave deleted ones out; so nothing is rewritten, and a delete that breaks off deletes nothing.
+    Each save and each deletion takes the next number of a log, and its rows carry it: of the rows and deletions of a (guid, group) the
+    one with the greatest number holds. So saving again replaces, a document can come back after its deletion, and nothing is rewritten before
+    ``compact``. A save or deletion that breaks off changes nothing.
     """
 
     KEYS = ("group_id", "created_date")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = VersionLog(spark, f"{self.path}/log")
 
     def save(self, docs: DataFrame) -> None:
-        """Append documents with guid, group_id and created_at."""
-        docs.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
+        """Write documents with guid, group_id and created_at; those of the same guid and group are replaced. Of rows that share both the newest is saved."""
+        number = self.log.change(lambda state: {})
+        newest = F.row_number().over(Window.partitionBy("guid", "group_id").orderBy(F.col("created_at").desc_nulls_last(), F.xxhash64(*docs.columns)))
+        rows = docs.withColumn("__n", newest).filter("__n = 1").drop("__n")
+        rows = rows.withColumn("created_date", F.to_date("created_at")).withColumn("saved", F.lit(number).cast("long"))
+        rows.write.mode("append").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
+
+    def _outdated(self) -> DataFrame:
+        """(guid, group_id, saved) of rows that a later save or deletion has replaced; from the key columns alone."""
+        keys = self._rows().select("guid", "group_id", "saved")
+        files, at = self.log._files(f"{self.path}/deleted")
+        gone = self.spark.read.schema("guid string, group_id int, saved long").parquet(f"{self.path}/deleted") if files.exists(at) else keys.limit(0)
+        last = keys.unionByName(gone).groupBy("guid", "group_id").agg(F.max("saved").alias("last"))
+        return keys.join(last, ["guid", "group_id"]).filter("saved < last").select("guid", "group_id", "saved")
 
     def scan(self, day: str | None = None) -> DataFrame:
         """All documents, or those of a day."""
-        rows = self.spark.read.parquet(f"{self.path}/documents")
+        rows = self._rows()
         if day is not None:
             rows = rows.filter(F.col("created_date") == F.to_date(F.lit(day)))
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deleted")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return rows
-        gone = self.spark.read.schema("guid string, group_id int").parquet(f"{self.path}/deleted").distinct()
-        return rows.join(gone, ["guid", "group_id"], "left_anti")
+        return rows.join(self._outdated(), ["guid", "group_id", "saved"], "left_anti").select(*[c for c in rows.columns if c != "saved"])
+
+    def compact(self) -> int:
+        """Drop replaced rows from the folders that hold some, folder by folder; how many there were. No answer changes; no other writer may be at work."""
+        outdated = cut_lineage(self._outdated())
+        count = outdated.count()
+        if not count:
+            return 0
+        rows = self._rows()
+        touched = cut_lineage(rows.join(outdated, ["guid", "group_id", "saved"], "left_semi").select(*self.KEYS).distinct())
+        held = rows.join(F.broadcast(touched), list(self.KEYS), "left_semi")  # a row a folder
+        live = cut_lineage(held.join(outdated, ["guid", "group_id", "saved"], "left_anti"))
+        live.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
+        for group, day in touched.join(live.select(*self.KEYS).distinct(), list(self.KEYS), "left_anti").collect():  # folders without a live row
+            files, at = self.log._files(f"{self.path}/documents/group_id={group}/created_date={day}")
+            files.delete(at, True)
+        return count
 
     def get(self, guid: str, permitted: list[int], day: str | None = None) -> DataFrame:
         """The document with a status: OK with its row, DENIED or NOT_FOUND without. With a day only its folders are read."""
@@ -45,7 +79,8 @@ class DocumentStore:
         """Whether there was such a document."""
         if not self.exists(guid, group):
             return False
-        self.spark.createDataFrame([(guid, group)], "guid string, group_id int").coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
+        number = self.log.change(lambda state: {})
+        self.spark.createDataFrame([(guid, group, number)], "guid string, group_id int, saved long").coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
         return True
 
     def by_group(self, groups: list[int], limit: int | None = None) -> DataFrame:
@@ -93,6 +128,46 @@ class PieceStore:
         return self.rows.groupBy("group_id").agg(F.count_distinct("guid").alias("documents"), F.count("*").alias("pieces"))
 
 
+def read_json_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a folder of JSON files, one object or list each: rows with the fields of ``schema`` and ``file``, and (file, text) of what can't be read.
+
+    A broken file, or one whose fields have other types, costs its own rows only, and is listed.
+    """
+    kinds = StructType([*_parse_datatype_string(schema), *_parse_datatype_string("__broken string")])
+    found = spark.read.schema(kinds).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__broken").option("recursiveFileLookup", True).json(path)
+    found = cut_lineage(found.withColumn("file", F.col("_metadata.file_path")))  # parsed once
+    return found.filter("__broken IS NULL").drop("__broken"), found.filter("__broken IS NOT NULL").select("file", F.col("__broken").alias("text"))
+
+
+IPS = (
+    "client_guid string, client_name string, archetype string, primary_objective string, risk_tolerance string, time_horizon string, esg_policy string, trust_requirement string, "
+    "alert_threshold double, prohibited_sectors array<string>, esg_exclusions array<string>, positive_themes array<string>, news_priority array<string>"
+)
+#: What a trust requirement says, and the trust that it asks for; else DEFAULT_TRUST.
+TRUST_TEXTS = {"trust level 8+": 8, "trust level 2+": 2, "trust level 1+": 1}
+DEFAULT_TRUST = 5
+
+
+def load_ips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(profiles, quarantine) of a folder of policy statements: their fields, the least trust that they ask for, and a summary in lines.
+
+    A statement without a client or with a missing field is quarantined too.
+    """
+    rows, broken = read_json_files(spark, path, IPS)
+    names = [f.name for f in _parse_datatype_string(IPS)]
+    whole = F.forall(F.array(*[F.col(c).isNotNull() for c in names]), lambda x: x)
+    trust = F.lit(DEFAULT_TRUST)
+    for text, least in reversed(TRUST_TEXTS.items()):
+        trust = F.when(F.contains(F.lower("trust_requirement"), F.lit(text)), least).otherwise(trust)
+    parts = [("Objective", "primary_objective"), ("Risk Tolerance", "risk_tolerance"), ("Time Horizon", "time_horizon"), ("ESG Policy", "esg_policy"), ("Trust Requirement", "trust_requirement")]
+    lists = [("News Priorities", "news_priority"), ("Positive Themes", "positive_themes")]
+    lines = [F.concat(F.lit("Investment Profile for "), "client_name", F.lit(":"))]
+    lines += [F.concat(F.lit(f"{k}: "), c) for k, c in parts] + [F.concat(F.lit(f"{k}: "), F.array_join(c, ", ")) for k, c in lists]
+    profiles = rows.filter(whole).withColumn("min_trust", trust).withColumn("summary", F.trim(F.concat_ws("\n", *lines)))
+    lacking = rows.filter(~whole).select("file", F.to_json(F.struct(*names)).alias("text"))
+    return profiles, broken.unionByName(lacking)
+
+
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(scheme, value, canonical_guid) from JSON, CSV or TSV; incomplete rows are dropped, schemes upper-cased, values trimmed."""
     if path.endswith(".json"):
