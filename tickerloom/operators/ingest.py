@@ -6,6 +6,8 @@ batch becomes visible as a whole or not at all. Submissions of the test tables a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from tickerloom.functions import text as tx
 from tickerloom.functions import vocabulary as v
 from tickerloom.operators import dedupe
 from tickerloom.sources.domain import News, lookup
-from tickerloom.sources.domain_sql import _case, _list, sql
+from tickerloom.sources.domain_sql import PIECES, _list, sql
+from tickerloom.sources.lineage import cut_lineage, fresh_path
+from tickerloom.sources.versions import Table, Tables
 
 MOST_WORDS = 20_000
 #: Directions and magnitudes of extracted instruments.
@@ -44,22 +48,26 @@ def company_slug(name: Column) -> Column:
 
 
 def submissions(n: News) -> DataFrame:
-    """Documents as they come in: blank titles, unknown or inactive sources, unknown languages and groups without right among them."""
+    """Documents as they come in: blank titles, unknown or inactive sources, unknown, blank and no languages and groups without right among them."""
     d = F.col("doc_id")
     return n.documents.select(
         "doc_id", F.when(d % 31 == 0, "  ").otherwise(F.col("title")).alias("title"), F.when(d % 37 == 0, F.lit(None)).otherwise(F.col("content")).alias("content"),
-        F.when(d % 41 == 0, "nowhere").otherwise(F.col("source")).alias("source"), F.when(d % 43 == 0, "xx").when(d % 44 == 0, " FR ").otherwise(F.col("language")).alias("language"), "group_id",
+        F.when(d % 41 == 0, "nowhere").otherwise(F.col("source")).alias("source"), F.when(d % 43 == 0, "xx").when(d % 44 == 0, " FR ").when(d % 47 != 5, F.when(d % 53 == 3, " ").otherwise(F.col("language"))).alias("language"), "group_id",
     )
 
 
+def given_language() -> Column:
+    return F.coalesce(F.trim("language") != "", F.lit(False))
+
+
 def problems(n: News, rows: DataFrame, writable: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
-    """``rows`` with the list of what is wrong with each, in a fixed order."""
+    """``rows`` with the list of what is wrong with each, in a fixed order. No language is no problem: it will be detected."""
     known = n.sources.select("source", F.col("active").alias("__active"))
     joined = rows.join(known, "source", "left")
     problem = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), name)
     checks = [
         problem(F.trim("title") == "", "title"), problem(F.trim("content") == "", "content"), problem(tx.word_count(F.col("content")) > MOST_WORDS, "words"),
-        problem(F.col("__active").isNull(), "source"), F.when(~F.col("__active"), "inactive"), problem(~languages.canonical(F.col("language")).isin("en", "fr", "de", "es"), "language"),
+        problem(F.col("__active").isNull(), "source"), F.when(~F.col("__active"), "inactive"), F.when(given_language() & ~languages.canonical(F.col("language")).isin("en", "fr", "de", "es"), "language"),
         problem(~F.col("group_id").isin(list(writable)), "group"),
     ]
     return joined.withColumn("problems", F.array_compact(F.array(*checks))).drop("__active")
@@ -112,26 +120,73 @@ def extraction_defaults(n: News) -> DataFrame:
     )
 
 
+def with_language(rows: DataFrame) -> DataFrame:
+    """Each row's declared language in its usual form, or that of title and content together."""
+    found = languages.detect(F.concat_ws(" ", "title", "content"))["language"]
+    return rows.withColumn("language", F.when(given_language(), languages.canonical(F.col("language"))).otherwise(found))
+
+
 def ingest_documents(n: News) -> DataFrame:
     """What became of each submission: refused, stored as a duplicate of another, or stored; its language is the declared one or that found."""
-    rows = problems(n, submissions(n))
+    rows = with_language(problems(n, submissions(n)))
     copies = dedupe.by_hash(n)
-    found = languages.or_fallback(languages.best_of(languages.detect(F.col("title")), languages.detect(F.col("content"))), F.lit("en"))
     status = F.when(F.size("problems") > 0, "refused").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("stored")
-    rows = rows.join(copies, "doc_id", "left").select("doc_id", status.alias("status"), "duplicate_of", F.coalesce(languages.canonical(F.col("language")), found).alias("language"))
+    rows = rows.join(copies, "doc_id", "left").select("doc_id", status.alias("status"), "duplicate_of", "language")
     kept = F.when(F.col("status") == "duplicate", F.col("duplicate_of")).otherwise(F.lit(-1))
     return rows.select("doc_id", "status", kept.alias("duplicate_of"), F.when(F.col("status") == "refused", "-").otherwise(F.col("language")).alias("language"))
 
 
+#: What one ingest writes, in this order; a version names the files of all three.
+STORES = {
+    "documents": Table("doc_id long, source string, group_id int, language string, title string, content string", ("doc_id",)),
+    "pieces": Table("doc_id long, piece int, start_char int, end_char int, content string", ("doc_id",)),
+    "links": Table("doc_id long, kind string, target long", ("doc_id",)),
+}
+
+
+def ingest(n: News, tables: Tables, rows: DataFrame, name: str, between: Callable[[str], None] = lambda store: None) -> bool:
+    """Store what is fine among some submissions, with its pieces and links, in one version; False if a batch of this name is stored already.
+
+    Until the commit no reader sees anything of it, so a writer that dies between two stores needs no rollback: what it wrote is named by no
+    version, and the batch is tried again. ``between`` is called after each store.
+    """
+    good = cut_lineage(with_language(problems(n, rows)).filter(F.size("problems") == 0))
+    ids = good.select("doc_id")
+    links = n.affects.select("doc_id", F.lit("AFFECTS").alias("kind"), F.col("instrument_id").alias("target")).union(n.mentions.select("doc_id", F.lit("MENTIONS"), "company_id"))
+    pieces = tx.chunk_documents(good).withColumnRenamed("chunk_index", "piece")
+    staged = {}
+    for store, own in (("documents", good), ("pieces", pieces), ("links", links.join(ids, "doc_id", "left_semi"))):
+        staged[store] = tables.stage(store, own)
+        between(store)
+    return tables.commit(staged, once=name) is not None
+
+
+#: Batches of the query; the second breaks off and stays so, the third breaks off and is tried again, the fourth comes twice.
+INGEST_BATCHES = 4
+
+
 def ingest_rollback(n: News) -> DataFrame:
-    """Visible rows by store after seven batches, of which every third broke off before its commit: a row counts only if its batch is committed."""
-    batch = lambda c: (F.col(c) % 7).cast("int").alias("batch")
-    done = n.documents.select(batch("doc_id")).distinct().filter(F.col("batch") % 3 != 2)
-    stores = {"documents": n.documents, "affects": n.affects, "mentions": n.mentions}
+    """(store, n): visible rows by store after batches of which some broke off between two stores, or came twice."""
+    tables = Tables(n.spark, fresh_path(n.spark, "stores"), STORES, 8)
+
+    def die(store: str) -> None:
+        if store == "pieces":
+            raise ConnectionAbortedError(store)
+
+    for batch in range(INGEST_BATCHES):
+        rows = submissions(n).filter(F.col("doc_id") % INGEST_BATCHES == batch)
+        for attempt in (0, 1):
+            if (batch, attempt) in ((0, 1), (1, 1)):
+                continue
+            try:
+                ingest(n, tables, rows, f"batch-{batch}", die if batch in (1, 2) and not attempt else lambda store: None)
+            except ConnectionAbortedError:
+                pass
+    state = tables.state()
     out = None
-    for name, table in stores.items():
-        rows = table.select("doc_id", batch("doc_id")).join(F.broadcast(done), "batch", "left_semi").agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n")  # seven batches
-        out = rows if out is None else out.union(rows)
+    for store in STORES:
+        counted = tables.read(store, state=state).agg(F.count("*").alias("n")).select(F.lit(store).alias("store"), "n")
+        out = counted if out is None else out.union(counted)
     return out
 
 
@@ -205,10 +260,10 @@ def audit_events(n: News) -> DataFrame:
 # ---- SQL
 
 _SUB = ("sub", """SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '  ' ELSE title END AS title, CASE WHEN doc_id % 37 = 0 THEN NULL ELSE content END AS content,
-    CASE WHEN doc_id % 41 = 0 THEN 'nowhere' ELSE source END AS source, CASE WHEN doc_id % 43 = 0 THEN 'xx' WHEN doc_id % 44 = 0 THEN ' FR ' ELSE language END AS language, group_id FROM docs""")
+    CASE WHEN doc_id % 41 = 0 THEN 'nowhere' ELSE source END AS source, CASE WHEN doc_id % 43 = 0 THEN 'xx' WHEN doc_id % 44 = 0 THEN ' FR ' WHEN doc_id % 47 = 5 THEN NULL WHEN doc_id % 53 = 3 THEN ' ' ELSE language END AS language, group_id FROM docs""")
 _PRO = ("pro", r"""SELECT sub.*, array_to_string(list_filter([CASE WHEN coalesce(trim(title) = '', TRUE) THEN 'title' END, CASE WHEN coalesce(trim(content) = '', TRUE) THEN 'content' END,
     CASE WHEN len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+')) > 20000 THEN 'words' END, CASE WHEN active IS NULL THEN 'source' END, CASE WHEN NOT active THEN 'inactive' END,
-    CASE WHEN coalesce(lower(trim(language)) NOT IN ('en', 'fr', 'de', 'es'), TRUE) THEN 'language' END, CASE WHEN group_id NOT IN (0, 1, 2, 3) THEN 'group' END], lambda x: x IS NOT NULL), ',') AS problems
+    CASE WHEN trim(language) <> '' AND lower(trim(language)) NOT IN ('en', 'fr', 'de', 'es') THEN 'language' END, CASE WHEN group_id NOT IN (0, 1, 2, 3) THEN 'group' END], lambda x: x IS NOT NULL), ',') AS problems
     FROM sub LEFT JOIN srcs USING (source)""")
 
 
@@ -218,15 +273,23 @@ def _detect_sql(column: str) -> str:
     return "[" + ", ".join(f"len(list_filter({words}, lambda w: list_contains({_list(own)}, w)))" for own in languages.COMMON.values()) + "]"
 
 
+def _detected(key: str, column: str, table: str) -> list[tuple[str, str]]:
+    """lg<key> (doc_id, l, f): the language that a column of a table shows, and how surely."""
+    names = _list(list(languages.COMMON))
+    script = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{s}'" for s, p in languages.SCRIPTS.items())
+    sure = " ".join(f"WHEN regexp_matches(x, '{p}') THEN 1.0" for p in languages.SCRIPTS.values())
+    short = "coalesce(length(trim(x)), 0) < 20"
+    return [
+        (f"cw{key}", f"SELECT doc_id, x, {_detect_sql('x')} AS h FROM (SELECT doc_id, {column} AS x FROM {table})"),
+        (f"lg{key}", f"""SELECT doc_id, CASE WHEN {short} THEN 'en' {script} WHEN list_sum(h) > 0 THEN {names}[list_position(h, list_max(h))] ELSE 'en' END AS l,
+            CASE WHEN {short} THEN 0.0 {sure} WHEN list_sum(h) > 0 THEN list_max(h) / list_sum(h)::DOUBLE ELSE 0.0 END::DOUBLE AS f FROM cw{key}"""),
+    ]
+
+
 def _language_ctes() -> list[tuple[str, str]]:
-    names, out = _list(list(languages.COMMON)), []
-    for key, column in (("t", "title"), ("c", "content")):
-        script = " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{s}'" for s, p in languages.SCRIPTS.items())
-        out.append((f"cw{key}", f"SELECT doc_id, {column}, {_detect_sql(column)} AS h FROM docs"))
-        out.append((f"lg{key}", f"""SELECT doc_id, CASE WHEN coalesce(length(trim({column})), 0) < 20 THEN 'en' {script} WHEN list_sum(h) > 0 THEN {names}[list_position(h, list_max(h))] ELSE 'en' END AS l,
-            CASE WHEN coalesce(length(trim({column})), 0) < 20 THEN 0.0 {" ".join(f"WHEN regexp_matches({column}, '{p}') THEN 1.0" for p in languages.SCRIPTS.values())} WHEN list_sum(h) > 0 THEN list_max(h) / list_sum(h)::DOUBLE ELSE 0.0 END::DOUBLE AS f FROM cw{key}"""))
-    out.append(("lang2", "SELECT doc_id, CASE WHEN c.f >= 0.8 OR c.f >= t.f THEN c.l ELSE t.l END AS l, CASE WHEN c.f >= 0.8 OR c.f >= t.f THEN c.f ELSE t.f END AS f FROM lgt t JOIN lgc c USING (doc_id)"))
-    return out
+    best = "c.f >= 0.8 OR c.f >= t.f"
+    one = f"SELECT doc_id, CASE WHEN {best} THEN c.l ELSE t.l END AS l, CASE WHEN {best} THEN c.f ELSE t.f END AS f FROM lgt t JOIN lgc c USING (doc_id)"
+    return [*_detected("t", "title", "docs"), *_detected("c", "content", "docs"), ("lang2", one)]
 
 
 _REG = ("reg", """SELECT source, 'Source ' || num AS name, ['wire', 'blog', 'filing'][num % 3 + 1] AS source_type, region, trust_level, active, num
@@ -234,7 +297,9 @@ _REG = ("reg", """SELECT source, 'Source ' || num AS name, ['wire', 'blog', 'fil
 _UPD = ("upd", """SELECT source, CASE WHEN field = 'active' AND new = 'false' THEN 'SOURCE_DELETE' ELSE 'SOURCE_UPDATE' END AS event, field, old, new FROM (
     SELECT source, 'region' AS field, region AS old, CASE WHEN num % 2 = 0 THEN 'EUROPE' END AS new FROM reg UNION ALL SELECT source, 'trust_level', trust_level, CASE WHEN num % 3 = 0 THEN 'high' END FROM reg
     UNION ALL SELECT source, 'active', active::VARCHAR, CASE WHEN num % 5 = 0 THEN 'false' END FROM reg) WHERE new IS NOT NULL AND new <> old""")
-_ING = ("ing", """SELECT doc_id, CASE WHEN problems <> '' THEN 'refused' WHEN duplicate_of IS NOT NULL THEN 'duplicate' ELSE 'stored' END AS status, duplicate_of, lower(trim(language)) AS language, group_id FROM pro LEFT JOIN d1 USING (doc_id)""")
+_ING = ("ing", """SELECT doc_id, CASE WHEN problems <> '' THEN 'refused' WHEN duplicate_of IS NOT NULL THEN 'duplicate' ELSE 'stored' END AS status, duplicate_of,
+    CASE WHEN trim(language) <> '' THEN lower(trim(language)) ELSE l END AS language, group_id FROM pro LEFT JOIN d1 USING (doc_id) JOIN lgw USING (doc_id)""")
+_WHOLE = _detected("w", "concat_ws(' ', title, content)", "sub")
 _COPY = [c for c in dedupe._CTES if c[0] in ("h", "d1")]
 QUERIES = {f.__name__: f for f in (
     ingest_validate, instrument_resolve, extraction_defaults, ingest_documents, ingest_rollback, language_profile, list_sources, source_lookup, source_update, audit_events,
@@ -248,9 +313,9 @@ SQL = {
         CASE WHEN b OR doc_id % 5 = 0 THEN '-' WHEN doc_id % 3 = 1 THEN 'A' || doc_id ELSE 'B' || doc_id END AS ticker,
         CASE WHEN b OR doc_id % 5 = 0 OR doc_id % 3 = 1 THEN 'neutral' WHEN doc_id % 3 = 0 THEN 'positive' ELSE 'negative' END AS direction, CASE WHEN b OR doc_id % 5 = 0 THEN 0.01 ELSE 0.02 END AS magnitude
         FROM (SELECT *, doc_id % 10 = 3 AS b FROM docs)"""),
-    "ingest_documents": sql("""SELECT doc_id, status, CASE WHEN status = 'duplicate' THEN duplicate_of ELSE -1 END AS duplicate_of, CASE WHEN status = 'refused' THEN '-' ELSE language END AS language FROM ing""", *_COPY, _SUB, _PRO, _ING),
-    "ingest_rollback": sql("""SELECT 'documents' AS store, count(*) AS n FROM docs WHERE doc_id % 7 % 3 <> 2 UNION ALL SELECT 'affects', count(*) FROM affects WHERE doc_id % 7 % 3 <> 2
-        UNION ALL SELECT 'mentions', count(*) FROM mentions WHERE doc_id % 7 % 3 <> 2"""),
+    "ingest_documents": sql("""SELECT doc_id, status, CASE WHEN status = 'duplicate' THEN duplicate_of ELSE -1 END AS duplicate_of, CASE WHEN status = 'refused' THEN '-' ELSE language END AS language FROM ing""", *_COPY, _SUB, _PRO, *_WHOLE, _ING),
+    "ingest_rollback": sql("""SELECT 'documents' AS store, count(*) AS n FROM good UNION ALL SELECT 'pieces', count(*) FROM pieces JOIN good USING (doc_id)
+        UNION ALL SELECT 'links', count(*) FROM (SELECT doc_id FROM affects UNION ALL SELECT doc_id FROM mentions) JOIN good USING (doc_id)""", _SUB, _PRO, *PIECES, ("good", f"SELECT doc_id FROM pro WHERE problems = '' AND doc_id % {INGEST_BATCHES} <> 1")),
     "language_profile": sql(f"""SELECT doc_id, l AS found, round(f, 6) AS confidence, CASE WHEN f < 0.5 THEN coalesce(language, 'en') ELSE l END AS language, list_contains({_list(languages.APAC)}, l) AS apac
         FROM lang2 JOIN docs USING (doc_id)""", *_language_ctes()),
     "list_sources": sql("SELECT source, name, source_type, active FROM reg WHERE region = 'EUROPE' AND active", _REG),
@@ -260,5 +325,5 @@ SQL = {
     "audit_events": sql("""SELECT 'DOCUMENT_INGEST' AS event, count(*) AS n, count(DISTINCT doc_id) AS resources, count(DISTINCT (status, group_id)) AS kinds FROM ing WHERE status <> 'refused'
         UNION ALL SELECT 'DOCUMENT_RETRIEVE', count(*), count(DISTINCT doc_id), 1 FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT 'DOCUMENT_QUERY', count(*), count(DISTINCT doc_id), count(DISTINCT group_id) FROM docs WHERE doc_id % 5 = 0
         UNION ALL SELECT 'DOCUMENT_DELETE', count(*), count(DISTINCT doc_id), 1 FROM docs WHERE doc_id % 7 = 0 UNION ALL SELECT 'SOURCE_CREATE', count(*), count(DISTINCT source), count(DISTINCT name) FROM reg
-        UNION ALL SELECT event, count(*), count(DISTINCT source), CASE event WHEN 'SOURCE_UPDATE' THEN count(DISTINCT field) ELSE 1 END FROM upd GROUP BY event""", *_COPY, _SUB, _PRO, _ING, _REG, _UPD),
+        UNION ALL SELECT event, count(*), count(DISTINCT source), CASE event WHEN 'SOURCE_UPDATE' THEN count(DISTINCT field) ELSE 1 END FROM upd GROUP BY event""", *_COPY, _SUB, _PRO, *_WHOLE, _ING, _REG, _UPD),
 }
