@@ -46,25 +46,33 @@ def client_feed(news: News, limit: int = 20, watchlist: bool = True, min_impact:
         docs = docs.filter(F.col("impact_score") >= min_impact)
     if tiers:
         docs = docs.filter(F.col("impact_tier").isin(tiers))
+    pairs = feed_pairs(news, docs, watchlist).withColumn("rank", feed_rank())
+    total = F.coalesce(F.col("impact_score"), F.lit(0)) + F.col("weight") * 100 + F.col("watched") * 50
+    feed = pairs.filter(F.col("rank") <= limit).groupBy("client_id", "doc_id", "rank").agg(
+        F.max(total).alias("relevance"), F.first("impact_score").alias("impact_score"), F.collect_set("instrument_id").alias("held")
+    )
+    return feed.select(
+        "client_id", "rank", "doc_id", F.col("impact_score").cast("double").alias("impact_score"), F.round("relevance", 6).alias("relevance"), text_list(F.col("held")).alias("instruments")
+    )
+
+
+def feed_pairs(news: News, docs: DataFrame, watchlist: bool = True) -> DataFrame:
+    """(client_id, instrument_id, weight, watched) beside the columns of ``docs``: a row for each position that a readable document affects.
+
+    Groups are part of the join, so a popular instrument meets only the documents that its holders may read.
+    """
     held = news.holds.select("client_id", "instrument_id", "weight", F.lit(0).alias("watched"))
     seen = news.watches.select("client_id", "instrument_id", F.lit(0.0).alias("weight"), F.lit(1).alias("watched"))
     positions = (held.unionByName(seen) if watchlist else held).groupBy("client_id", "instrument_id").agg(
         F.max("weight").alias("weight"), F.max("watched").alias("watched")
     )
-    pairs = (
-        news.affects.select("doc_id", "instrument_id")
-        .join(docs, "doc_id")
-        .join(positions, "instrument_id")
-        .join(news.permitted, ["client_id", "group_id"], "left_semi")
-    )
-    total = F.coalesce(F.col("impact_score"), F.lit(0)) + F.col("weight") * 100 + F.col("watched") * 50
-    feed = pairs.groupBy("client_id", "doc_id").agg(
-        F.max(total).alias("relevance"), F.max("impact_score").alias("impact_score"), F.collect_set("instrument_id").alias("held")
-    )
-    ranked = feed.withColumn("rank", rank_in(["client_id"], F.col("impact_score").desc_nulls_last(), F.col("doc_id")))
-    return ranked.filter(F.col("rank") <= limit).select(
-        "client_id", "rank", "doc_id", F.col("impact_score").cast("double").alias("impact_score"), F.round("relevance", 6).alias("relevance"), text_list(F.col("held")).alias("instruments")
-    )
+    reach = news.affects.select("doc_id", "instrument_id").join(docs, "doc_id")
+    return reach.join(positions.join(news.permitted, "client_id"), ["instrument_id", "group_id"])
+
+
+def feed_rank() -> Column:
+    """The place of a document in a client's feed; rows of one document share it, so rows can be cut before they are grouped, and before they are shuffled."""
+    return F.dense_rank().over(Window.partitionBy("client_id").orderBy(F.col("impact_score").desc_nulls_last(), F.col("doc_id")))
 
 
 def client_feed_sql(limit: int = 20, watchlist: bool = True, where: str = "TRUE") -> str:
