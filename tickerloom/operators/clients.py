@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions import providers
 from tickerloom.functions import scoring as sc
 from tickerloom.functions import text as tx
 from tickerloom.functions import vocabulary as v
@@ -150,6 +151,16 @@ def chunk_documents(n: News) -> DataFrame:
     return tx.chunk_documents(n.documents.select("doc_id", "content"))
 
 
+def piece_embeddings(n: News) -> DataFrame:
+    """Pieces by the SQL table function, each with the vector of the default provider; first and last number and sum as digests."""
+    providers.register_table_functions(n.spark)
+    docs = n.documents.select("doc_id", "content")
+    cut = n.spark.sql("SELECT * FROM pieces(TABLE({docs}), id => 'doc_id', text => 'content')", docs=docs)
+    made = providers.embed(cut)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return made.select("doc_id", "piece", F.size("embedding").cast("long").alias("dims"), F.round(total, 6).alias("total"), F.round(F.col("embedding")[0], 6).alias("first"))
+
+
 def _raw_extraction(n: News) -> DataFrame:
     """Answers as an extraction model writes them: fenced, out of range, out of vocabulary, incomplete or broken."""
     d = F.col("doc_id").cast("string")
@@ -332,7 +343,7 @@ _REG = "coalesce(region, '') IN ('EUROPE', 'AFRICA')"
 _TK = ("tk", f"SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '{tx.BETWEEN_WORDS}')) AS t FROM docs) WHERE t <> '' GROUP BY 1, 2")
 QUERIES = {f.__name__: f for f in (
     list_clients, client_profile, completeness_score, portfolio_holdings, holdings_totals, watchlist_items, profile_counts, scalar_scores, vector_topk, hybrid_search,
-    hybrid_search_expanded, keyword_bm25, text_stats, hash_embedding, cjk_flag, chunk_documents, extraction_parse, restrictions_parse, theme_vocabulary_gate,
+    hybrid_search_expanded, keyword_bm25, text_stats, hash_embedding, cjk_flag, chunk_documents, piece_embeddings, extraction_parse, restrictions_parse, theme_vocabulary_gate,
     schema_gate, ips_filter, ips_rerank, company_fuzzy_match, ticker_scan, alias_resolve, doc_lookup_access, upsert_latest, detach_delete, accuracy_by_group,
     golden_diff, recall_at_k,
 )} | {
@@ -365,6 +376,8 @@ SQL = {
         FROM tk JOIN (SELECT t, count(*) AS df FROM tk GROUP BY 1) USING (t) JOIN sz USING (doc_id), (SELECT count(*) AS n, avg(len) AS mean FROM sz) n WHERE t IN ('the', 'license', 'version') GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""",
         _TK, ("sz", "SELECT doc_id, sum(c) AS len FROM tk GROUP BY 1")),
     "text_stats": sql(r"SELECT doc_id, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::BIGINT AS words, length(trim(regexp_replace(lower(content), '[ \t\n\x0B\f\r]+', ' ', 'g')))::BIGINT AS normalized FROM docs"),
+    "piece_embeddings": sql(f"""SELECT doc_id, piece::INTEGER AS piece, 384::BIGINT AS dims, round(12 * list_sum(list_transform(range(0, 32), lambda i: {_BYTE.replace('content', 'text')})), 6) AS total,
+        round({_BYTE.replace('content', 'text').replace('i * 2', '0 * 2')}, 6) AS first FROM pieces""", *PIECES),
     "hash_embedding": sql(f"SELECT doc_id, 384::BIGINT AS dims, round(12 * list_sum(list_transform(range(0, 32), lambda i: {_BYTE})), 6) AS total, {_HASH} FROM docs"),
     "holdings_totals": sql("SELECT client_id, round(sum(weight), 4) AS total_weight, count(*) AS holdings FROM holds GROUP BY 1"),
     "cjk_flag": sql(r"SELECT doc_id, coalesce(regexp_matches(content, '[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]'), FALSE) AS cjk FROM docs"),
