@@ -41,6 +41,22 @@ def is_cjk(c: Column) -> Column:
     return F.coalesce(F.regexp_like(c, F.lit(r"[一-鿿぀-ゟ゠-ヿ가-힯]")), F.lit(False))
 
 
+def parse_datetime(c: Column) -> Column:
+    """A date or time as ISO 8601 writes it, in UTC if it names a zone; null for anything else, impossible dates too."""
+    text = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2})[Tt ]", "$1 ")
+    zoned = F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$"))
+    plain = F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"))
+    full = F.regexp_replace(text, r"^(.{10} \d{2}:\d{2})(?!:)", "$1:00")  # a cast asks for seconds
+    there = F.convert_timezone(F.current_timezone(), F.lit("UTC"), full.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(zoned, there).when(plain, full.try_cast("timestamp_ntz"))
+
+
+def scenario_of_title(c: Column) -> Column:
+    """What stands in the brackets that open a title, if it begins with Phase3; else null."""
+    found = F.regexp_extract(c, r"^\s*\[(Phase3[^\]]*)\]", 1)
+    return F.when(found != "", found)
+
+
 def hash_embedding(c: Column, dims: int = 384) -> Column:
     """Byte i % 32 of the SHA-256, from -1 to 1."""
     digest = F.sha2(F.coalesce(c, F.lit("")), 256)

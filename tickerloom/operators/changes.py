@@ -153,6 +153,73 @@ def client_create(n: News) -> DataFrame:
     )
 
 
+#: Requests to change profiles; a null field stays. An empty text, list or set of restrictions clears.
+PROFILE_REQUEST = (
+    "client_id long, groups array<int>, alert_frequency string, impact_threshold double, mandate_type string, mandate_text string, horizon string, esg_constrained boolean, "
+    "excluded array<string>, mandate_themes array<string>, benchmark string"
+)
+PROFILE = ["alert_frequency", "impact_threshold", "mandate_type", "mandate_text", "horizon", "esg_constrained", "excluded", "mandate_themes"]
+#: Alert frequencies, horizons and the longest mandate.
+FREQUENCIES, HORIZONS, MOST_MANDATE = ["realtime", "hourly", "daily", "weekly"], ["short", "medium", "long"], 5000
+
+
+def update_profiles(profiles: DataFrame, requests: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(client_id, status, changes, the fields of ``PROFILE``, benchmark) for each request; only what it gives is changed, and if it is refused nothing is.
+
+    The status is OK or the first of what is wrong: frequency, threshold, text, horizon, themes, nothing asked for, unknown client,
+    client of another group. Exclusions set the ESG constraint unless the request says otherwise. ``profiles`` has the fields and client_id, group_id and
+    benchmark (a ticker); a benchmark that ``instruments`` (ticker) doesn't have is an instrument to be made, ``new_benchmark``. Each client has one request at most.
+    """
+    asked = requests.select(*[F.col(c).alias(f"r_{c}") for c in requests.columns])
+    known = instruments.select(F.upper("ticker").alias("__t")).distinct()
+    rows = asked.join(profiles, F.col("r_client_id") == F.col("client_id"), "left").join(known, F.upper(F.trim("r_benchmark")) == F.col("__t"), "left")
+    given = lambda c: F.col(f"r_{c}").isNotNull()
+    themes = F.transform("r_mandate_themes", lambda t: F.lower(F.trim(t)))
+    exclusions = F.coalesce(F.size("r_excluded") > 0, F.lit(False))
+    nothing = F.forall(F.array(*[~given(c) for c in [*PROFILE, "benchmark"]]), lambda x: x)
+    status = (
+        F.when(given("alert_frequency") & ~F.lower("r_alert_frequency").isin(FREQUENCIES), "INVALID_ALERT_FREQUENCY").when(given("impact_threshold") & ~F.col("r_impact_threshold").between(0, 100), "INVALID_IMPACT_THRESHOLD")
+        .when(F.length("r_mandate_text") > MOST_MANDATE, "MANDATE_TEXT_TOO_LONG").when(given("horizon") & ~F.lower("r_horizon").isin(HORIZONS), "INVALID_HORIZON")
+        .when(F.size(F.array_except(themes, F.array(*map(F.lit, v.THEMES)))) > 0, "INVALID_MANDATE_THEMES").when(nothing, "NO_UPDATES_PROVIDED").when(F.col("client_id").isNull(), "CLIENT_NOT_FOUND")
+        .when(given("groups") & ~F.coalesce(F.array_contains("r_groups", F.col("group_id")), F.lit(False)), "ACCESS_DENIED").otherwise("OK")
+    )
+    new = {c: F.col(f"r_{c}") for c in PROFILE} | {
+        "alert_frequency": F.lower("r_alert_frequency"), "horizon": F.lower("r_horizon"), "mandate_text": F.trim("r_mandate_text"), "mandate_themes": themes,
+        "esg_constrained": F.coalesce("r_esg_constrained", F.when(exclusions, True)),
+    }
+    set_ = {c: given(c) | (exclusions if c == "esg_constrained" else F.lit(False)) for c in PROFILE}
+    fine = F.col("status") == "OK"
+    changes = F.array_compact(F.array(*[F.when(set_[c], F.lit(c)) for c in PROFILE], F.when(given("benchmark"), F.lit("benchmark"))))
+    after = [F.when(fine, F.coalesce(new[c], F.col(c))).otherwise(F.col(c)).alias(c) for c in PROFILE]
+    ticker = F.upper(F.trim("r_benchmark"))
+    return rows.withColumn("status", status).select(
+        F.col("r_client_id").alias("client_id"), "status", F.when(fine, changes).otherwise(F.array().cast("array<string>")).alias("changes"), *after,
+        F.when(fine & given("benchmark"), ticker).otherwise(F.col("benchmark")).alias("benchmark"), F.when(fine & given("benchmark") & F.col("__t").isNull(), ticker).alias("new_benchmark"),
+    )
+
+
+def profile_updates(n: News) -> DataFrame:
+    """Requests of every client and of some that don't exist, many of them wrong: what becomes of each profile."""
+    c = F.col("client_id")
+    text = lambda x: F.lit(x).cast("string")
+    profiles = n.clients.join(n.instruments.select(F.col("instrument_id").alias("benchmark_id"), F.col("ticker").alias("benchmark")), "benchmark_id", "left").select(
+        "client_id", "group_id", "alert_frequency", F.col("impact_threshold").cast("double").alias("impact_threshold"), "mandate_type", "mandate_text", F.lit("medium").alias("horizon"), "esg_constrained",
+        F.array().cast("array<string>").alias("excluded"), "mandate_themes", "benchmark",
+    )
+    whole = n.clients.select("client_id").union(n.clients.filter(c % 40 == 7).select(-c))
+    requests = whole.select(
+        "client_id", F.when(c % 5 != 0, F.array(*map(F.lit, (0, 1, 2)))).alias("groups"), F.when(c % 3 == 0, F.when(c % 21 == 0, "never").otherwise("DAILY")).alias("alert_frequency"),
+        F.when(c % 4 == 0, (c % 110).cast("double")).alias("impact_threshold"), F.when(c % 6 == 0, "macro").alias("mandate_type"), F.when(c % 7 == 0, F.when(c % 14 == 0, text("  ")).otherwise(F.repeat(F.lit("words "), (c % 1000).cast("int")))).alias("mandate_text"),
+        F.when(c % 8 == 0, F.when(c % 16 == 0, "forever").otherwise("Long")).alias("horizon"), F.when(c % 9 == 0, c % 2 == 0).alias("esg_constrained"), F.when(c % 10 == 0, F.when(c % 20 == 0, F.array(F.lit("tobacco"))).otherwise(F.array().cast("array<string>"))).alias("excluded"),
+        F.when(c % 11 == 0, F.when(c % 22 == 0, F.array(F.lit(" Rates"), F.lit("fx"))).otherwise(F.array(F.lit("moon")))).alias("mandate_themes"), F.when(c % 12 == 0, F.when(c % 24 == 0, text(" t3 ")).otherwise(text("NEWONE"))).alias("benchmark"),
+    )
+    found = update_profiles(profiles, requests, n.instruments)
+    listed = lambda name: F.coalesce(F.array_join(name, ","), F.lit("-")).alias(name)
+    return found.select(
+        "client_id", "status", listed("changes"), "alert_frequency", "impact_threshold", "mandate_type", F.md5(F.coalesce("mandate_text", F.lit("-"))).alias("mandate"), "horizon", F.coalesce(F.col("esg_constrained").cast("string"), F.lit("-")).alias("esg_constrained"), listed("excluded"), listed("mandate_themes"), "benchmark", "new_benchmark",
+    )
+
+
 def portfolio_changes(n: News) -> DataFrame:
     """Additions and removals of holdings by client: how many were added, changed and removed, and how many remain; weights outside 0..1 are refused."""
     c = F.col("client_id")
@@ -183,7 +250,7 @@ def taxonomy(n: News) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    node_upsert, edge_upsert, node_delete, client_delete, alias_upsert, property_sets, client_administration, client_create, portfolio_changes, watchlist_changes, taxonomy,
+    node_upsert, edge_upsert, node_delete, client_delete, alias_upsert, property_sets, client_administration, client_create, profile_updates, portfolio_changes, watchlist_changes, taxonomy,
 )}
 SQL = {
     "node_upsert": sql("""SELECT instrument_id, CASE WHEN instrument_id % 3 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN instrument_id % 6 = 0 THEN 'FUND' ELSE instrument_type END AS instrument_type FROM instr
@@ -207,6 +274,21 @@ SQL = {
         problems = '' AND (client_id % 2 = 0 OR coalesce(esg_constrained, FALSE)) AS esg_constrained FROM (SELECT *, array_to_string(list_filter([CASE WHEN client_id % 13 = 0 THEN 'name' END,
             CASE WHEN client_id % 7 = 0 THEN 'client_type' END, CASE WHEN client_id % 19 = 0 THEN 'alert_frequency' END, CASE WHEN client_id % 23 = 0 THEN 'impact_threshold' END,
             CASE WHEN client_id % 29 = 0 THEN 'themes' END], lambda x: x IS NOT NULL), ',') AS problems FROM clients)"""),
+    "profile_updates": sql(f"""SELECT client_id, status, CASE WHEN ok THEN array_to_string(list_filter([CASE WHEN f IS NOT NULL THEN 'alert_frequency' END, CASE WHEN t IS NOT NULL THEN 'impact_threshold' END, CASE WHEN m IS NOT NULL THEN 'mandate_type' END,
+            CASE WHEN x IS NOT NULL THEN 'mandate_text' END, CASE WHEN h IS NOT NULL THEN 'horizon' END, CASE WHEN e IS NOT NULL OR len(xs) > 0 THEN 'esg_constrained' END, CASE WHEN xs IS NOT NULL THEN 'excluded' END,
+            CASE WHEN th IS NOT NULL THEN 'mandate_themes' END, CASE WHEN b IS NOT NULL THEN 'benchmark' END], lambda y: y IS NOT NULL), ',') ELSE '' END AS changes,
+        CASE WHEN ok AND f IS NOT NULL THEN lower(f) ELSE alert_frequency END AS alert_frequency, CASE WHEN ok AND t IS NOT NULL THEN t ELSE impact_threshold::DOUBLE END AS impact_threshold, CASE WHEN ok AND m IS NOT NULL THEN m ELSE mandate_type END AS mandate_type,
+        md5(coalesce(CASE WHEN ok AND x IS NOT NULL THEN trim(x) ELSE mandate_text END, '-')) AS mandate, CASE WHEN old IS NULL THEN NULL WHEN ok AND h IS NOT NULL THEN lower(h) ELSE 'medium' END AS horizon,
+        coalesce((CASE WHEN ok AND e IS NOT NULL THEN e WHEN ok AND len(xs) > 0 THEN TRUE ELSE esg_constrained END)::VARCHAR, '-') AS esg_constrained, CASE WHEN old IS NULL THEN '-' WHEN ok AND xs IS NOT NULL THEN array_to_string(xs, ',') ELSE '' END AS excluded,
+        coalesce(array_to_string(CASE WHEN ok AND th IS NOT NULL THEN list_transform(th, lambda y: lower(trim(y))) ELSE mandate_themes END, ','), '-') AS mandate_themes,
+        CASE WHEN ok AND b IS NOT NULL THEN upper(trim(b)) ELSE ticker END AS benchmark, CASE WHEN ok AND b IS NOT NULL AND upper(trim(b)) NOT IN (SELECT ticker FROM instr) THEN upper(trim(b)) END AS new_benchmark
+        FROM (SELECT *, status = 'OK' AS ok FROM (SELECT r.*, c.* EXCLUDE (client_id, status), c.client_id AS old, CASE WHEN f = 'never' THEN 'INVALID_ALERT_FREQUENCY' WHEN t > 100 THEN 'INVALID_IMPACT_THRESHOLD' WHEN length(x) > 5000 THEN 'MANDATE_TEXT_TOO_LONG'
+            WHEN h = 'forever' THEN 'INVALID_HORIZON' WHEN th = ['moon'] THEN 'INVALID_MANDATE_THEMES' WHEN coalesce(f, t::VARCHAR, m, x, h, e::VARCHAR, xs::VARCHAR, th::VARCHAR, b) IS NULL THEN 'NO_UPDATES_PROVIDED' WHEN c.client_id IS NULL THEN 'CLIENT_NOT_FOUND'
+            WHEN r.client_id % 5 <> 0 AND group_id NOT IN (0, 1, 2) THEN 'ACCESS_DENIED' ELSE 'OK' END AS status FROM req r LEFT JOIN clients c ON c.client_id = r.client_id)) LEFT JOIN instr ON instrument_id = benchmark_id""",
+        ("req", """SELECT client_id, CASE WHEN client_id % 21 = 0 THEN 'never' WHEN client_id % 3 = 0 THEN 'DAILY' END AS f, CASE WHEN client_id % 4 = 0 THEN (client_id % 110)::DOUBLE END AS t, CASE WHEN client_id % 6 = 0 THEN 'macro' END AS m,
+            CASE WHEN client_id % 14 = 0 THEN '  ' WHEN client_id % 7 = 0 THEN repeat('words ', client_id % 1000) END AS x, CASE WHEN client_id % 16 = 0 THEN 'forever' WHEN client_id % 8 = 0 THEN 'Long' END AS h, CASE WHEN client_id % 9 = 0 THEN client_id % 2 = 0 END AS e,
+            CASE WHEN client_id % 20 = 0 THEN ['tobacco'] WHEN client_id % 10 = 0 THEN []::VARCHAR[] END AS xs, CASE WHEN client_id % 22 = 0 THEN [' Rates', 'fx'] WHEN client_id % 11 = 0 THEN ['moon'] END AS th,
+            CASE WHEN client_id % 24 = 0 THEN ' t3 ' WHEN client_id % 12 = 0 THEN 'NEWONE' END AS b FROM (SELECT client_id FROM clients UNION ALL SELECT -client_id FROM clients WHERE client_id % 40 = 7)""")),
     "portfolio_changes": sql("""SELECT c.client_id, coalesce(added, 0) AS added, coalesce(changed, 0) AS changed, coalesce(removed, 0) AS removed, coalesce(remaining, 0) AS remaining, (c.client_id % 15 = 0)::BIGINT AS refused
         FROM clients c LEFT JOIN (SELECT client_id, count(*) FILTER (put AND NOT was) AS added, count(*) FILTER (put AND was) AS changed, count(*) FILTER (out) AS removed, count(*) FILTER (NOT out) AS remaining FROM (
             SELECT client_id, instrument_id, bool_or(w) AS was, bool_or(NOT w) AS put, bool_or(w) AND (instrument_id + client_id) % 4 = 0 AS out FROM (SELECT client_id, instrument_id, TRUE AS w FROM holds

@@ -151,6 +151,31 @@ def chunk_documents(n: News) -> DataFrame:
     return tx.chunk_documents(n.documents.select("doc_id", "content"))
 
 
+def datetime_parse(n: News) -> DataFrame:
+    """Times as they come, in several forms and some broken, as times in UTC."""
+    d, at = F.col("doc_id"), F.col("created_at")
+    form = lambda pattern, end="": F.concat(F.date_format(at, pattern), F.lit(end))
+    raw = F.when(d % 7 == 0, form("yyyy-MM-dd")).when(d % 7 == 1, form("yyyy-MM-dd'T'HH:mm:ss")).when(d % 7 == 2, form("yyyy-MM-dd'T'HH:mm", "+02:00")).when(d % 7 == 3, form("yyyy-MM-dd HH:mm:ss", ".250Z"))
+    raw = raw.when(d % 7 == 4, form("yyyy/MM/dd")).when(d % 7 == 5, form("yyyy", "-13-40")).otherwise(F.lit(None))
+    return n.documents.select("doc_id", tx.parse_datetime(raw).alias("at"))
+
+
+def scenario_titles(n: News) -> DataFrame:
+    """The scenario that a title names in front, if any."""
+    d = F.col("doc_id")
+    title = F.when(d % 4 == 0, F.concat(F.lit(" [Phase3 S"), (d % 9).cast("string"), F.lit("] x"))).when(d % 4 == 1, F.concat(F.lit("[Phase3 S"), d.cast("string"))).when(d % 4 == 2, F.concat(F.lit("[Phase2] [Phase3 S] "), F.lit("y"))).otherwise(F.col("title"))
+    return n.documents.select("doc_id", F.coalesce(tx.scenario_of_title(title), F.lit("-")).alias("scenario"))
+
+
+def return_stats(n: News, limit: int = 20) -> DataFrame:
+    """How many documents the clients' feeds give on average, and how many clients get none."""
+    from tickerloom.operators.feeds import client_feed
+
+    sizes = client_feed(n, limit).groupBy("client_id").agg(F.count("*").alias("n"))
+    every = n.clients.select("client_id").join(sizes, "client_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return every.agg(F.count("*").alias("clients"), F.round(F.avg("n"), 6).alias("mean"), F.count_if(F.col("n") == 0).alias("empty"))
+
+
 def piece_embeddings(n: News) -> DataFrame:
     """Pieces by the SQL table function, each with the vector of the default provider; first and last number and sum as digests."""
     providers.register_table_functions(n.spark)
@@ -343,7 +368,7 @@ _REG = "coalesce(region, '') IN ('EUROPE', 'AFRICA')"
 _TK = ("tk", f"SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '{tx.BETWEEN_WORDS}')) AS t FROM docs) WHERE t <> '' GROUP BY 1, 2")
 QUERIES = {f.__name__: f for f in (
     list_clients, client_profile, completeness_score, portfolio_holdings, holdings_totals, watchlist_items, profile_counts, scalar_scores, vector_topk, hybrid_search,
-    hybrid_search_expanded, keyword_bm25, text_stats, hash_embedding, cjk_flag, chunk_documents, piece_embeddings, extraction_parse, restrictions_parse, theme_vocabulary_gate,
+    hybrid_search_expanded, keyword_bm25, text_stats, hash_embedding, cjk_flag, chunk_documents, piece_embeddings, datetime_parse, scenario_titles, return_stats, extraction_parse, restrictions_parse, theme_vocabulary_gate,
     schema_gate, ips_filter, ips_rerank, company_fuzzy_match, ticker_scan, alias_resolve, doc_lookup_access, upsert_latest, detach_delete, accuracy_by_group,
     golden_diff, recall_at_k,
 )} | {
@@ -376,6 +401,11 @@ SQL = {
         FROM tk JOIN (SELECT t, count(*) AS df FROM tk GROUP BY 1) USING (t) JOIN sz USING (doc_id), (SELECT count(*) AS n, avg(len) AS mean FROM sz) n WHERE t IN ('the', 'license', 'version') GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""",
         _TK, ("sz", "SELECT doc_id, sum(c) AS len FROM tk GROUP BY 1")),
     "text_stats": sql(r"SELECT doc_id, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::BIGINT AS words, length(trim(regexp_replace(lower(content), '[ \t\n\x0B\f\r]+', ' ', 'g')))::BIGINT AS normalized FROM docs"),
+    "datetime_parse": sql("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN date_trunc('day', created_at) WHEN 1 THEN date_trunc('second', created_at) WHEN 2 THEN date_trunc('minute', created_at) - INTERVAL 2 HOUR
+        WHEN 3 THEN date_trunc('second', created_at) + INTERVAL 250 MILLISECOND END AS at FROM docs""".replace(" AS at ", ' AS "at" ')),
+    "scenario_titles": sql("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Phase3 S' || doc_id % 9 ELSE '-' END AS scenario FROM docs"),
+    "return_stats": sql("""SELECT count(*) AS clients, round(avg(coalesce(n, 0)), 6) AS mean, count(*) FILTER (n IS NULL) AS empty FROM clients LEFT JOIN (SELECT client_id, least(20, count(DISTINCT doc_id)) AS n
+        FROM affects JOIN docs USING (doc_id) JOIN (SELECT client_id, instrument_id FROM holds UNION SELECT client_id, instrument_id FROM watches) USING (instrument_id) JOIN permitted USING (client_id, group_id) GROUP BY 1) USING (client_id)"""),
     "piece_embeddings": sql(f"""SELECT doc_id, piece::INTEGER AS piece, 384::BIGINT AS dims, round(12 * list_sum(list_transform(range(0, 32), lambda i: {_BYTE.replace('content', 'text')})), 6) AS total,
         round({_BYTE.replace('content', 'text').replace('i * 2', '0 * 2')}, 6) AS first FROM pieces""", *PIECES),
     "hash_embedding": sql(f"SELECT doc_id, 384::BIGINT AS dims, round(12 * list_sum(list_transform(range(0, 32), lambda i: {_BYTE})), 6) AS total, {_HASH} FROM docs"),

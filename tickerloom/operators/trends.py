@@ -123,8 +123,14 @@ def decayed_relevance(n: News) -> DataFrame:
 
 def percentile_tiers(n: News) -> DataFrame:
     """Tiers by share of the ranking inside a group: top 1, 2, 10, 20 % and the rest."""
-    rank = F.percent_rank().over(Window.partitionBy("group_id").orderBy(F.col("impact_score").desc()))
-    rows = n.documents.filter(F.col("impact_score").isNotNull()).select("doc_id", rank.alias("p"))
+    rows = n.documents.filter(F.col("impact_score").isNotNull()).select("doc_id", "group_id", "impact_score")
+    # ranks from the counts of equal scores: a row for each group and score, however many documents there are
+    counts = rows.groupBy("group_id", "impact_score").agg(F.count("*").alias("n"))
+    by_group = Window.partitionBy("group_id")
+    above = F.coalesce(F.sum("n").over(by_group.orderBy(F.col("impact_score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(by_group)
+    share = F.when(total > 1, above / (total - 1)).otherwise(0.0)
+    rows = rows.join(counts.select("group_id", "impact_score", share.alias("p")), ["group_id", "impact_score"])
     tier = F.when(F.col("p") < 0.01, "PLATINUM").when(F.col("p") < 0.03, "GOLD").when(F.col("p") < 0.13, "SILVER").when(F.col("p") < 0.33, "BRONZE").otherwise("STANDARD")
     return rows.select("doc_id", tier.alias("tier"))
 
