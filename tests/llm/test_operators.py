@@ -239,6 +239,26 @@ def test_search_edges(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 1, 2**0.5), (100, 1, 8, 1.0), (100, 2, 7, 2.0)]
 
 
+def test_repeated_ids(spark, monkeypatch):
+    """An id in three quarters of all rows: each row is a query, samples stay bounded, and small passes and blocks give what large ones give."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(400, 4)).round(3).tolist()
+    rows = [(0 if i < 300 else i, v) for i, v in enumerate(vectors)] + [(0, vectors[0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(multi_index, "FIT_ROWS", 50)
+    assert len(multi_index.sampled(spark.createDataFrame([(1, 0, [1.0, 2.0])] * 3000, "row long, id long, vector array<double>"), 50, 60, 1)) <= 100
+    wanted = []
+    for i, (name, v) in enumerate(rows):
+        if name % 100 == 0:
+            far = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), other) for j, (other, w) in enumerate(rows) if j != i)[:10]
+            wanted += [(name, rank, other, d) for rank, (d, other) in enumerate(far, 1)]
+    for values, block in ((1 << 21, 16_384), (40, 50)):
+        monkeypatch.setattr(multi_index, "PASS_VALUES", values)
+        monkeypatch.setattr(multi_index, "BLOCK_ROWS", block)
+        found = sorted(map(tuple, multi_index.nearest(df, radius=4).collect()))
+        assert [f[:3] for f in found] == [w[:3] for w in sorted(wanted)] and np.allclose([f[3] for f in found], [w[3] for w in sorted(wanted)])
+
+
 # 6
 
 

@@ -8,8 +8,8 @@ so probing those balls finds every code within R; they are measured exactly, as
 
 R is set so that the true neighbours of a bounded set of trial queries, found by brute force
 over all rows, lie within it at the wanted rate. A query that finds too few is searched again
-with the largest radius, which is exact. The stated queries meet the rows in a grid of blocks of
-bounded size on both sides.
+with the largest radius, which is exact. The stated queries go to the rows in passes of bounded size: each task cuts its
+own rows into blocks, indexes them, and keeps a pass's best so far from block to block. Rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import about, cut_lineage, read
+from tickerloom.llm.common import about, cut_lineage, map_batches, read, shared_path
 
 BITS = 64
 SUBSTRINGS = 4
@@ -33,7 +33,8 @@ TRIAL_ROWS = 128
 #: Share of true neighbours of the trial queries within the radius.
 WITHIN = 0.97
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 2_048
+#: Components of the queries that are searched for in one pass.
+PASS_VALUES = 1 << 21
 ITERATIONS = 30
 
 
@@ -108,14 +109,6 @@ def within_radius(rotation: Rotation, indexes: list[SubstringIndex], codes: np.n
     return rows[np.bitwise_count(codes[rows] ^ query) <= radius]
 
 
-def _nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows but the query's own: ids and Euclidean distances, ties to smaller ids."""
-    kept = ids != own
-    ids, far = ids[kept], np.sqrt(np.sum((vectors[kept] - query) ** 2, axis=1))
-    order = np.lexsort((ids, far))[:k]
-    return ids[order], far[order]
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -123,11 +116,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, vector) of rows that take part: an id and finite components, not all zero."""
+    """(row, id, vector) of rows that take part: an id and finite components, not all zero. ``row`` tells repeated rows apart once the lineage is cut."""
     v = F.col("vector")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & fine)
+    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & fine).select(F.monotonically_increasing_id().alias("row"), "id", "vector")
+
+
+def sampled(rows: DataFrame, wanted: int, total: int, salt: int) -> list:
+    """About ``wanted`` rows, by a hash of all that a row holds; twice as many at most, however often rows repeat."""
+    return rows.filter(about(wanted / total, salt, "row", "id", "vector")).limit(2 * wanted).collect() or rows.limit(wanted).collect()
 
 
 def fit_radius(rows: DataFrame, rotation: Rotation, trials: np.ndarray, trial_ids: np.ndarray, k: int, within: float) -> int:
@@ -138,17 +136,17 @@ def fit_radius(rows: DataFrame, rotation: Rotation, trials: np.ndarray, trial_id
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            numbers, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
             own = rotation.codes(vectors)
             out: list[tuple] = []
             for i, (query, name) in enumerate(zip(trials, trial_ids, strict=True)):
-                far = np.where(ids == name, np.inf, np.sum((vectors - query) ** 2, axis=1))
+                far = np.where(numbers == name, np.inf, np.sum((vectors - query) ** 2, axis=1))
                 best = np.argsort(far, kind="stable")[:k]
                 best = best[np.isfinite(far[best])]
                 out += zip([i] * len(best), far[best].tolist(), np.bitwise_count(own[best] ^ codes[i]).tolist(), strict=True)
             yield pa.RecordBatch.from_pydict({"trial": [o[0] for o in out], "far": [o[1] for o in out], "bits": [o[2] for o in out]}, schema=pa.schema([("trial", pa.int32()), ("far", pa.float64()), ("bits", pa.int32())]))
 
-    best = rows.select("id", "vector").mapInArrow(run, "trial int, far double, bits int")
+    best = map_batches(rows.select("row", "vector"), run, "trial int, far double, bits int")
     ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy("far", "bits"))).filter(F.col("n") <= k)
     counts = {r["bits"]: r["count"] for r in ranked.groupBy("bits").count().collect()}
     seen, total = 0, sum(counts.values())
@@ -159,36 +157,63 @@ def fit_radius(rows: DataFrame, rotation: Rotation, trials: np.ndarray, trial_id
     return rotation.bits
 
 
-def _grid(rows: DataFrame, queries: DataFrame, rotation: Rotation, radius: int, k: int, blocks: int, groups: int) -> DataFrame:
-    """The best k of each query in each block of rows, then over all blocks."""
-    cell_rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
-    cell_queries = queries.withColumn("part", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(cell: pa.Table, asked: pa.Table) -> pa.Table:
-        if not cell.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        ids, vectors = cell.column("id").to_numpy(), _matrix(cell.column("vector"))
-        codes = rotation.codes(vectors)
-        indexes = [SubstringIndex(s, b - a) for s, (a, b) in zip(rotation.substrings(codes), rotation.spans, strict=True)]
-        wanted, names = _matrix(asked.column("vector")), asked.column("id").to_numpy()
-        out = [], [], []
-        for query, name, code in zip(wanted, names, rotation.codes(wanted), strict=True):
-            near = within_radius(rotation, indexes, codes, code, radius)
-            found, far = _nearest(query, name, ids[near], vectors[near], k)
-            for column, values in zip(out, (np.full(len(found), name), found, far), strict=True):
-                column.append(values)
-        return pa.table({f.name: np.concatenate(c) for f, c in zip(schema, out, strict=True)}, schema=schema)
-
-    found = cell_rows.groupBy("block", "part").cogroup(cell_queries.groupBy("block", "part")).applyInArrow(
-        search, "query_id long, vec_id long, score double"
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A task's rows in blocks of about ``BLOCK_ROWS``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _passes(queries: DataFrame) -> Iterator[list]:
+    """Queries in lists of bounded size; the driver holds one partition and one list at a time."""
+    some, size = [], 0
+    for row in queries.toLocalIterator():
+        some.append(row)
+        size += len(row["vector"])
+        if size >= PASS_VALUES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _sweep(rows: DataFrame, queries: DataFrame, rotation: Rotation, radius: int, k: int) -> DataFrame:
+    """(query, rank, vec_id, score): the best k of each query over the blocks of all tasks."""
+    spark, names = rows.sparkSession, "query long, query_id long, rank int, vec_id long, score double"
+    path, done = shared_path(spark, "nearest"), False
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    for some in _passes(queries):
+        wanted, numbers, ids = np.array([r["vector"] for r in some]), np.array([r["row"] for r in some]), np.array([r["id"] for r in some])
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, numbers=numbers, ids=ids) -> Iterator[pa.RecordBatch]:
+            codes = rotation.codes(wanted)
+            best = [(np.empty(0, np.int64), np.empty(0)) for _ in wanted]
+            for block in _blocks(batches):
+                own_numbers, own_ids, vectors = block.column(0).to_numpy(), block.column(1).to_numpy(), _matrix(block.column(2))
+                own = rotation.codes(vectors)
+                indexes = [SubstringIndex(s, b - a) for s, (a, b) in zip(rotation.substrings(own), rotation.spans, strict=True)]
+                for i, (query, number, code) in enumerate(zip(wanted, numbers, codes, strict=True)):
+                    near = within_radius(rotation, indexes, own, code, radius)
+                    near = near[own_numbers[near] != number]
+                    found = np.concatenate([best[i][0], own_ids[near]])
+                    far = np.concatenate([best[i][1], np.sqrt(np.sum((vectors[near] - query) ** 2, axis=1))])
+                    order = np.lexsort((found, far))[:k]
+                    best[i] = found[order], far[order]
+            sizes = [len(found) for found, _ in best]
+            columns = np.repeat(numbers, sizes), np.repeat(ids, sizes), *(np.concatenate(c) for c in zip(*best, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        found = map_batches(rows.select("row", "id", "vector"), run, "query long, query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+        found.withColumn("rank", rank).filter(F.col("rank") <= k).select(*[n.split(" ")[0] for n in names.split(", ")]).write.mode("append").parquet(path)
+        done = True
+    return spark.read.schema(names).parquet(path) if done else spark.createDataFrame([], names)
 
 
 def nearest(
@@ -197,11 +222,10 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, nearest first.
 
-    * queries: rows whose id is divisible by ``every``; candidates: all rows but the query's own id.
+    * queries: all rows whose id is divisible by ``every``, so a repeated id is several queries; candidates: all rows but the query itself.
     * score: Euclidean distance of the original vectors in double precision; ties to smaller ids.
     * rows without an id, and vectors that are null, zero or hold null or non-finite components take no part. Vectors of
-      different dimensions have no distance: each dimension is searched by itself. Equal vectors are candidates each; repeated
-      rows too, and a query id that is repeated in a dimension is one query (the smallest vector).
+      different dimensions have no distance: each dimension is searched by itself. Equal vectors are candidates each, and repeated rows too.
     * fewer candidates than ``k``: all of them. An empty table gives no rows.
     * ``radius``: fixed instead of fitted. Other columns are ignored.
     """
@@ -216,24 +240,18 @@ def nearest(
 
 def _search(rows: DataFrame, total: int, every: int, k: int, within: float, radius: int | None) -> DataFrame:
     """The search over ``total`` rows of one dimension."""
-    sample = np.array([r["vector"] for r in rows.filter(about(FIT_ROWS / total, 1, "id")).collect()])
-    if len(sample) < 2:
-        sample = np.array([r["vector"] for r in rows.limit(FIT_ROWS).collect()])
-    rotation = Rotation(sample)
+    rotation = Rotation(np.array([r["vector"] for r in sampled(rows, FIT_ROWS, total, 1)]))
     if radius is None:
-        trials = rows.filter(about(TRIAL_ROWS / total, 2, "id")).collect() or rows.limit(TRIAL_ROWS).collect()
-        radius = fit_radius(rows, rotation, np.array([t["vector"] for t in trials]), np.array([t["id"] for t in trials]), k, within)
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = queries.count()
-    blocks, groups = -(-total // BLOCK_ROWS), max(1, -(-asked // BLOCK_QUERIES))
-    found = cut_lineage(_grid(rows, queries, rotation, radius, k, blocks, groups))
-    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    short = cut_lineage(queries.join(full, "id", "left_anti"))
-    left = short.count()
-    if left and radius < rotation.bits:
-        exact = _grid(rows, short, rotation, rotation.bits, k, blocks, max(1, -(-left // BLOCK_QUERIES)))
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        trials = sampled(rows, TRIAL_ROWS, total, 2)
+        radius = fit_radius(rows, rotation, np.array([t["vector"] for t in trials]), np.array([t["row"] for t in trials]), k, within)
+    queries = rows.filter(F.col("id") % every == 0)
+    found = _sweep(rows, queries, rotation, radius, k)
+    full = found.groupBy("query").count().filter(F.col("count") >= k).select(F.col("query").alias("row"))
+    short = cut_lineage(queries.join(full, "row", "left_anti"))
+    if radius < rotation.bits and short.limit(1).count():
+        exact = _sweep(rows, short, rotation, rotation.bits, k)
+        found = found.join(short.select(F.col("row").alias("query")), "query", "left_anti").unionByName(exact)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
