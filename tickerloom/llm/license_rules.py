@@ -151,6 +151,96 @@ NAMED = [
     ("spdx", 3, "spdx license", r"spdx license identifier"),
 ]
 
+#: The same for rarer licences, data and model terms, and notices in more languages and wordings.
+RARER = [
+    ("apl-1.0", 5, "adaptive public", rf"adaptive public {LICEN}(?: {VER}1 0)?"),
+    ("apsl", 4, "apple public source", rf"apple public source {LICEN}"),
+    ("catosl-1.1", 5, "computer associates", rf"computer associates trusted open source {LICEN}(?: {VER}1 1)?"),
+    ("cpal-1.0", 5, "common public attribution", rf"common public attribution {LICEN}(?: {VER}1 0)?"),
+    ("cua-opl-1.0", 5, "cua office", rf"cua office public {LICEN}(?: {VER}1 0)?"),
+    ("ecl", 4, "educational community", rf"educational community {LICEN}(?: {VER}[12] 0)?"),
+    ("efl", 4, "eiffel forum", rf"eiffel forum {LICEN}(?: {VER}[12](?: 0)?)?"),
+    ("entessa", 4, "entessa", rf"entessa public {LICEN}"),
+    ("fair", 4, "fair licen", rf"the fair {LICEN}"),
+    ("frameworx-1.0", 5, "frameworx", rf"frameworx open {LICEN}(?: {VER}1 0)?"),
+    ("hpnd", 4, "historical permission", r"historical permission notice and disclaimer"),
+    ("intel", 4, "intel open source", rf"intel open source {LICEN}"),
+    ("ipafont", 4, "ipa font", rf"ipa font {LICEN}(?: agreement)?(?: {VER}1 0)?"),
+    ("lpl", 4, "lucent public", rf"lucent public {LICEN}(?: {VER}1 0 ?2?)?"),
+    ("lppl", 4, "latex project", rf"latex project public {LICEN}(?: {VER}1 [0-3] ?[ac]?)?"),
+    ("miros", 4, "miros", rf"(?:the )?miros {LICEN}"),
+    ("motosoto", 4, "motosoto", rf"motosoto open source {LICEN}"),
+    ("multics", 4, "multics", rf"multics {LICEN}"),
+    ("mulan", 4, "mulan", rf"mulan (?:permissive|public) (?:software )?{LICEN}(?: {VER}[12])?"),
+    ("naumen", 4, "naumen", rf"naumen public {LICEN}"),
+    ("nasa", 4, "nasa open source", rf"nasa open source agreement(?: {VER}1 3)?"),
+    ("nethack", 4, "nethack", rf"nethack general public {LICEN}"),
+    ("nokia", 4, "nokia open source", rf"nokia open source {LICEN}"),
+    ("nosl", 4, "non profit open", rf"non profit open software {LICEN}(?: {VER}3 0)?"),
+    ("ntp", 4, "ntp licen", rf"(?:the )?ntp {LICEN}"),
+    ("oclc", 4, "oclc", rf"oclc research public {LICEN}(?: {VER}2 0)?"),
+    ("ogtsl", 4, "open group test", rf"open group test suite {LICEN}"),
+    ("oldap", 4, "openldap", rf"openldap public {LICEN}(?: {VER}2 [0-8])?"),
+    ("qpl", 4, "q public", rf"(?:the )?q public {LICEN}(?: {VER}1 0)?"),
+    ("rpl", 4, "reciprocal public", rf"reciprocal public {LICEN}(?: {VER}1 [15])?"),
+    ("rpsl", 4, "realnetworks public", rf"realnetworks public source {LICEN}(?: {VER}1 0)?"),
+    ("rscpl", 4, "ricoh source", rf"ricoh source code public {LICEN}"),
+    ("simpl-2.0", 5, "simple public", rf"simple public {LICEN}(?: {VER}2 0)?"),
+    ("sissl", 4, "sun industry", rf"sun industry standards source {LICEN}"),
+    ("sleepycat", 4, "sleepycat", rf"(?:the )?sleepycat {LICEN}"),
+    ("upl-1.0", 5, "universal permissive", rf"universal permissive {LICEN}(?: {VER}1 0)?"),
+    ("vsl-1.0", 5, "vovida", rf"vovida software {LICEN}(?: {VER}1 0)?"),
+    ("vim", 4, "vim licen", rf"(?:the )?vim {LICEN}"),
+    ("watcom-1.0", 5, "sybase open", rf"sybase open watcom public {LICEN}(?: {VER}1 0)?"),
+    ("wxwindows", 4, "wxwindows", rf"wxwindows (?:library )?{LICEN}"),
+    ("xnet", 4, "x net licen", rf"x net {LICEN}"),
+    ("zpl", 4, "zope public", rf"zope public {LICEN}(?: {VER}[12] [01])?"),
+    ("curl", 4, "curl licen", rf"(?:the )?curl {LICEN}"),
+    ("ftl", 4, "freetype", rf"(?:the )?freetype(?: project)? {LICEN}"),
+    ("ijg", 4, "independent jpeg", r"(?:work of the )?independent jpeg group"),
+    ("info-zip", 4, "info zip", rf"info zip {LICEN}"),
+    ("imagemagick", 4, "imagemagick", rf"imagemagick {LICEN}"),
+    ("icu", 4, "icu licen", rf"icu {LICEN}"),
+    ("bzip2", 4, "bzip2", rf"bzip2(?: libbzip2)? {LICEN}"),
+    ("tcl", 4, "tcl tk", rf"tcl tk {LICEN}"),
+    ("jasper", 4, "jasper", rf"jasper {LICEN}(?: {VER}2 0)?"),
+    ("sqlite-blessing", 4, "may you do good", r"may you do good and not evil"),
+    ("json", 5, "shall be used for good", r"the software shall be used for good not evil"),
+    ("bitstream-vera", 4, "bitstream vera", r"bitstream vera(?: fonts)?(?: copyright)?"),
+    ("ubuntu-font", 5, "ubuntu font", rf"ubuntu font {LICEN}(?: {VER}1 0)?"),
+    ("free-art", 4, "free art", rf"free art {LICEN}(?: {VER}1 [23])?"),
+    ("free-art", 4, "licence art libre", r"licence art libre(?: 1 [23])?"),
+    ("opl", 4, "open publication", rf"open publication {LICEN}(?: {VER}(?:0 4|1 0))?"),
+    ("ogl", 4, "open government", rf"open government {LICEN}(?: {VER}[123](?: 0)?)?"),
+    ("ogl-rpg", 4, "open game", rf"open game {LICEN}(?: {VER}1 0a?)?"),
+    ("dl-de", 4, "datenlizenz deutschland", r"datenlizenz deutschland(?: namensnennung| zero)?(?: version)?(?: 2 0)?"),
+    ("etalab", 4, "licence ouverte", r"licence ouverte(?: open licence)?(?: 2 0)?"),
+    ("cdla-permissive", 4, "community data", rf"community data {LICEN} agreement permissive(?: {VER}[12] 0)?"),
+    ("cdla-sharing", 4, "community data", rf"community data {LICEN} agreement sharing(?: {VER}1 0)?"),
+    ("gemma", 4, "gemma terms", r"gemma terms of use"),
+    ("responsible-ai", 4, "responsible ai", rf"responsible ai {LICEN}"),
+    ("hippocratic", 4, "hippocratic", rf"hippocratic {LICEN}(?: {VER}[123] [01])?"),
+    ("fsl", 4, "functional source", rf"functional source {LICEN}(?: {VER}1 [01])?"),
+    ("prosperity", 4, "prosperity public", rf"prosperity public {LICEN}(?: {VER}[23] 0(?: 0)?)?"),
+    ("parity", 4, "parity public", rf"parity public {LICEN}(?: {VER}[67] 0(?: 0)?)?"),
+    ("blueoak-1.0.0", 5, "blue oak", rf"blue oak model {LICEN}(?: 1 0 0)?"),
+    ("cern-ohl", 4, "cern open hardware", rf"cern open hardware {LICEN}(?: {VER}[12](?: 2)?)?(?: permissive| weakly reciprocal| strongly reciprocal)?"),
+    ("solderpad", 4, "solderpad", rf"solderpad hardware {LICEN}(?: {VER}[02] [51]1?)?"),
+    ("tapr-ohl", 4, "tapr open hardware", rf"tapr open hardware {LICEN}(?: {VER}1 0)?"),
+    ("reserved", 2, "tutti i diritti", r"tutti i diritti (?:sono )?riservati"),
+    ("reserved", 2, "todos os direitos", r"todos os direitos reservados"),
+    ("reserved", 2, "alle rechten", r"alle rechten voorbehouden"),
+    ("reserved", 2, "wszelkie prawa", r"wszelkie prawa zastrze[^ ]+one"),
+    ("reserved", 2, "alla r", r"alla r[^ ]+ttigheter f[^ ]+rbeh[^ ]+llna"),
+    ("trademark", 1, "registered trademark", r"(?:is a |are )?registered trademarks? of"),
+    ("patent-grant", 2, "patent licen", rf"(?:royalty free |irrevocable |perpetual |worldwide )*patent {LICEN}"),
+    ("dual-licensed", 3, "dual licen", rf"dual {LICEN}d(?: under)?"),
+    ("attribution-required", 2, "attribution is required", r"attribution is required"),
+    ("share-alike", 2, "share alike", r"under the same or (?:a )?similar license|share alike terms"),
+    ("no-derivatives", 2, "derivative works", r"no derivative works"),
+    ("fair-use", 1, "fair use", r"fair use(?: notice| rationale)?"),
+]
+
 CC_PARTS = {
     "by": "attribution",
     "by-sa": "attribution share ?alike",
@@ -202,7 +292,7 @@ def _spelled(version: str) -> str:
 
 def rules() -> list[Rule]:
     """All rules in order: base phrases, named ones, and those spelled out by version."""
-    out = [*BASE, *(Rule(*r) for r in NAMED)]
+    out = [*BASE, *(Rule(*r) for r in (*NAMED, *RARER))]
     for kind, words in CC_PARTS.items():
         short = kind.replace("-", " ")
         out.append(Rule(f"cc-{kind}", 4, f"cc {short}", f"cc {short}(?: {LICEN})?"))

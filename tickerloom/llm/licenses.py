@@ -94,22 +94,25 @@ def _detections(words: Column, table: list[Rule]) -> Column:
 
 
 SPAN = "array<struct<start:int,end:int,label:string,priority:int>>"
+#: Detections that are gathered before they are put aside, so that a long list isn't copied for each of them.
+GATHERED = 64
 
 
 def _swept(found: Column) -> Column:
     """Detections that no earlier one of equal or higher priority contains."""
-    first = F.struct(
-        F.array_repeat(F.lit(-1), LEVELS).alias("ends"), F.array().cast(SPAN).alias("kept")
-    )
+    none = F.array().cast(SPAN)
+    first = F.struct(F.array_repeat(F.lit(-1), LEVELS).alias("ends"), none.alias("kept"), F.array().cast(f"array<{SPAN}>").alias("aside"))
 
     def step(acc: Column, d: Column) -> Column:
         end, level = -d["minus_end"], -d["minus_priority"]
         inside = F.exists(F.slice(acc["ends"], level, LEVELS), lambda e: e >= end)
         ends = F.transform(acc["ends"], lambda e, i: F.when(i + 1 == level, F.greatest(e, end)).otherwise(e))
         one = F.array(F.struct(d["start"].alias("start"), end.alias("end"), d["label"].alias("label"), level.alias("priority")))
-        return F.struct(ends.alias("ends"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], one)).alias("kept"))
+        full = F.size(acc["kept"]) >= GATHERED
+        kept = F.when(inside, acc["kept"]).when(full, one).otherwise(F.concat(acc["kept"], one))
+        return F.struct(ends.alias("ends"), kept.alias("kept"), F.when(full & ~inside, F.concat(acc["aside"], F.array(acc["kept"]))).otherwise(acc["aside"]).alias("aside"))
 
-    return F.aggregate(found, first, step, lambda acc: acc["kept"])
+    return F.aggregate(found, first, step, lambda acc: F.concat(F.flatten(acc["aside"]), acc["kept"]))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
