@@ -6,8 +6,11 @@ remain. Sorts end with the document id, so results are total orders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from tickerloom.functions import scoring as sc
 from tickerloom.functions import vocabulary as v
 from tickerloom.sources.domain import News, lookup
 from tickerloom.sources.domain_sql import sql
+from tickerloom.sources.lineage import cut_lineage
 
 FETCH = 100
 
@@ -230,28 +234,83 @@ def candidates(news: News, bias: sc.Bias, clients: DataFrame) -> DataFrame:
     return out
 
 
+#: Documents that a mandate's vector brings a client, the least cosine, and mandates that documents are compared with in one pass.
+VECTOR_BEST, VECTOR_LEAST, PASS_MANDATES = 25, 0.4, 4_096
+
+
 def vector_candidates(news: News, bias: sc.Bias, docs: DataFrame, allowed: DataFrame) -> DataFrame:
     """The 25 readable documents nearest to a client's mandate vector, with a cosine of .4 or more.
 
-    Documents and mandates share few distinct vectors, so cosines are taken between vectors, not pairs of rows.
+    A client's best are among the best of each of its groups, and of the documents of a group that share a vector the first 25 will do; so mandates are compared
+    with the vectors that documents use, by products of blocks, and each task gives the best of its own block for each mandate and group.
     """
     size = news.sizes["embeddings"]
-    used = allowed.select(F.col("mandate_vec_id").alias("q")).distinct()
     vecs = news.vectors
-    asked = used.join(vecs, F.col("q") == F.col("vec_id")).select("q", F.col("embedding").alias("a"))
-    held = docs.select((F.col("doc_id") % size).alias("vec_id")).distinct().join(vecs, "vec_id").select(F.col("vec_id").alias("d"), F.col("embedding").alias("b"))
-    near = asked.join(held, sc.cosine(F.col("a"), F.col("b")) >= 0.4).select("q", "d", sc.cosine(F.col("a"), F.col("b")).alias("cosine"))
-    reach = docs.withColumn("d", F.col("doc_id") % size).join(near, "d").join(
-        allowed.withColumnRenamed("mandate_vec_id", "q"), ["q", "group_id"]
-    )
+    few = docs.select("doc_id", "group_id", "impact_score", (F.col("doc_id") % size).alias("vec_id"))
+    few = few.withColumn("n", rank_in(["vec_id", "group_id"], F.col("doc_id"))).filter(F.col("n") <= VECTOR_BEST)
+    held = few.groupBy("vec_id").agg(F.collect_list(F.struct("group_id", "doc_id")).alias("docs")).join(vecs, "vec_id").select("embedding", "docs")
+    asked = allowed.select(F.col("mandate_vec_id").alias("vec_id")).distinct().join(vecs, "vec_id")
+    near = None
+    for some in _in_lists(asked, PASS_MANDATES):
+        part = _nearest_by_group(held, some)
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        near = news.spark.createDataFrame([], "q long, group_id int, doc_id long, cosine double")
+    reach = near.join(allowed.select("client_id", "group_id", "impact_threshold", F.col("mandate_vec_id").alias("q")), ["q", "group_id"])
     n = rank_in(["client_id"], F.round("cosine", 9).desc(), F.col("doc_id"))
-    kept = reach.withColumn("n", n).filter((F.col("n") <= 25) & (F.col("impact_score") >= F.col("impact_threshold")))
+    kept = reach.withColumn("n", n).filter(F.col("n") <= VECTOR_BEST).join(docs.select("doc_id", "impact_score"), "doc_id").filter(F.col("impact_score") >= F.col("impact_threshold"))
     return kept.select(
         "client_id", "doc_id", F.lit("VECTOR").alias("channel"), F.lit(0.0).alias("graph"),
         F.least(F.lit(1.0), F.lit(bias.bases["VECTOR"]) * F.col("cosine")).alias("vector"),
     )
 
 
+def _in_lists(rows: DataFrame, most: int) -> Iterator[list]:
+    """Rows in lists of at most so many; the driver holds one partition and one list at a time."""
+    some = []
+    for row in rows.toLocalIterator():
+        some.append(row)
+        if len(some) == most:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def _nearest_by_group(held: DataFrame, some: list) -> DataFrame:
+    """(q, group_id, doc_id, cosine): for each of some vectors and each group the best documents, by rounded cosine and id; of each task first, then of all."""
+    names = np.array([r["vec_id"] for r in some], np.int64)
+    wanted = np.array([r["embedding"] for r in some], np.float64)
+    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            vectors = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, wanted.shape[1]))
+            vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            groups, docs = (lists.flatten().field(k).to_numpy() for k in (0, 1))
+            for lo in range(0, len(names), 256):
+                cosine = wanted[lo : lo + 256] @ vectors.T
+                out = []
+                for i, row in enumerate(cosine):
+                    at = np.flatnonzero(row[owner] >= VECTOR_LEAST)
+                    if len(at):
+                        rounded = np.round(row[owner[at]], 9)
+                        order = at[np.lexsort((docs[at], -rounded, groups[at]))]
+                        first = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1]]))
+                        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                        order = order[place < VECTOR_BEST]
+                        out.append((np.full(len(order), names[lo + i]), groups[order], docs[order], row[owner[order]]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["q", "group_id", "doc_id", "cosine"])
+
+    found = held.mapInArrow(run, "q long, group_id int, doc_id long, cosine double")
+    n = rank_in(["q", "group_id"], F.round("cosine", 9).desc(), F.col("doc_id"))
+    return found.withColumn("n", n).filter(F.col("n") <= VECTOR_BEST).drop("n")
+
+
 def position_percentiles(news: News) -> DataFrame:
     """(client_id, instrument_id, percentile): 1 for the largest holding, 0 for the smallest, 1 if it is the only one."""
     w = Window.partitionBy("client_id")
@@ -269,6 +328,7 @@ def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int =
         clients = clients.filter(F.col("client_type").isin(only_types))
     if esg_only:
         clients = clients.filter(F.col("esg_constrained"))
+    news.holds = cut_lineage(news.holds)  # three channels and the boost read it
     merged = merge_candidates(candidates(news, bias, clients))
     docs = scored_documents(news).select("doc_id", "title", "created_at", "impact_score")
     after = news.now - F.make_dt_interval(F.lit(0), F.lit(hours))
