@@ -185,14 +185,13 @@ def lateral_instruments(news: News) -> DataFrame:
     edges = both.select("from_id", "to_id", F.lit("COMPETITOR").alias("channel")).union(
         news.supplies.select("to_id", "from_id", F.lit("SUPPLY_CHAIN"))
     )
+    direct = issuers.join(edges.distinct(), issuers.company_id == edges.from_id).select("client_id", "channel", "to_id").distinct()
+    # a sector's companies but an only issuer itself, without pairs of companies
     sector = news.companies.select("company_id", "sector")
-    peers = sector.alias("a").join(sector.alias("b"), F.col("a.sector") == F.col("b.sector")).filter("a.company_id <> b.company_id")
-    edges = edges.union(peers.select("a.company_id", "b.company_id", F.lit("PEER"))).distinct()
+    own = issuers.join(sector, "company_id").groupBy("client_id", "sector").agg(F.count("*").alias("n"), F.min("company_id").alias("one"))
+    peers = own.join(sector, "sector").filter((F.col("n") > 1) | (F.col("company_id") != F.col("one"))).select("client_id", F.lit("PEER").alias("channel"), F.col("company_id").alias("to_id"))
     issued = news.instruments.select(F.col("company_id").alias("to_id"), "instrument_id")
-    return (
-        issuers.join(edges, issuers.company_id == edges.from_id).select("client_id", "channel", "to_id").distinct()
-        .join(issued, "to_id").select("client_id", "channel", "instrument_id")
-    )
+    return direct.unionByName(peers).join(issued, "to_id").select("client_id", "channel", "instrument_id")
 
 
 def _top_news_tickers(news: News, clients: DataFrame) -> DataFrame:
