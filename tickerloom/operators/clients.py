@@ -118,8 +118,10 @@ def keyword_bm25(n: News, words: tuple[str, ...] = ("the", "license", "version")
     # two spaces between words, so that each word has a space of its own on either side
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce("content", F.lit(""))), tx.BETWEEN_WORDS, "  ")), F.lit(" "))
     times = lambda part: ((F.length("p") - F.length(F.replace(F.col("p"), F.lit(part), F.lit("")))) / len(part)).cast("int")
-    cut = n.documents.select("doc_id", plain.alias("p")).filter(F.col("p") != "  ")
-    counts = cut_lineage(cut.select("doc_id", (times("  ") + 1).alias("len"), *[times(f" {w} ").alias(f"c{i}") for i, w in enumerate(words)]))
+    cut = n.documents.select("doc_id", plain.alias("p"))
+    # texts without words go after the cut: a condition before it would prepare each text twice
+    length = F.when(F.col("p") != "  ", times("  ") + 1).alias("len")
+    counts = cut_lineage(cut.select("doc_id", length, *[times(f" {w} ").alias(f"c{i}") for i, w in enumerate(words)])).filter("len IS NOT NULL")
     held = [F.count_if(F.col(f"c{i}") > 0).alias(f"df{i}") for i in range(len(words))]
     whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *held)
 
