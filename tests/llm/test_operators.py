@@ -611,6 +611,50 @@ def test_every_language_is_known(spark):
     assert found.first()["language"] == "fr"
 
 
+def test_unknown_scripts_and_long_rows(spark):
+    """A language whose rows are all long is learned from their beginnings; one without texts takes nothing; a script that no language has is undetermined."""
+    rng = random.Random(2)
+    words = {"en": "the words of this text are those that people use every day in the street", "fr": "les mots de ce texte sont ceux que les gens disent chaque jour dans la rue", "de": "die Worte dieses Textes sind die welche man jeden Tag auf der Strasse sagt"}
+    draw = lambda lang, n: " ".join(rng.choices(words[lang].split(), k=n))
+    rows = [(i, draw(lang, 30), lang) for i, lang in enumerate(["en", "fr"] * 60)] + [(1000 + i, draw("de", 5000), "de") for i in range(60)] + [(2000, None, "es"), (2001, "", "it")]
+    assert all(len(t) > language.FIT_CHARS for _, t, name in rows if name == "de")
+    model = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "es", "fr", "it"]
+    tests = [(1, "die Worte sind die welche man sagt"), (2, "слова этого текста люди говорят каждый день на улице"), (3, "les gens disent les mots"), (4, "これは日本語の文章です"), (5, "the words people use " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "s", None) for i, t in tests], "doc_id long, text string, source string, lang string")
+    assert {r["doc_id"]: r["language"] for r in language.identify_documents(docs, model).collect()} == {1: "de", 2: "und", 3: "fr", 4: "und", 5: "en"}
+    html = "<html lang={}><body>{}</body></html>"
+    pages = [(1, "http://a.de/x", html.format("ru", tests[1][1]), "clash"), (2, "http://a.de/y", html.format("de", draw("de", 40)), "clash"), (2, "http://a.de/y", html.format("de", draw("de", 40)), "clash"), (3, None, draw("fr", 60_000), "clash"), (None, "", "", None)]
+    found = language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string, language string"), model).collect()
+    assert sorted((r["page_id"] or 0, r["language"]) for r in found) == [(0, "und"), (1, "und"), (2, "de"), (2, "de"), (3, "fr")]
+
+
+def test_likelihoods_against_brute_force():
+    """The log likelihood of a text, n-gram by n-gram, from counts of a few texts."""
+    texts = {"en": ["the cat", "a dog"], "fr": ["le chat noir"]}
+    counts = np.zeros((1 << language.BUCKET_BITS, 2))
+    for k, some in enumerate(texts.values()):
+        for t in some:
+            for found in language.text_buckets(t):
+                for b in found:
+                    counts[b, k] += 1
+    model, text = language.TextModel(list(texts), counts), "the cat noir"
+    buckets = [int(b) for found in language.text_buckets(text) for b in found]
+    wanted = [sum(np.log((counts[b, k] + 0.1) / (counts[:, k].sum() + 0.1 * len(counts))) for b in buckets) for k in range(2)]
+    logs, n = model.likelihoods(text)
+    assert n == len(buckets) and np.allclose(logs, [w * min(1.0, language.TEXT_WEIGHT / n) for w in wanted], rtol=1e-4)
+
+
+def test_samples_stay_bounded_when_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_TIMES", 2)
+    docs = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(3000).selectExpr("if(id < 2500, 7, id) AS doc_id", "cast(id % 2 AS int) AS quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit_in_task", lambda rows, fit: seen.append(rows.count()) or quality.Model())
+    quality.fit_model(docs, labels, fit_rows=100)
+    assert seen[0] <= 200
+
+
 def test_near_copies(spark):
     """Planted near copies of a similarity of .8 or more on 5-word shingles, and unlike texts, by the stage's scheme."""
     rng = random.Random(8)

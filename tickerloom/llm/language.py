@@ -30,6 +30,8 @@ FIT_ROWS = 4_000
 FIT_CHARS = 20_000
 #: n-grams that a text counts for at most, however long it is.
 TEXT_WEIGHT = 60.0
+#: Log probability of an n-gram if all were alike.
+EVENLY = -BUCKET_BITS * float(np.log(2))
 #: Pages by which a level of the prior leans on the level above.
 SMOOTHING = 8.0
 #: Below this posterior the language is undetermined.
@@ -61,19 +63,32 @@ def text_buckets(text: str) -> Iterator[np.ndarray]:
 
 
 class TextModel:
-    """Log probabilities of n-gram buckets by language."""
+    """Log probabilities of n-gram buckets by language.
+
+    A language without any learned n-gram takes the least probability of each bucket that another one has: text is no evidence for it.
+    """
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         smooth = counts + 0.1
-        self.logs = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
+        logs = np.log(smooth / smooth.sum(axis=0))
+        learned = counts.any(axis=0)
+        if learned.any() and not learned.all():
+            logs[:, ~learned] = logs[:, learned].min(axis=1, keepdims=True) - 1.0
+        self.logs = logs.astype(np.float32)
 
     def likelihoods(self, text: str) -> tuple[list[float], int]:
-        """Log likelihoods by language, scaled to at most ``TEXT_WEIGHT`` n-grams, and the number of n-grams."""
+        """Log likelihoods by language, scaled to at most ``TEXT_WEIGHT`` n-grams, and the number of n-grams.
+
+        A text that all languages explain worse than n-grams drawn evenly would, as one in a script that none of them has, is no evidence and counts as
+        without n-grams.
+        """
         total, n = np.zeros(len(self.languages)), 0
         for found in text_buckets(text):
             total += self.logs[found].sum(axis=0, dtype=np.float64)
             n += len(found)
+        if n and total.max() < n * EVENLY:
+            return [0.0] * len(self.languages), 0
         return (total * (min(1.0, TEXT_WEIGHT / n) if n else 0.0)).tolist(), n
 
 
@@ -81,14 +96,17 @@ def fit_text_model(docs: DataFrame, text: str = "text", lang: str = "lang", fit_
     """A model of the languages that ``lang`` names.
 
     Each language is learned from the same number of rows, ``fit_rows`` over the languages and 50 at least (all it has, if
-    fewer), drawn by a hash of id and text. Rows without text or language and texts of over
-    ``fit_chars`` code points aren't learned from; every language that a row names is known.
+    fewer), drawn by a hash of id and text. Rows without text or language aren't learned from, texts of over
+    ``fit_chars`` code points only where a language has none shorter, and then by so many of their code points; every language that a row names is known.
     """
     ids = [F.col(id_col).alias("id")] if id_col in docs.columns else []
     named = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), *ids)
-    known = named.filter(F.length("text") <= fit_chars)
+    short = F.length("text") <= fit_chars
     # a row a language
-    counts = {r["lang"]: r["rows"] for r in named.groupBy("lang").agg(F.count(F.when(F.length("text") <= fit_chars, 1)).alias("rows")).collect()}
+    sizes = named.groupBy("lang").agg(F.count(F.when(short, 1)).alias("rows"), F.count("text").alias("texts")).collect()
+    counts = {r["lang"]: r["rows"] or r["texts"] for r in sizes}
+    long = [r["lang"] for r in sizes if not r["rows"]]
+    known = named.filter(short | (F.col("lang").isin(long) & F.col("text").isNotNull())).withColumn("text", F.substring("text", 1, fit_chars)) if long else named.filter(short)
     each = max(50, fit_rows // max(len(counts), 1))
     # about twice as many are drawn as wanted, and ranked: no copies of a text or row can outgrow the bound
     places = F.xxhash64(F.lit(SEED), *[c for c in ("id", "text") if c in known.columns])
@@ -232,7 +250,7 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> lis
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, language, confidence, posterior, declared, suffix, host) for every page.
 
-    * language is "und" if the posterior is below ``CONFIDENT`` or the page has no letters; then the
+    * language is "und" if the posterior is below ``CONFIDENT`` or the page has no letters, or only such as no language has; then the
       other evidence still gives the posterior. Null pages and addresses are pages without that
       evidence; repeated rows each give a row and each count in the grouped sums.
     * ties go to the first language by name. Whole texts count. Other columns are ignored.

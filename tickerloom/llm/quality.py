@@ -28,6 +28,8 @@ SEED = 11
 #: The fit takes about so many labelled rows, none longer than so many code points.
 FIT_ROWS = 3_000
 FIT_CHARS = 20_000
+#: The bound of the sample, in times of FIT_ROWS.
+MOST_TIMES = 4
 #: Texts whose features are made at a time.
 FIT_STEP = 50
 THRESHOLD = 0.7
@@ -212,17 +214,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_
     """A model of ``labels`` (id, quality 0 or 1) outside the held-out fold.
 
     The sample is bounded: about ``fit_rows`` labelled rows, chosen by a hash of their id, whose texts
-    have at most ``fit_chars`` code points. Rows without label, id or text are left out; without
+    have at most ``fit_chars`` code points; however often ids repeat, at most ``MOST_TIMES`` as many go into the fit. Rows without label, id or text are left out; without
     any labelled row the model scores 0.5.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__quality")
     )
     total = known.count()
-    some = known.filter(about(fit_rows / max(total, 1), SEED, "__id"))
+    some = known.filter(about(fit_rows / max(total, 1), SEED, "__id")).limit(MOST_TIMES * fit_rows)
     texts = docs.filter(F.length("text") <= fit_chars).select(F.col(id_col).alias("__id"), "text")
     # as many rows as the sample is bounded to
-    rows = texts.join(F.broadcast(some), "__id")
+    rows = texts.join(F.broadcast(some), "__id").limit(MOST_TIMES * fit_rows)
 
     def fit(columns: dict[str, list]) -> Model:
         order = sorted(range(len(columns["__id"])), key=lambda i: (columns["__id"][i], columns["__quality"][i], columns["text"][i]))
