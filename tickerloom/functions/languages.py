@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.text import tokens
 
-#: A few of the commonest words of each language.
+#: A few of the commonest words of each language.
 COMMON = {
     "de": ["der", "die", "und", "das", "nicht", "mit", "von", "ist"],
     "en": ["the", "and", "of", "to", "in", "is", "for", "that"],

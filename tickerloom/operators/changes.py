@@ -243,10 +243,19 @@ def watchlist_changes(n: News) -> DataFrame:
 
 
 def taxonomy(n: News) -> DataFrame:
-    """The fixed dimensions, once a code, with their number as a check."""
+    """The fixed dimensions, once a code: how many codes each has, how often the tables use them, and which they lack or have besides."""
     rows = [("client_type", t) for t in CLIENT_TYPES] + [("event", e) for e in v.EVENT_CATEGORY] + [("theme", t) for t in v.THEMES] + [("tier", t) for t in v.TIERS] + [("region", r) for r in v.REGIONS]
     table = n.spark.createDataFrame(rows, "dimension string, code string").dropDuplicates(["dimension", "code"])
-    return table.groupBy("dimension").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max("code").alias("last"))
+    one = lambda kind, rows, c: rows.select(F.lit(kind).alias("dimension"), c.alias("code"))
+    docs = n.documents
+    seen = one("client_type", n.clients, F.col("client_type")).union(one("event", docs, F.col("event_code"))).union(one("theme", docs, F.explode("themes")))
+    seen = seen.union(one("tier", docs, F.col("impact_tier"))).union(one("region", n.sources, F.col("region")))
+    uses = seen.filter(F.col("code").isNotNull()).groupBy("dimension", "code").agg(F.count("*").alias("uses"))
+    every = table.withColumn("known", F.lit(1)).join(uses, ["dimension", "code"], "full_outer")
+    return every.groupBy("dimension").agg(
+        F.count("known").alias("n"), F.min(F.when(F.col("known") == 1, F.col("code"))).alias("first"), F.max(F.when(F.col("known") == 1, F.col("code"))).alias("last"),
+        F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count_if(F.col("uses").isNull()).alias("unused"), F.count_if(F.col("known").isNull()).alias("unknown"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (
@@ -294,7 +303,10 @@ SQL = {
             SELECT client_id, instrument_id, bool_or(w) AS was, bool_or(NOT w) AS put, bool_or(w) AND (instrument_id + client_id) % 4 = 0 AS out FROM (SELECT client_id, instrument_id, TRUE AS w FROM holds
                 UNION ALL SELECT client_id, client_id * 19 % (SELECT part FROM n), FALSE FROM clients WHERE client_id % 15 <> 0) GROUP BY 1, 2) GROUP BY 1) s ON s.client_id = c.client_id"""),
     "watchlist_changes": sql("SELECT client_id, instrument_id FROM (SELECT * FROM watches UNION SELECT client_id, client_id % (SELECT part FROM n) FROM clients) WHERE instrument_id % 2 = 1"),
-    "taxonomy": f"""SELECT dimension, count(*) AS n, min(code) AS first, max(code) AS last FROM (SELECT 'client_type' AS dimension, unnest({_list(CLIENT_TYPES)}) AS code
-        UNION ALL SELECT 'event', unnest({_list(list(v.EVENT_CATEGORY))}) UNION ALL SELECT 'theme', unnest({_list(v.THEMES)}) UNION ALL SELECT 'tier', unnest({_list(v.TIERS)})
-        UNION ALL SELECT 'region', unnest({_list(v.REGIONS)})) GROUP BY 1""",
+    "taxonomy": sql("""SELECT dimension, count(known) AS n, min(code) FILTER (known IS NOT NULL) AS first, max(code) FILTER (known IS NOT NULL) AS last, coalesce(sum(uses), 0)::BIGINT AS uses,
+        count(*) FILTER (uses IS NULL) AS unused, count(*) FILTER (known IS NULL) AS unknown FROM known FULL JOIN used USING (dimension, code) GROUP BY 1""",
+        ("known", f"""SELECT DISTINCT dimension, code, 1 AS known FROM (SELECT 'client_type' AS dimension, unnest({_list(CLIENT_TYPES)}) AS code UNION ALL SELECT 'event', unnest({_list(list(v.EVENT_CATEGORY))})
+            UNION ALL SELECT 'theme', unnest({_list(v.THEMES)}) UNION ALL SELECT 'tier', unnest({_list(v.TIERS)}) UNION ALL SELECT 'region', unnest({_list(v.REGIONS)}))"""),
+        ("used", """SELECT dimension, code, count(*) AS uses FROM (SELECT 'client_type' AS dimension, client_type AS code FROM clients UNION ALL SELECT 'event', event_code FROM docs UNION ALL SELECT 'theme', unnest(themes) FROM docs
+            UNION ALL SELECT 'tier', impact_tier FROM docs UNION ALL SELECT 'region', region FROM srcs) WHERE code IS NOT NULL GROUP BY 1, 2""")),
 }

@@ -229,14 +229,24 @@ def schema_gate(n: News) -> DataFrame:
     return n.documents.filter(F.col("impact_score").isNull() | F.col("impact_tier").isNull() | (F.size("themes") == 0) | F.col("created_at").isNull()).select("doc_id", "impact_tier")
 
 
+#: What documents must not speak of, by client type.
+ESG_WORDS = {"PENSION": "license", "LONG_ONLY": "copyright", "FAMILY_OFFICE": "free of charge"}
+#: Fixed value: the trust of a document without a source.
+NO_SOURCE_TRUST = 10
+
+
 def ips_filter(n: News) -> DataFrame:
-    """Documents left for each client type by trust, after sector prohibition in either direction."""
+    """Documents left for each client type by trust, after sector prohibition in either direction and after topics that it excludes."""
     least = lookup({"HEDGE_FUND": 3, "PENSION": 7, "LONG_ONLY": 5, "FAMILY_OFFICE": 10, "ADVISOR": 0}, F.col("client_type"))
     barred = F.concat(F.lit("NATION_"), F.length("client_type").cast("string"))
     types = n.clients.select("client_type").distinct().withColumn("least", least).withColumn("barred", barred)
     sectors = n.affects.join(n.instruments.select("instrument_id", "company_id"), "instrument_id").join(n.companies.select("company_id", "sector"), "company_id").select("doc_id", "sector").distinct()
-    docs = n.documents.select("doc_id", "source").join(n.sources.select("source", "trust_points"), "source")
-    rows = docs.join(F.broadcast(types), F.col("trust_points") >= F.col("least"))  # five client types
+    # each text is looked at once, and goes on as the types that exclude it
+    text = F.lower(F.concat_ws(" ", "title", "content"))
+    spoken = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(t)) for t, w in ESG_WORDS.items()]))
+    docs = n.documents.select("doc_id", "source", spoken.alias("spoken")).join(n.sources.select("source", "trust_points"), "source", "left")
+    trusted = F.coalesce("trust_points", F.lit(NO_SOURCE_TRUST)) >= F.col("least")
+    rows = docs.join(F.broadcast(types), trusted).filter(~F.array_contains("spoken", F.col("client_type"))).drop("spoken")  # five client types
     bad = rows.join(sectors, "doc_id").filter(F.contains("sector", F.col("barred")) | F.contains("barred", F.col("sector"))).select("doc_id", "client_type").distinct()
     return rows.join(bad, ["doc_id", "client_type"], "left_anti").groupBy("client_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
 
@@ -244,11 +254,12 @@ def ips_filter(n: News) -> DataFrame:
 def ips_rerank(n: News) -> DataFrame:
     """50 + 20 theme share + 15 event priority, the best 5 documents of each client type's leading theme."""
     lead = n.clients.groupBy("client_type").agg(F.min("client_id").alias("client_id")).join(n.clients.select("client_id", "mandate_themes"), "client_id")
-    docs = n.documents.select("doc_id", "themes", "event_type").join(lead, F.arrays_overlap("themes", "mandate_themes"))
-    theme = F.size(F.array_intersect("themes", "mandate_themes")) / F.size("mandate_themes")
+    wanted = lead.select("client_type", F.size("mandate_themes").alias("many"), F.explode("mandate_themes").alias("theme"))
+    docs = n.documents.select("doc_id", "event_type", F.explode("themes").alias("theme")).join(wanted, "theme")
+    shared = docs.groupBy("client_type", "many", "doc_id", "event_type").agg(F.count("*").alias("n"))
     place = F.array_position(F.array(F.lit("EARNINGS"), F.lit("M&A"), F.lit("REGULATORY")), F.coalesce("event_type", F.lit("")))
     event = F.when(place > 0, 1 - (place - 1) / 3 * 0.5).otherwise(0.3)
-    rows = docs.select("client_type", "doc_id", F.round(50 + 20 * theme + 15 * event, 6).alias("score"))
+    rows = shared.select("client_type", "doc_id", F.round(50 + 20 * (F.col("n") / F.col("many")) + 15 * event, 6).alias("score"))
     return rows.withColumn("rank", rank_in(["client_type"], F.col("score").desc(), F.col("doc_id"))).filter("rank <= 5")
 
 
@@ -386,7 +397,7 @@ SQL = {
         + 0.5::DOUBLE * coalesce(trim(mandate_text) <> '', FALSE)::INT) + 0.20::DOUBLE * (esg_constrained IS NOT NULL)::INT + 0.10::DOUBLE * (primary_contact IS NOT NULL AND alert_frequency IS NOT NULL)::INT, 2) AS score FROM clients"""),
     "portfolio_holdings": sql("SELECT client_id, rank, ticker, format('{:.1f}%', weight * 100) AS percent, shares FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY weight DESC, ticker) AS rank FROM holds JOIN instr USING (instrument_id))"),
     "watchlist_items": sql("SELECT client_id, ticker FROM watches JOIN instr USING (instrument_id)"),
-    "profile_counts": sql("SELECT client_id, coalesce(h, 0) AS holdings, coalesce(w, 0) AS watched, 1::BIGINT AS excluded, 1::BIGINT AS benchmarks FROM clients LEFT JOIN (SELECT client_id, count(*) AS h FROM holds GROUP BY 1) USING (client_id) LEFT JOIN (SELECT client_id, count(*) AS w FROM watches GROUP BY 1) USING (client_id)"),
+    "profile_counts": sql("SELECT client_id, coalesce(h, 0) AS holdings, coalesce(w, 0) AS watched, (excluded_sector IS NOT NULL)::BIGINT AS excluded, (benchmark_id IS NOT NULL)::BIGINT AS benchmarks FROM clients LEFT JOIN (SELECT client_id, count(*) AS h FROM holds GROUP BY 1) USING (client_id) LEFT JOIN (SELECT client_id, count(*) AS w FROM watches GROUP BY 1) USING (client_id)"),
     "scalar_scores": sql(f"""SELECT doc_id, round({_R30}, 9) AS recency30, round(exp(greatest(0, date_diff('second', created_at, TIMESTAMP '2024-01-31')) / 60.0::DOUBLE * (-ln(2.0::DOUBLE) / 600)), 9) AS breaking,
         round(coalesce(least(1.0, greatest(0.0, impact_score / 100.0::DOUBLE)), 0.0), 9) AS impact, coalesce(trust_score, 0.5)::DOUBLE AS trust FROM docs LEFT JOIN srcs USING (source)"""),
     "vector_topk": sql("SELECT doc_id, round(similarity, 6) AS similarity FROM dvs ORDER BY dvs.similarity DESC, doc_id LIMIT 20", _SIM, _DV),
@@ -419,8 +430,8 @@ SQL = {
     "restrictions_parse": sql("SELECT client_id, CASE WHEN client_id % 6 <> 5 AND client_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS excluded, client_id % 6 <> 5 AND (client_id % 2 = 0 OR client_id % 3 = 0) AS has_exclusions FROM clients"),
     "theme_vocabulary_gate": sql(f"SELECT theme, count(*) AS n, list_contains({_list(v.THEMES)}, theme) AS known FROM (SELECT unnest(themes) AS theme FROM docs) GROUP BY 1"),
     "schema_gate": sql("SELECT doc_id, impact_tier FROM docs WHERE impact_score IS NULL OR impact_tier IS NULL OR len(themes) = 0 OR created_at IS NULL"),
-    "ips_filter": sql(f"""SELECT client_type, count(*) AS n, min(doc_id) AS least, max(doc_id) AS most FROM docs JOIN srcs USING (source), (SELECT DISTINCT client_type FROM clients) t
-        WHERE trust_points >= {_case({'HEDGE_FUND': 3, 'PENSION': 7, 'LONG_ONLY': 5, 'FAMILY_OFFICE': 10, 'ADVISOR': 0}, 'client_type')} AND NOT EXISTS (SELECT 1 FROM affects a JOIN instr USING (instrument_id) JOIN comps USING (company_id)
+    "ips_filter": sql(f"""SELECT client_type, count(*) AS n, min(doc_id) AS least, max(doc_id) AS most FROM docs LEFT JOIN srcs USING (source), (SELECT DISTINCT client_type FROM clients) t
+        WHERE NOT coalesce(contains(lower(concat_ws(' ', title, content)), {_case(ESG_WORDS, 'client_type')}), FALSE) AND coalesce(trust_points, {NO_SOURCE_TRUST}) >= {_case({'HEDGE_FUND': 3, 'PENSION': 7, 'LONG_ONLY': 5, 'FAMILY_OFFICE': 10, 'ADVISOR': 0}, 'client_type')} AND NOT EXISTS (SELECT 1 FROM affects a JOIN instr USING (instrument_id) JOIN comps USING (company_id)
             WHERE a.doc_id = docs.doc_id AND (contains(sector, 'NATION_' || length(client_type)) OR contains('NATION_' || length(client_type), sector))) GROUP BY 1"""),
     "ips_rerank": sql("""SELECT client_type, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY client_type ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT client_type, doc_id, round(50 + 20 * len(list_filter(themes, lambda t: list_contains(mandate_themes, t)))::DOUBLE / len(mandate_themes) + 15 * CASE event_type WHEN 'EARNINGS' THEN 1.0 WHEN 'M&A' THEN 1 - 1 / 3.0::DOUBLE * 0.5

@@ -20,8 +20,9 @@ def recent_documents(n: News) -> DataFrame:
 
 
 def documents_by_title(n: News) -> DataFrame:
-    """Every document's place by title."""
-    return n.documents.select("doc_id", "group_id", F.lower(F.trim("title")).alias("title"))
+    """Every document's place among those of its title, whatever its case, newest first."""
+    rows = n.documents.select("doc_id", "group_id", F.lower(F.trim("title")).alias("title"), "created_at")
+    return rows.withColumn("place", rank_in(["title"], F.col("created_at").desc(), F.col("doc_id"))).drop("created_at")
 
 
 def documents_by_company_name(n: News, part: str = "00001") -> DataFrame:
@@ -185,7 +186,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "recent_documents": sql("SELECT doc_id, created_at, source, trust_level FROM (SELECT * FROM docs ORDER BY created_at DESC, doc_id LIMIT 20) LEFT JOIN srcs USING (source)"),
-    "documents_by_title": sql("SELECT doc_id, group_id, lower(trim(title)) AS title FROM docs"),
+    "documents_by_title": sql("SELECT doc_id, group_id, lower(trim(title)) AS title, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY created_at DESC, doc_id) AS place FROM docs"),
     "documents_by_company_name": sql("""SELECT company, rank, doc_id FROM (SELECT company, doc_id, row_number() OVER (PARTITION BY company ORDER BY created_at DESC, doc_id) AS rank
         FROM mentions JOIN comps USING (company_id) JOIN docs USING (doc_id) WHERE contains(lower(company), '00001')) WHERE rank <= 20"""),
     "documents_by_tickers": sql("""SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY impact_score DESC NULLS LAST, created_at DESC, doc_id) AS rank, doc_id, direction
