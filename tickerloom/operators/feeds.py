@@ -319,6 +319,11 @@ def position_percentiles(news: News) -> DataFrame:
     return news.holds.select("client_id", "instrument_id", "weight", share.alias("percentile"))
 
 
+def excluded_company(news: News) -> Column:
+    """The company, in lower case, that a constrained client excludes beside a sector."""
+    return F.concat(F.lit("supplier#"), F.lpad((F.col("client_id") % news.sizes["supplier"]).cast("string"), 9, "0"))
+
+
 def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int = 240, only_types: list[str] | None = None, esg_only: bool = False) -> DataFrame:
     """The best documents of each client that isn't defunct, over all channels, without repeated titles."""
     bias = sc.Bias(opportunity)
@@ -333,12 +338,10 @@ def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int =
     after = news.now - F.make_dt_interval(F.lit(0), F.lit(hours))
     rows = merged.join(docs.filter(F.col("created_at").isNull() | (F.col("created_at") >= after)), "doc_id")
     rows = rows.join(clients.select("client_id", "client_type", "esg_constrained", "excluded_sector"), "client_id")
-    sectors = news.affects.select("doc_id", "instrument_id").join(news.instruments.select("instrument_id", "company_id"), "instrument_id").join(
-        news.companies.select("company_id", "sector"), "company_id"
-    ).select("doc_id", F.lower("sector").alias("excluded")).distinct()
-    barred = rows.filter(F.col("esg_constrained")).select("client_id", "doc_id", F.lower("excluded_sector").alias("excluded")).join(
-        sectors, ["doc_id", "excluded"], "left_semi"
-    )
+    issued = news.affects.select("doc_id", "instrument_id").join(news.instruments.select("instrument_id", "company_id"), "instrument_id")
+    touched = issued.join(news.companies.select("company_id", "company", "sector"), "company_id").select("doc_id", F.explode(F.array(F.lower("sector"), F.lower("company"))).alias("excluded"))
+    names = F.explode(F.array(F.lower("excluded_sector"), excluded_company(news)))
+    barred = rows.filter(F.col("esg_constrained")).select("client_id", "doc_id", names.alias("excluded")).join(touched, ["doc_id", "excluded"], "left_semi").distinct()
     rows = rows.join(barred.select("client_id", "doc_id"), ["client_id", "doc_id"], "left_anti")
     boost = (
         news.affects.select("doc_id", "instrument_id").join(position_percentiles(news), "instrument_id")
@@ -424,14 +427,14 @@ def top_news_sql(x: float, limit: int = 3, hours: int = 240, chosen: str = "TRUE
         ("pct", """SELECT client_id, instrument_id, weight, CASE WHEN count(*) OVER (PARTITION BY client_id) = 1 THEN 1.0::DOUBLE
             ELSE 1.0::DOUBLE - (row_number() OVER (PARTITION BY client_id ORDER BY weight DESC, instrument_id) - 1)::DOUBLE / (count(*) OVER (PARTITION BY client_id) - 1) END AS percentile FROM holds"""),
         ("boosts", "SELECT client_id, doc_id, max(log2(1.0::DOUBLE + percentile) * 0.3::DOUBLE) AS boost FROM affects JOIN pct USING (instrument_id) GROUP BY 1, 2"),
-        ("secs", "SELECT DISTINCT doc_id, lower(sector) AS excluded FROM affects JOIN instr USING (instrument_id) JOIN comps USING (company_id)"),
+        ("secs", "SELECT DISTINCT doc_id, unnest([lower(sector), lower(company)]) AS excluded FROM affects JOIN instr USING (instrument_id) JOIN comps USING (company_id)"),
         ("scored", f"""SELECT m.client_id, m.doc_id, round({w[1]} * graph + {w[0]} * vector + {w[2]} * coalesce(least(1.0, greatest(0.0, impact_score / 100.0::DOUBLE)), 0.0)
             + {w[3]} * exp(greatest(0, date_diff('second', created_at, TIMESTAMP '2024-01-31')) / 60.0::DOUBLE * (-ln(2.0::DOUBLE) / {half!r}))
             + least(0.3, 0.1::DOUBLE * greatest(0, len(reasons) - 1)) + least(0.3, coalesce(boost, 0.0) * {1 - 0.5 * x!r}) + {disc}, 9) AS score,
             array_to_string(CASE WHEN {disc} > 0 THEN list_append(reasons, 'DISCOVERY') ELSE reasons END, ',') AS reasons, lower(trim(title)) AS title
             FROM merged m JOIN docs d ON m.doc_id = d.doc_id AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL {hours} HOUR JOIN cl ON cl.client_id = m.client_id
             LEFT JOIN boosts ON boosts.client_id = m.client_id AND boosts.doc_id = m.doc_id
-            WHERE NOT (coalesce(esg_constrained, FALSE) AND EXISTS (SELECT 1 FROM secs WHERE secs.doc_id = m.doc_id AND secs.excluded = lower(excluded_sector)))"""),
+            WHERE NOT (coalesce(esg_constrained, FALSE) AND EXISTS (SELECT 1 FROM secs WHERE secs.doc_id = m.doc_id AND secs.excluded IN (lower(excluded_sector), 'supplier#' || lpad((m.client_id % (SELECT supplier FROM n))::VARCHAR, 9, '0'))))"""),
         ("uniq", "SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY client_id, title ORDER BY score DESC, doc_id) = 1 OR coalesce(title = '', TRUE)"),
     ]
     return sql(
