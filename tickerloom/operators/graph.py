@@ -47,6 +47,59 @@ def explore(n: News, hops: int, rels: tuple[str, ...] | None = None) -> DataFram
     return seen.filter("depth > 0")
 
 
+def explore_from(n: News, starts: tuple[str, ...], hops: int = 2, rels: tuple[str, ...] | None = None, limit: int = 20) -> DataFrame:
+    """(start, rank, rel, detail, node, depth): what a stated list of nodes (keys like D1, I2, C3) leads to, nearest first, with the first step's relation and its properties.
+
+    A node that several first steps lead to stands for each of them, at its least depth by that step; the start itself is left out. Only the first ``limit`` of
+    each start are returned. A node that doesn't exist leads nowhere.
+    """
+    every = detailed_edges(n)
+    every = every.filter(F.col("rel").isin(list(rels))) if rels else every
+    front = every.filter(F.col("a").isin(list(starts)) & (F.col("b") != F.col("a"))).select(F.col("a").alias("start"), "rel", "detail", F.col("b").alias("node")).distinct()
+    keys = ["start", "rel", "detail", "node"]
+    seen = front = cut_lineage(front.withColumn("depth", F.lit(1)))
+    links = every.select("a", "b")
+    for depth in range(2, hops + 1):
+        step = front.join(links, front.node == links.a).filter("b <> start").select("start", "rel", "detail", F.col("b").alias("node")).distinct()
+        front = cut_lineage(step.join(seen.select(keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(front)
+    order = rank_in(["start"], *map(F.col, ("depth", "node", "rel", "detail")))
+    return seen.withColumn("rank", order).filter(F.col("rank") <= limit).select("start", "rank", "rel", "detail", "node", "depth")
+
+
+def detailed_edges(n: News) -> DataFrame:
+    """All edges both ways with their properties as text; empty if they have none."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    affects = n.affects.select(F.lit("AFFECTS").alias("rel"), key("D", "doc_id").alias("a"), key("I", "instrument_id").alias("b"), F.concat_ws(" ", "direction", (F.col("magnitude") * 100).cast("int")).alias("detail"))
+    others = edges(n).filter("rel <> 'AFFECTS'").select("rel", "a", "b", F.lit("").alias("detail"))
+    return affects.unionByName(affects.select("rel", F.col("b").alias("a"), F.col("a").alias("b"), "detail")).unionByName(others)
+
+
+def explore_nodes(n: News) -> DataFrame:
+    """Three steps from an instrument, a document and a company, over any relation."""
+    return explore_from(n, ("I1", "D7", "C3", "D-1"), 3)
+
+
+def explore_nodes_typed(n: News) -> DataFrame:
+    """Two steps from a document and an instrument over what documents affect and who issues it."""
+    return explore_from(n, ("I5", "D20"), 2, ("AFFECTS", "ISSUED_BY"), 50)
+
+
+def market_context_lists(n: News, days: int = 30, peers: int = 10, events: int = 20) -> DataFrame:
+    """(instrument_id, part, place, key, detail): an instrument's peers in its sector, its recent events, newest first, and the indices that it is in with its weight."""
+    own = n.instruments.select("instrument_id", "company_id", "index_name").join(n.companies.select("company_id", "sector"), "company_id")
+    # of a sector's companies one more than asked for: an instrument leaves out its own
+    few = n.companies.select("sector", F.col("company_id").alias("peer")).withColumn("r", rank_in(["sector"], F.col("peer"))).filter(F.col("r") <= peers + 1)
+    met = own.join(few, "sector").filter("peer <> company_id").withColumn("place", rank_in(["instrument_id"], F.col("peer"))).filter(F.col("place") <= peers)
+    by_peer = met.select("instrument_id", F.lit("peer").alias("part"), "place", F.col("peer").cast("string").alias("key"), F.col("sector").alias("detail"))
+    recent = n.documents.filter(F.col("created_at") > n.now - F.make_dt_interval(F.lit(days))).select("doc_id", "created_at", "event_code", "impact_tier")
+    told = n.affects.join(recent, "doc_id").withColumn("place", rank_in(["instrument_id"], F.col("created_at").desc(), F.col("doc_id"), F.col("direction"))).filter(F.col("place") <= events)
+    by_event = told.select("instrument_id", F.lit("event"), "place", F.col("doc_id").cast("string"), F.concat_ws(" ", "event_code", "impact_tier", "direction", (F.col("magnitude") * 100).cast("int")))
+    size = n.instruments.groupBy("index_name").agg(F.count("*").alias("n"))
+    by_index = own.join(size, "index_name").select("instrument_id", F.lit("index"), F.lit(1), "index_name", F.round(1 / F.col("n"), 9).cast("decimal(12,9)").cast("string"))
+    return by_peer.union(by_event).union(by_index)
+
+
 def lateral_expansion(n: News) -> DataFrame:
     rows = lateral_instruments(n)
     return rows.groupBy("client_id", "channel").agg(F.count("*").alias("n"), F.min("instrument_id").alias("least"), F.max("instrument_id").alias("most"))
@@ -246,10 +299,32 @@ def _explore_sql(hops: int, where: str = "TRUE") -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    lateral_expansion, peer_instruments, related_documents, related_by_source, related_depth_5, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
+    lateral_expansion, peer_instruments, related_documents, related_by_source, related_depth_5, explore_nodes, explore_nodes_typed, market_context_lists, docs_by_source, docs_by_company, market_context, instrument_news, doc_entities,
     phantom_instruments, cross_sector, co_mentions, event_cooccurrence, degree_centrality, supply_connections, shortest_path, version_chain,
 )} | {"explore_hops_1": lambda n: explore(n, 1), "explore_hops_2": lambda n: explore(n, 2), "explore_hops_3_typed": lambda n: explore(n, 3, ("COMPETES_WITH", "SUPPLIES_TO"))}
+_DETAILED = ("det", """SELECT 'AFFECTS' AS rel, 'D' || doc_id AS a, 'I' || instrument_id AS b, direction || ' ' || (magnitude * 100)::INT AS detail FROM affects
+    UNION ALL SELECT 'AFFECTS', 'I' || instrument_id, 'D' || doc_id, direction || ' ' || (magnitude * 100)::INT FROM affects UNION ALL SELECT rel, a, b, '' FROM edg WHERE rel <> 'AFFECTS'""")
+
+
+def _from_sql(starts: tuple[str, ...], hops: int, where: str, limit: int) -> str:
+    return sql(
+        f"""SELECT start, rank, rel, detail, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node, rel, detail) AS rank FROM (
+        SELECT start, rel, detail, node, min(depth) AS depth FROM walk GROUP BY 1, 2, 3, 4)) WHERE rank <= {limit}""",
+        *_EDGES, _DETAILED,
+        ("step", f"SELECT * FROM det WHERE {where}"),
+        ("walk", f"""SELECT a AS start, rel, detail, b AS node, 1 AS depth FROM step WHERE a IN ({", ".join(f"'{x}'" for x in starts)}) AND a <> b
+            UNION SELECT start, walk.rel, walk.detail, b, depth + 1 FROM walk JOIN step ON node = a WHERE depth < {hops} AND b <> start"""),
+    )
+
+
 SQL = {
+    "explore_nodes": _from_sql(("I1", "D7", "C3", "D-1"), 3, "TRUE", 20),
+    "explore_nodes_typed": _from_sql(("I5", "D20"), 2, "rel IN ('AFFECTS', 'ISSUED_BY')", 50),
+    "market_context_lists": sql("""SELECT instrument_id, 'peer' AS part, row_number() OVER (PARTITION BY instrument_id ORDER BY c.company_id) AS place, c.company_id::VARCHAR AS key, c.sector AS detail
+        FROM (SELECT instrument_id, company_id, sector FROM instr JOIN comps USING (company_id)) o JOIN comps c ON c.sector = o.sector AND c.company_id <> o.company_id QUALIFY place <= 10
+        UNION ALL SELECT instrument_id, 'event', place, doc_id::VARCHAR, event_code || ' ' || impact_tier || ' ' || direction || ' ' || (magnitude * 100)::INT FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id
+            ORDER BY created_at DESC, doc_id, direction) AS place FROM affects JOIN docs USING (doc_id) WHERE created_at > TIMESTAMP '2024-01-31' - INTERVAL 30 DAY) WHERE place <= 20
+        UNION ALL SELECT instrument_id, 'index', 1, index_name, round(1 / n::DOUBLE, 9)::DECIMAL(12,9)::VARCHAR FROM instr JOIN comps USING (company_id) JOIN (SELECT index_name, count(*) AS n FROM instr GROUP BY 1) USING (index_name)"""),
     "explore_hops_1": _explore_sql(1),
     "explore_hops_2": _explore_sql(2),
     "explore_hops_3_typed": _explore_sql(3, "rel IN ('COMPETES_WITH', 'SUPPLIES_TO')"),
