@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.functions import scoring as sc
 from tickerloom.operators import dedupe
-from tickerloom.operators.feeds import rank_in
 from tickerloom.sources.domain import News
 from tickerloom.sources.domain_sql import sql
 from tickerloom.sources.lineage import cut_lineage, fresh_path
 from tickerloom.sources.versions import Conflict, Table, Tables
 
-LEAST_COSINE = 0.85
 TABLES = {
     "hashes": Table("doc_id long, group_id int, hash string", ("group_id", "hash")),
     "stories": Table("doc_id long, group_id int, created_at timestamp_ntz, fingerprint string", ("group_id", "fingerprint")),
@@ -64,8 +61,8 @@ class DuplicateRegistry:
         union = lambda table: before(table, own[table]).unionByName(columns(table))
         hashes = dedupe.match_hashes(own["hashes"].select("doc_id", "group_id", "hash"), union("hashes"))
         stories = dedupe.match_stories(union("stories")).join(new, "doc_id", "left_semi")
-        days = own["vectors"].select("doc_id", "group_id", "created_at", "embedding", F.explode(F.sequence(F.col("day") - 2, F.col("day"))).alias("day"))
-        vectors = match_vectors(days, before("vectors", days).unionByName(columns("vectors")))
+        days = own["vectors"].select("group_id", F.explode(F.sequence(F.col("day") - 2, F.col("day"))).alias("day")).distinct()
+        vectors = dedupe.match_vectors(before("vectors", days).withColumn("fresh", F.lit(False)).unionByName(columns("vectors").withColumn("fresh", F.lit(True))))
         fresh = before("tokens", own["tokens"]).withColumn("fresh", F.lit(False)).unionByName(columns("tokens").withColumn("fresh", F.lit(True)))
         return dedupe.first_step(new, hashes, stories, vectors, dedupe.match_tokens(cut_lineage(fresh)))
 
@@ -125,16 +122,6 @@ class DuplicateRegistry:
         return sum(e["rows"] for entries in self.tables.state()["documents"].values() for e in entries)
 
 
-def match_vectors(days: DataFrame, known: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The nearest earlier known vector of the group within 48 hours, for rows that stand once for each day that they may match."""
-    right = known.select(F.col("doc_id").alias("other"), "group_id", F.col("created_at").alias("at"), F.col("embedding").alias("near"), "day")
-    met = days.join(right, ["group_id", "day"]).filter(
-        (F.col("other") < F.col("doc_id")) & (F.col("at") <= F.col("created_at")) & (F.col("at") >= F.col("created_at") - F.expr("INTERVAL 48 HOURS"))
-    )
-    scored = met.select("doc_id", F.col("other").alias("duplicate_of"), F.round(sc.cosine(F.col("embedding"), F.col("near")), 6).alias("score"))
-    return scored.filter(F.col("score") >= least).withColumn("r", rank_in(["doc_id"], F.col("score").desc(), F.col("duplicate_of"))).filter("r = 1").select("doc_id", "duplicate_of", "score")
-
-
 def arrivals(n: News) -> DataFrame:
     """The documents with what the registry looks at."""
     tickers = n.affects.join(n.instruments.select("instrument_id", "ticker"), "instrument_id").groupBy("doc_id").agg(F.collect_set("ticker").alias("tickers"))
