@@ -241,7 +241,12 @@ def source_update(n: News) -> DataFrame:
 
 
 def audit_events(n: News) -> DataFrame:
-    """Seven kinds of typed audit entries with their details, by kind: entries, documents or sources they name, and details."""
+    """Seven kinds of typed audit entries, by kind: entries, documents or sources they name, and details."""
+    return audit_entries(n).groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("resource").alias("resources"), F.count_distinct("details").alias("kinds"))
+
+
+def audit_entries(n: News) -> DataFrame:
+    """(event, resource, details): typed audit entries of seven kinds, their details as JSON."""
     docs, rows = submissions(n).join(ingest_documents(n).select("doc_id", "status"), "doc_id"), registry(n)
     d = F.col("doc_id")
     entry = lambda table, kind, resource, **details: table.select(F.lit(kind).alias("event"), resource.cast("string").alias("resource"), F.to_json(F.struct(*[F.lit(x).alias(k) if not isinstance(x, Column) else x.alias(k) for k, x in details.items()])).alias("details"))
@@ -254,7 +259,7 @@ def audit_events(n: News) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    return every.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("resource").alias("resources"), F.count_distinct("details").alias("kinds"))
+    return every
 
 
 # ---- SQL
@@ -302,7 +307,7 @@ _ING = ("ing", """SELECT doc_id, CASE WHEN problems <> '' THEN 'refused' WHEN du
 _WHOLE = _detected("w", "concat_ws(' ', title, content)", "sub")
 _COPY = [c for c in dedupe._CTES if c[0] in ("h", "d1")]
 QUERIES = {f.__name__: f for f in (
-    ingest_validate, instrument_resolve, extraction_defaults, ingest_documents, ingest_rollback, language_profile, list_sources, source_lookup, source_update, audit_events,
+    ingest_validate, instrument_resolve, extraction_defaults, ingest_documents, ingest_rollback, language_profile, list_sources, source_lookup, source_update, audit_events, audit_entries,
 )}
 SQL = {
     "ingest_validate": sql("SELECT doc_id, problems = '' AS valid, problems FROM pro", _SUB, _PRO),
@@ -322,6 +327,10 @@ SQL = {
     "source_lookup": sql("""SELECT asked, CASE WHEN active THEN source ELSE '-' END AS found, source IS NOT NULL AS exists, (SELECT count(*) FROM reg) AS sources
         FROM (SELECT name AS asked FROM reg UNION ALL SELECT upper(name) FROM reg) a LEFT JOIN reg ON name = asked""", _REG),
     "source_update": sql("SELECT * FROM upd", _REG, _UPD),
+    "audit_entries": sql("""SELECT 'DOCUMENT_INGEST' AS event, doc_id::VARCHAR AS resource, '{"duplicate":' || (status = 'duplicate') || ',"group":' || group_id || '}' AS details FROM ing WHERE status <> 'refused'
+        UNION ALL SELECT 'DOCUMENT_RETRIEVE', doc_id::VARCHAR, '{"found":true}' FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT 'DOCUMENT_QUERY', doc_id::VARCHAR, '{"results":' || group_id || '}' FROM docs WHERE doc_id % 5 = 0
+        UNION ALL SELECT 'DOCUMENT_DELETE', doc_id::VARCHAR, '{"confirmed":true}' FROM docs WHERE doc_id % 7 = 0 UNION ALL SELECT 'SOURCE_CREATE', source, '{"name":"' || name || '"}' FROM reg
+        UNION ALL SELECT event, source, CASE event WHEN 'SOURCE_UPDATE' THEN '{"field":"' || field || '"}' ELSE '{"hard":false}' END FROM upd""", *_COPY, _SUB, _PRO, *_WHOLE, _ING, _REG, _UPD),
     "audit_events": sql("""SELECT 'DOCUMENT_INGEST' AS event, count(*) AS n, count(DISTINCT doc_id) AS resources, count(DISTINCT (status, group_id)) AS kinds FROM ing WHERE status <> 'refused'
         UNION ALL SELECT 'DOCUMENT_RETRIEVE', count(*), count(DISTINCT doc_id), 1 FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT 'DOCUMENT_QUERY', count(*), count(DISTINCT doc_id), count(DISTINCT group_id) FROM docs WHERE doc_id % 5 = 0
         UNION ALL SELECT 'DOCUMENT_DELETE', count(*), count(DISTINCT doc_id), 1 FROM docs WHERE doc_id % 7 = 0 UNION ALL SELECT 'SOURCE_CREATE', count(*), count(DISTINCT source), count(DISTINCT name) FROM reg

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.operators import advice, changes, clients, dedupe, duplicate_registry, feeds, graph, ingest, lookups, piece_index, search, source_history, trends
+from tickerloom.operators import advice, changes, clients, dedupe, duplicate_registry, feeds, graph, ingest, lookups, piece_index, search, source_history, store_queries, trends
 from tickerloom.sources.domain import News
 from tickerloom.streaming import alerts, stateful
 
-MODULES = (feeds, trends, dedupe, duplicate_registry, graph, lookups, changes, ingest, source_history, search, piece_index, advice, clients, alerts, stateful)
+MODULES = (feeds, trends, dedupe, duplicate_registry, graph, lookups, changes, ingest, source_history, search, piece_index, store_queries, advice, clients, alerts, stateful)
 
 
 def _over_folder(query: Callable[[News], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

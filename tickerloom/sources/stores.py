@@ -83,6 +83,11 @@ class DocumentStore:
         self.spark.createDataFrame([(guid, group, number)], "guid string, group_id int, saved long").coalesce(1).write.mode("append").parquet(f"{self.path}/deleted")
         return True
 
+    def delete_all(self, gone: DataFrame) -> None:
+        """Delete documents (guid, group_id) by one number; those that don't exist are no error."""
+        number = self.log.change(lambda state: {})
+        gone.select("guid", F.col("group_id").cast("int").alias("group_id"), F.lit(number).cast("long").alias("saved")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
+
     def by_group(self, groups: list[int], limit: int | None = None) -> DataFrame:
         """Newest day first, then guid, of permitted groups; an empty list permits none."""
         rows = self.scan().filter(F.col("group_id").isin(groups)).orderBy(F.desc("created_date"), F.desc("guid"))
@@ -203,9 +208,10 @@ class AuditLog:
         files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return files.exists(at) and files.delete(at, True)
 
-    def query(self, first: str, last: str, limit: int = 100, **equal: str) -> DataFrame:
-        """Entries from day ``first`` to ``last`` with equal fields, oldest first."""
+    def query(self, first: str, last: str, limit: int | None = 100, **equal: str) -> DataFrame:
+        """Entries from day ``first`` to ``last`` with equal fields, oldest first; None: all of them."""
         rows = self.spark.read.json(self.path).filter(F.col("date").cast("string").between(first, last))
         for column, value in equal.items():
             rows = rows.filter(F.col(column) == value)
-        return rows.orderBy("timestamp").limit(limit)
+        rows = rows.orderBy("timestamp")
+        return rows if limit is None else rows.limit(limit)
