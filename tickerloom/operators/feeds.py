@@ -209,7 +209,7 @@ def candidates(news: News, bias: sc.Bias, clients: DataFrame) -> DataFrame:
     Each instrument channel takes a client's ``FETCH`` newest readable documents before the time window.
     """
     docs = scored_documents(news).select("doc_id", "group_id", "created_at", "impact_score", "impact_tier", "themes")
-    docs = docs.filter(F.col("impact_tier").isin("PLATINUM", "GOLD", "SILVER"))
+    docs = cut_lineage(docs.filter(F.col("impact_tier").isin("PLATINUM", "GOLD", "SILVER")))
     allowed = news.permitted.join(clients.select("client_id", "impact_threshold", "mandate_themes", "mandate_vec_id"), "client_id")
     tickers = _top_news_tickers(news, clients)
     touched = tickers.join(news.affects.select("doc_id", "instrument_id"), "instrument_id").groupBy("client_id", "doc_id", "channel").agg(F.max("weight").alias("weight"))
@@ -332,7 +332,8 @@ def top_news(news: News, opportunity: float = 0.0, limit: int = 3, hours: int =
         clients = clients.filter(F.col("client_type").isin(only_types))
     if esg_only:
         clients = clients.filter(F.col("esg_constrained"))
-    news.holds = cut_lineage(news.holds)  # three channels and the boost read it
+    for table in ("holds", "instruments", "companies", "permitted"):  # several channels read them
+        setattr(news, table, cut_lineage(getattr(news, table)))
     merged = merge_candidates(candidates(news, bias, clients))
     docs = scored_documents(news).select("doc_id", "title", "created_at", "impact_score")
     after = news.now - F.make_dt_interval(F.lit(0), F.lit(hours))
