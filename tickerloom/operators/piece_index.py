@@ -8,9 +8,11 @@ rebuild reads only the buckets that differ, and in them the ids and hashes befor
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions import text as tx
@@ -18,7 +20,7 @@ from tickerloom.operators import search
 from tickerloom.operators.search import Ask, query_documents
 from tickerloom.sources.domain import News
 from tickerloom.sources.domain_sql import PIECES, sql
-from tickerloom.sources.lineage import cut_lineage, fresh_path
+from tickerloom.sources.lineage import cut_lineage, few_or_shuffled, fresh_path
 from tickerloom.sources.versions import Conflict, Table, Tables
 
 #: Children of a node of the tree, and documents for which the tables get another bucket.
@@ -73,15 +75,25 @@ class PieceIndex:
     def _touched(self, ids: DataFrame) -> list[int]:
         return [r["b"] for r in ids.select(self.tables.bucket_of("documents").alias("b")).distinct().collect()]  # at most all buckets
 
+    def change(self, docs: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Drop documents (doc_id) and insert others, which replace those of the same id, in one version. Ids must be distinct and not null; the index isn't changed."""
+        parts = [x.select("doc_id") for x in (docs, gone) if x is not None]
+        ids = cut_lineage((parts[0] if len(parts) == 1 else parts[0].union(parts[1])).distinct())
+        marked = few_or_shuffled(ids)
+
+        def apply(old: DataFrame) -> DataFrame:
+            kept = old.join(marked, "doc_id", "left_anti")
+            return kept if docs is None else kept.unionByName(docs.select("doc_id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("hash")))
+
+        self.tables.rewrite("documents", self._touched(ids), apply)
+
     def save(self, docs: DataFrame) -> None:
-        """Insert documents, or replace those of the same id; ids must be distinct and not null. The index isn't changed."""
-        new = cut_lineage(docs.select("doc_id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("hash")))
-        self.tables.rewrite("documents", self._touched(new), lambda old: old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new))
+        """Insert documents, or replace those of the same id."""
+        self.change(docs)
 
     def delete(self, ids: DataFrame) -> None:
-        """Drop documents (doc_id); the index isn't changed."""
-        gone = cut_lineage(ids.select("doc_id").distinct())
-        self.tables.rewrite("documents", self._touched(gone), lambda old: old.join(gone, "doc_id", "left_anti"))
+        """Drop documents (doc_id)."""
+        self.change(gone=ids)
 
     def documents(self) -> DataFrame:
         return self.tables.read("documents").select("doc_id", "content")
@@ -159,8 +171,9 @@ class PieceIndex:
                 rows = pieces_of(docs)
             else:
                 problems = cut_lineage(self._compared(state, buckets))
-                kept = self.tables.read("pieces", state=state, buckets=buckets, lenient=True).join(problems, "doc_id", "left_anti")
-                rows = kept.unionByName(pieces_of(docs.join(problems.filter("problem <> 'orphan'"), "doc_id", "left_semi")))
+                marked = few_or_shuffled(problems.select("doc_id"))
+                kept = self.tables.read("pieces", state=state, buckets=buckets, lenient=True).join(marked, "doc_id", "left_anti")
+                rows = kept.unionByName(pieces_of(docs.join(marked, "doc_id", "left_semi")))
             size = self._bytes(state, buckets, "documents", *(["pieces"] if mode == "incremental" else []))
             report = Report(problems, buckets, nodes, size)
             if not buckets:
@@ -175,12 +188,19 @@ class PieceIndex:
 
 def pieces_of(docs: DataFrame) -> DataFrame:
     """Rows of the index for documents (doc_id, content, hash); a text without pieces gets one row with piece -1, so that it isn't missing."""
-    cut = tx.chunk_documents(docs.select("doc_id", "content"))
-    sized = cut.withColumn("of_pieces", F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
-    return docs.select("doc_id", "hash").join(sized, "doc_id", "left").select(
-        "doc_id", F.coalesce("chunk_index", F.lit(-1)).alias("piece"), F.coalesce("of_pieces", F.lit(0)).alias("of_pieces"), "start_char", "end_char", "content",
-        F.xxhash64("content").alias("digest"), "hash",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text, mark in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = tx.chunks_of(text or "")
+                rows += [(name, n, len(found), *piece, mark) for n, piece in enumerate(found)] or [(name, -1, 0, None, None, None, mark)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
+    names = ["doc_id", "piece", "of_pieces", "start_char", "end_char", "content", "hash"]
+    cut = docs.select("doc_id", "content", "hash").mapInArrow(run, "doc_id long, piece int, of_pieces int, start_char int, end_char int, content string, hash long")
+    return cut.withColumn("digest", F.xxhash64("content"))
 
 
 def _buckets(n: News) -> int:
@@ -198,8 +218,8 @@ def _behind(n: News) -> PieceIndex:
     index = PieceIndex(n.spark, fresh_path(n.spark, "pieces"), _buckets(n))
     index.save(before.union(docs.filter(d % 17 == 2).withColumn("doc_id", d + _GONE)))
     index.rebuild("full")
-    index.save(docs.filter((d % 11 == 3) | (d % 13 == 5)))
-    index.delete(docs.filter(d % 17 == 2).select((d + _GONE).alias("doc_id")))
+    index.change(docs.filter((d % 11 == 3) | (d % 13 == 5)), docs.filter(d % 17 == 2).select((d + _GONE).alias("doc_id")))
+    index.tables.clean(1)  # nobody else writes or reads here
     return index
 
 

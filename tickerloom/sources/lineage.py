@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,3 +31,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder that nothing has used, below the shared one."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def few_or_shuffled(ids: DataFrame) -> DataFrame:
+    """Narrow rows, kept by ``cut_lineage``, marked for a broadcast if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
