@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tickerloom.sources.lineage import cut_lineage
-from tickerloom.sources.versions import VersionLog
+from tickerloom.sources.versions import SPLIT, VersionLog
 
 
 class DocumentStore:
@@ -30,7 +30,9 @@ class DocumentStore:
         newest = F.row_number().over(Window.partitionBy("guid", "group_id").orderBy(F.col("created_at").desc_nulls_last(), F.xxhash64(*docs.columns)))
         rows = docs.withColumn("__n", newest).filter("__n = 1").drop("__n")
         rows = rows.withColumn("created_date", F.to_date("created_at")).withColumn("saved", F.lit(number).cast("long"))
-        rows.write.mode("append").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
+        # a few files a folder, however many tasks there are and however many documents a day has
+        dealt = rows.repartition(*self.KEYS, F.pmod(F.xxhash64("guid"), F.lit(SPLIT)))
+        dealt.write.mode("append").partitionBy(*self.KEYS).parquet(f"{self.path}/documents")
 
     def _rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/documents")
