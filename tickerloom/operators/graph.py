@@ -151,7 +151,7 @@ def related_to_depth(docs: DataFrame, links: DataFrame, k: int = 10, depth: int
     newest = lambda *keys: rank_in(list(keys), F.col("created_at").desc(), F.col("doc_id"))
     enough = 2 * k + 1
     parts = links.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).withColumn("r", newest("entity", "part")).filter(F.col("r") <= enough)
-    few = parts.withColumn("r", newest("entity")).filter(F.col("r") <= enough).groupBy("entity").agg(F.collect_list(F.struct(F.col("doc_id").alias("related"), "created_at")).alias("few"))
+    few = parts.withColumn("r", newest("entity")).filter(F.col("r") <= enough).groupBy("entity").agg(F.collect_list(F.struct("r", F.col("doc_id").alias("related"), "created_at")).alias("few"))
     # entities with more than a HUBS-th of the links: at most HUBS of them, broadcast, so that their documents stay where they are
     least = links.count() // HUBS
     hubs = links.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > least).join(few, "entity").select("entity", "few")
@@ -163,7 +163,9 @@ def related_to_depth(docs: DataFrame, links: DataFrame, k: int = 10, depth: int
     had = front.select("start", F.lit(0).alias("had"))
     for level in range(1, depth + 1):
         ways = front.join(step, "node").select("start", "entity").distinct()
-        met = ways.join(F.broadcast(hubs), "entity").unionByName(ways.join(others, "entity")).select("start", F.inline("few")).distinct()
+        # of the first step nothing but the start itself is left out, later on up to k documents are
+        wanted = F.filter("few", lambda x: x["r"] <= (k + 1 if level == 1 else enough))  # noqa: B023
+        met = ways.join(F.broadcast(hubs), "entity").unionByName(ways.join(others, "entity")).select("start", F.inline(wanted)).drop("r").distinct()
         new = met.join(reached.select("start", F.col("node").alias("related")), ["start", "related"], "left_anti").join(had, "start")
         ranked = new.withColumn("rank", F.col("had") + rank_in(["start"], F.col("created_at").desc(), F.col("related"))).filter(F.col("rank") <= k)
         found = cut_lineage(ranked.select("start", "rank", "related", F.lit(level).alias("depth")))
