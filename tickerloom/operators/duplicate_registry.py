@@ -105,7 +105,7 @@ class DuplicateRegistry:
                 rows = gone.filter(F.col("source").isNotNull()) if table == "tokens" else gone
                 touched = [b for b in self._touched(table, rows) if b in state[table]]
                 kept = self.tables.read(table, state=state, buckets=touched).join(gone.select("doc_id"), "doc_id", "left_anti")
-                staged = self.tables.stage(table, kept) if touched else {}
+                staged = self.tables.stage(table, kept, True) if touched else {}
                 replaced[table] = {b: staged.get(b, []) for b in touched}
             try:
                 self.tables.commit({}, replaced, state)

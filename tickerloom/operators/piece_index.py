@@ -81,11 +81,8 @@ class PieceIndex:
         ids = cut_lineage((parts[0] if len(parts) == 1 else parts[0].union(parts[1])).distinct())
         marked = few_or_shuffled(ids)
 
-        def apply(old: DataFrame) -> DataFrame:
-            kept = old.join(marked, "doc_id", "left_anti")
-            return kept if docs is None else kept.unionByName(docs.select("doc_id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("hash")))
-
-        self.tables.rewrite("documents", self._touched(ids), apply)
+        new = None if docs is None else docs.select("doc_id", "content", F.xxhash64(F.coalesce("content", F.lit(""))).alias("hash"))
+        self.tables.rewrite("documents", self._touched(ids), lambda old: old.join(marked, "doc_id", "left_anti"), new)
 
     def save(self, docs: DataFrame) -> None:
         """Insert documents, or replace those of the same id."""
@@ -178,7 +175,7 @@ class PieceIndex:
             report = Report(problems, buckets, nodes, size)
             if not buckets:
                 return report
-            staged = self.tables.stage("pieces", rows)
+            staged = self.tables.stage("pieces", rows, True)
             try:
                 self.tables.commit({}, {"pieces": {b: staged.get(b, []) for b in buckets}}, state)
                 return report
