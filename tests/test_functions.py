@@ -71,6 +71,19 @@ def test_extraction_incomplete(spark, raw):
     assert one(spark, tx.parse_extraction(F.lit(raw))) is None
 
 
+def planned(spark, column) -> str:
+    """The optimised plan of a column over texts."""
+    rows = spark.createDataFrame([("x",)], "text string").select(column.alias("x"))
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_embedding_hashes_a_text_once(spark):
+    plan = planned(spark, tx.hash_embedding(F.col("text")))
+    assert plan.count("sha2(") == 1 and plan.index("sha2(") < plan.index("lambdafunction(")  # in no lambda of the numbers
+    for dims in (1, 32, 40, 384):
+        assert len(one(spark, tx.hash_embedding(F.lit("x"), dims))) == dims
+
+
 def test_chunks():
     text = ("A sentence of some length here. " * 120).strip()
     pieces = list(tx.chunks_of(text))
