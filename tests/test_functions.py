@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.functions import languages
 from tickerloom.functions import scoring as sc
 from tickerloom.functions import text as tx
 from tickerloom.operators import dedupe
@@ -84,6 +85,10 @@ def test_embedding_hashes_a_text_once(spark):
         assert len(one(spark, tx.hash_embedding(F.lit("x"), dims))) == dims
 
 
+def test_language_cuts_a_text_once(spark):
+    assert planned(spark, languages.detect(F.col("text"))).count("split(") == 1
+
+
 def test_chunks():
     text = ("A sentence of some length here. " * 120).strip()
     pieces = list(tx.chunks_of(text))

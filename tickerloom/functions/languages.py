@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickerloom.functions.text import tokens
+from tickerloom.functions.text import let, tokens
 
 #: A few of the commonest words of each language.
 COMMON = {
@@ -28,11 +28,15 @@ def detect(text: Column) -> Column:
 
     Fewer than 20 characters, or no common word, is English at 0. Ties go to the first language by name.
     """
-    words = tokens(F.coalesce(text, F.lit("")))
-    hits = F.array(*[F.struct(F.size(F.filter(words, _among(own))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(COMMON.items())])
-    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"])
-    best = F.array_max(hits)
-    out = F.when(total > 0, F.struct(best["name"].alias("language"), (best["n"] / total).alias("confidence"))).otherwise(F.struct(F.lit("en").alias("language"), F.lit(0.0).alias("confidence")))
+
+    def counted(words: Column) -> Column:
+        return F.array(*[F.struct(F.size(F.filter(words, _among(own))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(COMMON.items())])
+
+    def decided(hits: Column) -> Column:
+        total, best = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"]), F.array_max(hits)
+        return F.when(total > 0, F.struct(best["name"].alias("language"), (best["n"] / total).alias("confidence"))).otherwise(F.struct(F.lit("en").alias("language"), F.lit(0.0).alias("confidence")))
+
+    out = let(let(tokens(F.coalesce(text, F.lit(""))), counted), decided)  # a text is cut into words once
     for name, pattern in reversed(SCRIPTS.items()):
         out = F.when(F.regexp_like(text, F.lit(pattern)), F.struct(F.lit(name).alias("language"), F.lit(1.0).alias("confidence"))).otherwise(out)
     return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) < SHORT, F.struct(F.lit("en").alias("language"), F.lit(0.0).alias("confidence"))).otherwise(out)
