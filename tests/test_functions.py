@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tickerloom.functions import languages
 from tickerloom.functions import scoring as sc
 from tickerloom.functions import text as tx
 from tickerloom.operators import dedupe
+from tickerloom.sources import lineage
 
 
 def now():
@@ -98,6 +100,18 @@ def test_chunks():
     assert list(tx.chunks_of("short")) == [(0, 5, "short")]
 
 
+def test_texts_reach_workers_in_bounded_batches(spark):
+    """400 texts of 100,000 characters in one partition: no batch holds over twice the bound, in pieces as elsewhere."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 10_000).alias("content"))
+    tx.chunk_documents(docs)
+    assert int(spark.conf.get(conf)) == lineage.ARROW_BYTES
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())])) for b in batches)
+    found = [r["n"] for r in lineage.map_batches(docs, sizes, "n long").collect()]
+    assert sum(found) == 400 and max(found) * 100_000 <= 2 * lineage.ARROW_BYTES
+
+
 def test_stores(spark, tmp_path):
     from tickerloom.sources.stores import AuditLog, DocumentStore, load_aliases
 

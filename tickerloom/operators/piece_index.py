@@ -20,7 +20,7 @@ from tickerloom.operators import search
 from tickerloom.operators.search import Ask, query_documents
 from tickerloom.sources.domain import News
 from tickerloom.sources.domain_sql import PIECES, sql
-from tickerloom.sources.lineage import cut_lineage, few_or_shuffled, fresh_path
+from tickerloom.sources.lineage import cut_lineage, few_or_shuffled, fresh_path, map_batches
 from tickerloom.sources.versions import Conflict, Table, Tables
 
 #: Children of a node of the tree, and documents for which the tables get another bucket.
@@ -196,7 +196,7 @@ def pieces_of(docs: DataFrame) -> DataFrame:
 
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
     names = ["doc_id", "piece", "of_pieces", "start_char", "end_char", "content", "hash"]
-    cut = docs.select("doc_id", "content", "hash").mapInArrow(run, "doc_id long, piece int, of_pieces int, start_char int, end_char int, content string, hash long")
+    cut = map_batches(docs.select("doc_id", "content", "hash"), run, "doc_id long, piece int, of_pieces int, start_char int, end_char int, content string, hash long")
     return cut.withColumn("digest", F.xxhash64("content"))
 
 
