@@ -106,3 +106,39 @@ def test_a_stream_that_breaks_off_pushes_once(spark, tmp_path):
     before = tables.read("pushes").count()
     go()
     assert before > 0 and tables.read("pushes").count() == before
+
+
+def test_users_share_states(spark, monkeypatch):
+    """Late counts of many users, one of them null: as many states as parts of the users, and the counts of each user by itself."""
+    monkeypatch.setattr(st, "KEY_PARTS", 8)
+    rng = random.Random(3)
+    rows = [(i, None if i % 301 == 0 else i % 300, rng.randint(0, 4000) + 1000 * (i // 1500), i // 1500) for i in range(3000)]
+    made = spark.createDataFrame(rows, "id long, user_id long, minute long, batch int")
+    made = made.select("id", F.timestamp_seconds(F.col("minute") * 60).alias("ts"), "user_id", "batch")
+    sizes = []
+
+    def start(stream, root, batch):
+        sizes.append(st.drain(st.counting_late(stream), root, "kind").lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    with st.state_store(spark):
+        root = st.deliver(made, 2, start)
+        opened = {(r[0], int(r[1].timestamp()) // 3600): r[2] for r in st.open_hours(spark, root).collect()}
+    assert max(sizes) <= 2 * 8
+    high, top, late, kept = {}, {}, [], {}
+    for _, u, m, b in rows:
+        top[u] = max(top.get(u, 0), m)
+        if b == 0:
+            high[u] = max(high.get(u, 0), m)
+    for i, u, m, b in rows:
+        if b and u in high and m // 60 < high[u] // 60 - 24:
+            late.append((u, i))
+        else:
+            kept[u, m // 60] = kept.get((u, m // 60), 0) + 1
+    out = [tuple(r) for r in spark.read.schema(st.COUNTED).parquet(f"{root}/out").collect()]
+    assert late and sorted((str(r[0]), r[3]) for r in out if r[4] == "late") == sorted((str(u), i) for u, i in late)
+    closed = {}
+    for u, at, n, _, kind in out:
+        if kind == "closed":
+            closed[u, int(at.timestamp()) // 3600] = closed.get((u, int(at.timestamp()) // 3600), 0) + n
+    assert closed == {k: n for k, n in kept.items() if k[1] < top[k[0]] // 60 - 24}
+    assert opened == {k: n for k, n in kept.items() if k[1] >= top[k[0]] // 60 - 24}
