@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickerloom.sources.domain import News
 from tickerloom.sources.lineage import fresh_path
 from tickerloom.sources.versions import Tables
+from tickerloom.streaming import alerts
 from tickerloom.streaming import stateful as st
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +143,27 @@ def test_users_share_states(spark, monkeypatch):
             closed[u, int(at.timestamp()) // 3600] = closed.get((u, int(at.timestamp()) // 3600), 0) + n
     assert closed == {k: n for k, n in kept.items() if k[1] < top[k[0]] // 60 - 24}
     assert opened == {k: n for k, n in kept.items() if k[1] >= top[k[0]] // 60 - 24}
+
+
+def test_capped_users_share_states(spark, monkeypatch):
+    """Alerts of many users and days, in two batches: as many states as parts, at most two a user and day, nulls as one user; days that are over go."""
+    monkeypatch.setattr(alerts, "CAP_PARTS", 8)
+    rng = random.Random(6)
+    rows = [(i, None if i % 50 == 0 else i % 40, 1440 * (19_000 + i // 400) + rng.randint(0, 700) + 740 * (i % 400 // 300), i // 1000) for i in range(2000)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, minute long, batch int")
+    made = made.select("event_id", "user_id", F.timestamp_seconds(F.col("minute") * 60).alias("ts"), "batch")
+    sizes = []
+
+    def start(stream, root, batch):
+        progress = st.drain(alerts.alert_cap(stream.withWatermark("ts", "20 hours"), 2), root).recentProgress
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in progress))
+
+    root = st.deliver(made, 2, start)
+    found = sorted(r[0] for r in spark.read.schema("event_id long, user_id long").parquet(f"{root}/out").collect())
+    sent, wanted = {}, []
+    for i, u, m, _ in sorted(rows, key=lambda r: (r[3], r[2], r[0])):
+        sent[u, m // 1440] = sent.get((u, m // 1440), 0) + 1
+        if sent[u, m // 1440] <= 2:
+            wanted.append(i)
+    assert max(sizes) <= 8
+    assert found == sorted(wanted)

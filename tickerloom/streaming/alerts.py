@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,25 +70,43 @@ def stream_sessions(n: News) -> DataFrame:
     return _drained(n, rows.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"))
 
 
-def stream_alert_cap(n: News, most: int = 2) -> DataFrame:
-    """Errors that alert a user: at most ``most`` a day, by time within what arrives together; a day's state goes when the watermark passes its end."""
+#: Users and days of ``alert_cap`` share a state by a hash, so that what Spark does for each state is done for many at once.
+CAP_PARTS = 2_048
+
+
+def alert_cap(rows: DataFrame, most: int) -> DataFrame:
+    """(event_id, user_id): at most ``most`` of a user's rows (event_id, user_id, ts) a day, by time within what arrives together; a day's state goes when the watermark passes its end."""
 
     def cap(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        users, days, counts = state.get if state.exists else ([], [], [])
+        sent = pd.DataFrame({"user": np.array(users, object), "day": np.array(days, object), "sent": np.array(counts, np.int64)})
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
+            before = new[["user", "day"]].merge(sent, "left", ["user", "day"])["sent"].fillna(0).to_numpy(np.int64)
+            new = new[before + new.groupby(["user", "day"]).cumcount().to_numpy() < most]
+            told = new.groupby(["user", "day"]).size().rename("sent").reset_index()
+            sent = pd.concat([sent, told]).groupby(["user", "day"], as_index=False)["sent"].sum()
+            yield new[["event_id", "user_id"]]
+        # a day ends up to twelve hours later than in UTC
+        ends = (pd.to_datetime(sent["day"]).to_numpy("datetime64[ms]").astype(np.int64)) + 36 * 3_600_000
+        stays = ends > state.getCurrentWatermarkMs()
+        if not stays.any():
             state.remove()
             return
-        (sent,) = state.get if state.exists else (0,)
-        out = pd.concat(list(frames)).sort_values(["ts", "event_id"]).head(max(0, most - sent))
-        state.update((sent + len(out),))
-        end = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield out[["event_id", "user_id"]]
-
-    rows = _events(n).filter(F.col("event_type") == "error").withWatermark("ts", "1 hour").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    capped = rows.select("event_id", "user_id", "ts", "day").groupBy("user_id", "day").applyInPandasWithState(
-        cap, "event_id long, user_id long", "sent int", "append", GroupStateTimeout.EventTimeTimeout
+        sent = sent[stays]
+        state.update((sent["user"].tolist(), sent["day"].tolist(), sent["sent"].tolist()))
+        state.setTimeoutTimestamp(int(ends[stays].min()))
+
+    named = rows.select("event_id", "user_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"))
+    parts = named.withColumn("part", F.pmod(F.xxhash64("user_id", "day"), F.lit(CAP_PARTS)).cast("int")).groupBy("part")
+    return parts.applyInPandasWithState(
+        cap, "event_id long, user_id long", "users array<string>, days array<string>, sent array<int>", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return _drained(n, capped)
+
+
+def stream_alert_cap(n: News, most: int = 2) -> DataFrame:
+    """Errors that alert a user: at most ``most`` a day."""
+    return _drained(n, alert_cap(_events(n).filter(F.col("event_type") == "error").withWatermark("ts", "1 hour"), most))
 
 
 _OPEN = "(SELECT max(ts) - INTERVAL 1 HOUR FROM {})"
